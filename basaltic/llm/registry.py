@@ -2,12 +2,49 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from basaltic.llm import exact_dedup
+from basaltic.llm import bpe, exact_dedup, lang_id, sstable, url_filter
 from basaltic.llm.common import table
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = lang_id.predict(docs, docs.where(~lang_id.held_out(F.col("doc_id"))), public_tokenizers.path("piece_bpe_32k.model"))
+    return found.select("doc_id", lang_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op2_sstable_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sstable.encode_and_read(table(spark, sf_dir, "documents"), spark, public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.rules_table(spark))
+
+
+OP3_SQL = r"""
+WITH p AS (
+  SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+), s AS (
+  SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p
+), r(rule_host, rule_path, verdict) AS (
+  VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')
+), best AS (
+  SELECT host, path, arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule, arg_max(verdict, length(rule_host || rule_path)) AS verdict
+  FROM (SELECT DISTINCT host, path FROM s) JOIN r ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+  GROUP BY ALL
+)
+SELECT page_id, s.host, s.path, rule, coalesce(verdict, 'allow') AS verdict FROM s LEFT JOIN best USING (host, path)
+"""
+
+
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicate_groups(table(spark, sf_dir, "documents"))
 
@@ -26,8 +63,14 @@ FROM d
 
 
 def queries():
-    return {"op10_exact_dedup": op10_exact_dedup}
+    return {
+        "op1_language_id": op1_language_id,
+        "op2_sstable_shards": op2_sstable_shards,
+        "op3_url_filter": op3_url_filter,
+        "op5_byte_bpe": op5_byte_bpe,
+        "op10_exact_dedup": op10_exact_dedup,
+    }
 
 
 def oracle_sql():
-    return {"op10_exact_dedup": OP10_SQL}
+    return {"op3_url_filter": OP3_SQL, "op10_exact_dedup": OP10_SQL}
