@@ -14,6 +14,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -48,11 +49,17 @@ class ByteBpe:
         return self.encoding.decode_bytes(ids)
 
 
+@lru_cache(maxsize=2)
+def byte_bpe(path: str, pattern: str) -> ByteBpe:
+    """One for a worker process."""
+    return ByteBpe(path, pattern)
+
+
 def map_texts(docs: DataFrame, path: str, pattern: str, make, schema: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``make(bpe, ids, texts)`` over bounded slices, as Arrow arrays in schema order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = ByteBpe(path, pattern)
+        bpe = byte_bpe(path, pattern)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from basaltic.llm.common import saved, scratch_path
-from basaltic.llm.tokens import WordEncoder, batches_of
+from basaltic.llm.tokens import batches_of, encoder
 
 MAGIC = b"BSSTBL01"
 FOOTER = struct.Struct("<QQQQQQI8s")
@@ -239,12 +239,12 @@ def write_partition(folder: str, vocabulary: str, end_id: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, writer, end = WordEncoder(vocabulary, spaced=False), None, np.array([end_id], "<u4")
+        coder, writer, end = encoder(vocabulary, False), None, np.array([end_id], "<u4")
         for batch in batches:
             ids = batch.column(0).to_pylist()
             at = 0
             for texts in batches_of([t or "" for t in batch.column(1).to_pylist()]):
-                for coded in encoder.encode(texts):
+                for coded in coder.encode(texts):
                     if writer is None:
                         shard = TaskContext.get().partitionId()
                         path = f"{folder}/shard-{shard:06d}-{uuid.uuid4().hex}.sst"

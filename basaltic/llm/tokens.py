@@ -7,13 +7,22 @@ stays in a bounded memo.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import islice
+from unicodedata import is_normalized
 
-#: Words in the memo; when it is full, the first half is kept and the rest forgotten.
-MEMO_WORDS = 300_000
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+#: Words in the memo (some 170 bytes each); when it is full, the first half is kept and the
+#: rest forgotten.
+MEMO_WORDS = 600_000
 #: Texts longer than this are encoded in stretches that end at a safe boundary.
 STRETCH = 1 << 20
 
@@ -32,11 +41,41 @@ def stretches(text: str, size: int = STRETCH) -> Iterator[str]:
     yield text[at:]
 
 
+#: Marks that are cut off a word's end; after a letter or digit they are encoded on their own.
+MARKS = ".,;:!?"
+ENDS = frozenset(MARKS)
+
+
+def split_mark(word: str) -> tuple[str, str]:
+    """A word and the marks at its end, which no vocabulary here joins to letters or digits."""
+    core = word.rstrip(MARKS)
+    return (core, word[len(core) :]) if core and core[-1].isalnum() else (word, "")
+
+
+def folded(word: str) -> str:
+    """Lower case where that surely is what the vocabulary's own folding gives."""
+    if word.isascii():
+        return word.lower()
+    low = word.lower()
+    return low if "Σ" not in word and is_normalized("NFC", word) and is_normalized("NFC", low) else word
+
+
+def distinct_words(rows: list[str], more: list[list[str]] = ()) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct words of ``rows``, cut at spaces, and of ``more``, cut already; the number
+    of each word in turn, and where each row's words start (and the last one's end)."""
+    cut = pc.split_pattern(pa.array(rows, pa.large_string()), " ")
+    counts = [len(m) for m in more]
+    flat = pa.concat_arrays([cut.flatten(), pa.array([w for m in more for w in m], pa.large_string())])
+    coded = flat.dictionary_encode()
+    starts = np.concatenate([[0], np.cumsum(np.concatenate([pc.list_value_length(cut).to_numpy(zero_copy_only=False), counts]).astype(np.int64))])
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy(), starts
+
+
 class WordEncoder:
     """Ids of texts as little-endian unsigned 32-bit integers.
 
     spaced: a word is encoded with the space before it (byte-level vocabularies); otherwise
-    white space is dropped by the vocabulary itself.
+    white space is dropped and letters are lower-cased by the vocabulary itself.
     """
 
     def __init__(self, path: str, spaced: bool, memo_words: int = MEMO_WORDS) -> None:
@@ -45,41 +84,127 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.spaced, self.memo_words, self.memo = spaced, memo_words, {}
-
-    def _learn(self, words: list[str], lead: str) -> Iterator[tuple[str, bytes]]:
-        texts = [lead + w for w in words] if lead else words
-        for a in range(0, len(words), 1024):
-            coded = self.tokenizer.encode_batch_fast(texts[a : a + 1024], add_special_tokens=False)
-            for w, e in zip(words[a : a + 1024], coded, strict=True):
-                yield w, array("I", e.ids).tobytes()
-
-    def _words(self, text: str) -> list[str]:
+        self.spaced, self.memo_words = spaced, memo_words
+        self.cores: dict[str, bytes] = {}  # of words without marks, with the space before them if ``spaced``
+        self.bare: dict[str, bytes] = {"": b""}  # of marks, and of words with no space before them
+        #: Of each id: it ends a word, or (spaced) starts one.
+        self.edge = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.edge[i] = token.startswith("Ġ") if spaced else token.endswith("</w>")
+
+    def _each(self, texts: list[str]) -> list[bytes]:
+        coded = []
+        for a in range(0, len(texts), 1024):
+            coded += [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts[a : a + 1024], add_special_tokens=False)]
+        return coded
+
+    def _learn_cores(self, words: list[str]) -> None:
+        """Words of letters only are encoded many at once and told apart by the ids that end
+        (or start) a word, of which each has one; a group that doesn't come out is done singly."""
+        lead, cores = " " if self.spaced else "", self.cores
+        plain = [w for w in words if w.isalpha()]
+        rest = [w for w in words if not w.isalpha()]
+        groups = [plain[a : a + 256] for a in range(0, len(plain), 256)]
+        for a in range(0, len(groups), 16):
+            texts = [lead + " ".join(g) for g in groups[a : a + 16]]
+            for g, e in zip(groups[a : a + 16], self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, "<u4")
+                at = np.flatnonzero(self.edge[ids])
+                if len(at) != len(g):
+                    rest += g
+                    continue
+                cuts = (4 * np.append(at, len(ids)) if self.spaced else 4 * np.insert(at + 1, 0, 0)).tolist()
+                data = ids.tobytes()
+                cores.update(zip(g, [data[x:y] for x, y in zip(cuts, cuts[1:], strict=False)], strict=True))
+        cores.update(zip(rest, self._each([lead + w for w in rest]), strict=True))
+
+    def _learn_bare(self, words: set[str]) -> None:
+        if new := list(words - self.bare.keys()):
+            self.bare.update(zip(new, self._each(new), strict=True))
+
+    def _of_words(self, words: list[str]) -> list[bytes]:
+        """Ids of words, each with the space before it if ``spaced``."""
+        tails: dict[int, list[str]] = {}  # lines after a word's first: a break before them and no space
+        if self.spaced:
+            for i, w in enumerate(words):
+                if "\n" in w and not (w[0] == "\n" or w[-1] == "\n" or _DOUBLE.search(w)):
+                    words[i], *tails[i] = w.split("\n")
+        marks: dict[int, str] = {}
+        cores_of = words
+        for i, w in enumerate(words):
+            if w[-1:] in ENDS:
+                core, mark = split_mark(w)
+                if mark:
+                    marks[i], cores_of[i] = mark, core
         if not self.spaced:
-            return text.replace("\n", " ").split(" ")
-        return _SAFE.split(text) if _DOUBLE.search(text) else text.split(" ")
+            cores_of = [w.lower() if w.isascii() else folded(w) for w in cores_of]
+        if new := set(cores_of) - self.cores.keys():
+            self._learn_cores(list(new))
+        ends = {i: [split_mark(x) for x in lines] for i, lines in tails.items()}
+        self._learn_bare({"\n", *marks.values()}.union(*((c, m) for x in ends.values() for c, m in x)))
+        bare, out = self.bare, list(map(self.cores.__getitem__, cores_of))
+        for i, m in marks.items():
+            out[i] += bare[m]
+        for i, x in ends.items():
+            out[i] += b"".join([bare["\n"] + bare[c] + bare[m] for c, m in x])
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [[self._words(s) for s in (stretches(t) if len(t) > STRETCH else (t,))] for t in texts]
-        heads = {}
+        collects = gc.isenabled()
+        gc.disable()  # no cycles arise here, and looking for them among so many strings is dear
+        try:
+            return self._encode(texts)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        rows, owner, more, more_owner = [], [], [], []
+        for n, text in enumerate(texts):
+            for s in stretches(text) if len(text) > STRETCH else (text,):
+                if not self.spaced:
+                    rows.append(s.replace("\n", " "))
+                    owner.append(n)
+                elif _DOUBLE.search(s):
+                    more.append(_SAFE.split(s))
+                    more_owner.append(n)
+                else:
+                    rows.append(s)
+                    owner.append(n)
+        words, codes, starts = distinct_words(rows, more)
+        ids = self._of_words(list(words))
+        owner += more_owner
         if self.spaced:  # the first word of a text has no space before it
-            first = {p[0][0] for p in parts}
-            heads = dict(self._learn(list(first), ""))
-        memo = self.memo
-        missing = {w for p in parts for s in p for w in s} - memo.keys() if len(texts) == 1 else set().union(*(s for p in parts for s in p)) - memo.keys()
-        memo.update(self._learn(list(missing), " " if self.spaced else ""))
-        known = memo.__getitem__
-        if self.spaced:
-            out = [heads[p[0][0]] + b"".join(map(known, p[0][1:])) + b"".join(b"".join(map(known, s)) for s in p[1:]) for p in parts]
-        else:
-            out = [b"".join(b"".join(map(known, s)) for s in p) for p in parts]
-        if len(memo) > self.memo_words:
-            keep = self.memo_words // 2
-            self.memo = dict(x for x, _ in zip(memo.items(), range(keep), strict=False))
-        return out
-
-
-def batches_of(texts: list[str], most_texts: int = 256, most_chars: int = 4_000_000) -> Iterator[list[str]]:
+            seen: set[int] = set()
+            order = [i for i, n in sorted(enumerate(owner), key=lambda x: x[1]) if not (n in seen or seen.add(n))]
+            at = starts[order]
+            heads = [words[c] for c in codes[at].tolist()]
+            self._learn_bare(set(heads))
+            codes = codes.copy()
+            codes[at] = np.arange(len(words), len(words) + len(heads))
+            ids += [self.bare[h] for h in heads]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        table = pa.LargeListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]), pa.array(np.frombuffer(b"".join(ids), "<u4")))
+        data = table.take(pa.array(codes)).flatten().to_numpy()
+        ends = np.concatenate([[0], np.cumsum(sizes[codes])])[starts].tolist()
+        out: list[list[bytes]] = [[] for _ in texts]
+        for i, n in enumerate(owner):
+            out[n].append(data[ends[i] : ends[i + 1]].tobytes())
+        self.cores, self.bare = self._trimmed(self.cores), self._trimmed(self.bare)
+        return [o[0] if len(o) == 1 else b"".join(o) for o in out]
+
+    def _trimmed(self, memo: dict[str, bytes]) -> dict[str, bytes]:
+        """The first half, which holds the commonest words, once the memo is full."""
+        return memo if len(memo) <= self.memo_words else dict(islice(memo.items(), self.memo_words // 2))
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str, spaced: bool) -> WordEncoder:
+    """One for a worker process, whose memo serves all its tasks."""
+    return WordEncoder(path, spaced)
+
+
+def batches_of(texts: list[str], most_texts: int = 3_000, most_chars: int = 6_000_000) -> Iterator[list[str]]:
     """Consecutive groups of bounded size."""
     group, chars = [], 0
     for t in texts:
