@@ -4,8 +4,9 @@ The pieces are a fixed public vocabulary: the letter-only pieces of a sentencepi
 (``▁`` marks a word's start), lower-cased, up to ``MAX_PIECE`` characters, and every single
 letter. Each language has a probability for each piece, fitted by expectation-maximisation on
 word counts. A word's likelihood is the sum over all ways to cut it into pieces, found by the
-forward algorithm; a text's is the product over its words, and the best language's share of
-the total, with equal priors, is the score.
+forward algorithm; a text's is the product over its words, each mixed with a small share of
+all languages' mean, and the best language's share of the total, with equal priors, is the
+score.
 
 Learning reads a bounded sample: about ``SAMPLE_DOCS`` documents of each language, chosen by
 a hash of their id, out of those that ``learnable`` admits. Prediction reads whole texts only.
@@ -21,22 +22,28 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from basaltic.llm.tokens import MARKS, distinct_words, stretches
+
 UNKNOWN = "und"
 #: About so many documents of each language are learned from.
 SAMPLE_DOCS = 600
-MAX_PIECE = 8
+MAX_PIECE = 6
 STRETCH = 32
 ROUNDS = 4
 #: Expected count that every piece has beside its own.
 SMOOTHING = 0.05
-#: Tokens whose scores an executor's worker keeps, and tokens that it scores at once.
-MEMO_WORDS, SLICE_WORDS = 300_000, 100_000
+#: Share of a text's words that may come from any of the languages, so that a quoted passage
+#: doesn't outweigh the rest.
+FOREIGN = 0.1
+#: Words whose scores a worker keeps, and characters (so words, at most) that it scores at once.
+MEMO_WORDS, SLICE_WORDS = 300_000, 1_000_000
 
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -145,53 +152,60 @@ def word_counts(labelled: DataFrame, id_col: str, text_col: str, lang_col: str,
 
 
 class Scorer:
-    """Log-likelihoods of texts by language, with a bounded memo of tokens."""
+    """Log-likelihoods of texts by language, with a bounded memo of words."""
 
     def __init__(self, langs: list[str], table: np.ndarray, pieces: dict[str, int]) -> None:
         self.langs, self.p, self.pieces = langs, table, pieces
-        self.memo: dict[str, int] = {}
-        self.rows = np.zeros((MEMO_WORDS, len(langs) + 1))
+        self.memo: dict[str, int] = {}  # lower-cased words without marks, to rows
+        self.rows = np.zeros((MEMO_WORDS + SLICE_WORDS, len(langs) + 1))
 
-    def _ensure(self, tokens: list[str]) -> None:
-        missing = set(tokens) - self.memo.keys()
+    def _places(self, words: list[str]) -> np.ndarray:
+        """The row of each word."""
+        cores = [w.lower().rstrip(MARKS) for w in words]
+        missing = set(cores) - self.memo.keys()
         if len(self.memo) + len(missing) > len(self.rows):  # rows stand in the order of the memo
-            self.memo = dict(x for x, _ in zip(self.memo.items(), range(MEMO_WORDS - SLICE_WORDS), strict=False))
-            missing = set(tokens) - self.memo.keys()
+            self.memo = dict(islice(self.memo.items(), MEMO_WORDS // 2))
+            missing = set(cores) - self.memo.keys()
         if missing:
             self._learn(list(missing))
+        return np.fromiter(map(self.memo.__getitem__, cores), np.int64, len(cores))
 
-    def _learn(self, tokens: list[str]) -> None:
+    def _learn(self, cores: list[str]) -> None:
         base, parts, owner = len(self.memo), [], []
-        for i, token in enumerate(tokens):
-            for part in stretches_of(token):
-                parts.append(part)
+        for i, core in enumerate(cores):
+            if core.isalpha() and len(core) < STRETCH:
+                parts.append("▁" + core)
                 owner.append(i)
+            else:
+                for part in stretches_of(core):
+                    parts.append(part)
+                    owner.append(i)
         logs = np.zeros((len(parts), len(self.langs)))
         for places, ids in lattices(parts, self.pieces):
-            logs[places] = np.log(np.maximum(forward(ids, self.p)[-1], 1e-300))
-        out = np.zeros((len(tokens), len(self.langs) + 1))
+            found = np.maximum(forward(ids, self.p)[-1], 1e-300)
+            logs[places] = np.log((1 - FOREIGN) * found + FOREIGN * found.mean(1, keepdims=True))
+        out = np.zeros((len(cores), len(self.langs) + 1))
         np.add.at(out[:, :-1], owner, logs)
         np.add.at(out[:, -1], owner, 1)
-        self.rows[base : base + len(tokens)] = out
-        self.memo.update(zip(tokens, range(base, base + len(tokens)), strict=True))
-
-    def _sum(self, tokens: list[str]) -> np.ndarray:
-        return self.rows[np.fromiter(map(self.memo.__getitem__, tokens), np.int64, len(tokens))].sum(0)
+        self.rows[base : base + len(cores)] = out
+        self.memo.update(zip(cores, range(base, base + len(cores)), strict=True))
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        parts, done = [(t or "").split() for t in texts], []
-        for a, b in slices([len(p) for p in parts], SLICE_WORDS):
+        texts, done = [(t or "").replace("\n", " ") for t in texts], []
+        for a, b in slices([len(t) for t in texts], SLICE_WORDS):
             if b - a > 1:
-                self._ensure([w for p in parts[a:b] for w in p])
-                done += [self._best(self._sum(p)) for p in parts[a:b]]
-                continue
-            total = np.zeros(len(self.langs) + 1)
-            for c in range(0, len(parts[a]), SLICE_WORDS):
-                run = parts[a][c : c + SLICE_WORDS]
-                self._ensure(run)
-                total += self._sum(run)
-            done.append(self._best(total))
-        return done
+                done += self._sums(texts[a:b])
+            else:
+                total = np.zeros(len(self.langs) + 1)
+                for part in stretches(texts[a], SLICE_WORDS // 2):
+                    total += self._sums([part])[0]
+                done.append(total)
+        return [self._best(d) for d in done]
+
+    def _sums(self, texts: list[str]) -> list[np.ndarray]:
+        words, codes, starts = distinct_words(texts)
+        scores = self.rows[self._places(words)[codes]]
+        return list(np.add.reduceat(scores, starts[:-1], 0))  # no text is without a word, if an empty one
 
     def _best(self, sums: np.ndarray) -> tuple[str, float]:
         if not sums[-1]:
@@ -212,23 +226,52 @@ def slices(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
         yield a, len(sizes)
 
 
-def predict(docs: DataFrame, learnable: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS) -> DataFrame:
-    """doc_id, lang_pred and score of every row of ``docs``. learnable: rows whose ``lang_col``
-    may be learned from. The model (pieces times languages) goes to the executors."""
+_LATEST: list = [None, None]
+
+
+def scorer_of(model: tuple) -> Scorer:
+    """One for a worker process and model, whose memo serves all its tasks."""
+    if _LATEST[0] is not model:
+        _LATEST[:] = [model, Scorer(*model)]
+    return _LATEST[1]
+
+
+def learn(learnable: DataFrame, model_path: str, id_col: str, text_col: str, lang_col: str, sample_docs: int):
+    """The model (languages, piece probabilities, pieces), on every executor."""
     labelled = learnable.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
     pieces = vocabulary(model_path)
     langs, p = fit(word_counts(labelled, id_col, text_col, lang_col, sample_docs), pieces)
-    model = docs.sparkSession.sparkContext.broadcast((langs, p, pieces))
+    return learnable.sparkSession.sparkContext.broadcast((langs, p, pieces))
+
+
+def _found(model: tuple, texts: pa.Array) -> list[tuple[str, float]]:
+    texts = texts.to_pylist()
+    return scorer_of(model).predict(texts) if model[0] else [(UNKNOWN, 0.0)] * len(texts)
+
+
+def predict(docs: DataFrame, learnable: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+    """doc_id, lang_pred and score of every row of ``docs``. learnable: rows whose ``lang_col``
+    may be learned from."""
+    model = learn(learnable, model_path, id_col, text_col, lang_col, sample_docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        langs, p, pieces = model.value
-        scorer = Scorer(langs, p, pieces) if langs else None
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
-                texts = part.column(1).to_pylist()
-                found = scorer.predict(texts) if scorer else [(UNKNOWN, 0.0)] * len(texts)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([f[0] for f in found]), pa.array([f[1] for f in found])], names=["doc_id", "lang_pred", "score"])
+            for part in (batch.slice(a, 1_000) for a in range(0, batch.num_rows, 1_000)):
+                found = _found(model.value, part.column(1))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
+
+
+def recognised(docs: DataFrame, learnable: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+    """The rows of ``docs`` in which a language is recognised; columns and their order stay."""
+    model = learn(learnable, model_path, id_col, text_col, lang_col, sample_docs)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(a, 1_000) for a in range(0, batch.num_rows, 1_000)):
+                yield part.filter(pa.array([f[0] != UNKNOWN for f in _found(model.value, part.column(at))], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
