@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basaltic.llm import bpe, exact_dedup, lang_id, sstable, url_filter
+from basaltic.llm import bpe, embed_dedup, exact_dedup, lang_id, line_dedup, order_minhash, packing, secret_scan, sstable, url_filter
 from basaltic.llm.common import table
 
 
@@ -45,6 +45,44 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.classes(table(spark, sf_dir, "documents"))
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.deduplicate_lines(table(spark, sf_dir, "documents"))
+
+
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.link(table(spark, sf_dir, "embeddings"))
+
+
+OP9_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, x -> x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.98
+), reach(vec_id, other) AS (
+  SELECT a, b FROM links UNION SELECT r.vec_id, l.b FROM reach r JOIN links l ON r.other = l.a
+), c AS (SELECT vec_id, least(vec_id, min(other)) AS component_id FROM reach GROUP BY vec_id),
+n AS (SELECT a AS vec_id, count(*) AS n_links FROM links GROUP BY a)
+SELECT e.vec_id, coalesce(n_links, 0) AS n_links, coalesce(component_id, e.vec_id) AS component_id,
+       e.vec_id = coalesce(component_id, e.vec_id) AS kept
+FROM embeddings e LEFT JOIN c USING (vec_id) LEFT JOIN n USING (vec_id)
+"""
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicate_groups(table(spark, sf_dir, "documents"))
 
@@ -67,10 +105,15 @@ def queries():
         "op1_language_id": op1_language_id,
         "op2_sstable_shards": op2_sstable_shards,
         "op3_url_filter": op3_url_filter,
+        "op4_order_minhash": op4_order_minhash,
         "op5_byte_bpe": op5_byte_bpe,
+        "op6_line_dedup": op6_line_dedup,
+        "op7_best_fit_packing": op7_best_fit_packing,
+        "op8_secret_scan": op8_secret_scan,
+        "op9_embedding_dedup": op9_embedding_dedup,
         "op10_exact_dedup": op10_exact_dedup,
     }
 
 
 def oracle_sql():
-    return {"op3_url_filter": OP3_SQL, "op10_exact_dedup": OP10_SQL}
+    return {"op3_url_filter": OP3_SQL, "op9_embedding_dedup": OP9_SQL, "op10_exact_dedup": OP10_SQL}

@@ -1,24 +1,54 @@
 """A training-corpus pipeline over ``documents``: each stage is one operator of
-``basaltic.llm``, takes (spark, docs, sf_dir) and returns what the next one reads."""
+``basaltic.llm``, takes (spark, docs, sf_dir) and returns what the next one reads.
+
+Nulls, empty texts and repeated rows are treated as each operator says. All stages but the
+last return the columns they got.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from basaltic.llm import exact_dedup
+from basaltic.llm import exact_dedup, lang_id, order_minhash, packing, secret_scan
 from basaltic.llm.common import saved, table
 
 
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no language is recognised (null text, or no letter) go."""
+    return lang_id.recognised(docs, docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id stays."""
+    """Of texts equal but for the case of A-Z the row with the largest doc_id stays."""
     return exact_dedup.deduplicate(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near copies the row with the smallest doc_id stays."""
+    return order_minhash.deduplicate(docs)
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets give way to a mark; no document goes."""
+    return secret_scan.redact(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per piece of a document, with its place in a sequence."""
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
 STAGES = [
+    ("language ID", identify_language),
     ("exact dedup", drop_exact_copies),
+    ("MinHash near-dedup", drop_near_copies),
+    ("secret scans", redact_secrets),
+    ("best-fit packing", pack_sequences),
 ]
 
-#: No SQL: the stages are tested against brute force.
+#: SQL expresses neither the language model nor near copies nor packing; the stages are
+#: tested against brute force instead.
 ORACLE_SQL = None
 
 
@@ -28,5 +58,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
-            docs = saved(docs, name.replace(" ", "-"))
+            docs = saved(docs, name.replace(" ", "-").lower())
     return docs
