@@ -208,8 +208,9 @@ def links(pairs: DataFrame, rows: DataFrame, reps: DataFrame) -> DataFrame:
     return both.select("a", "b", "wa", "wb").mapInArrow(verify, "a long, b long")
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, class_id (the smallest id of its class), class_size and kept of every row."""
+def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id and h of every row, with its class: class_id, class_size, and whether its text
+    leads the class."""
     rows = _rows(docs, id_col, text_col)
     sketched = saved(rows.mapInArrow(sketch, "doc_id long, h binary, n long, keys array<long>"), "omh-sketches")
     reps = sketched.groupBy("h").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("keys").alias("keys"))
@@ -240,16 +241,26 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         merged = connected_components(found.union(more), "omh-components")
 
     grouped = saved(reps.join(merged, F.col("cid") == F.col("node"), "left").select("h", "rep", "copies", F.coalesce("component", "cid").alias("class")), "omh-grouped")
-    named = grouped.groupBy("class").agg(F.min("rep").alias("class_id"), F.sum("copies").alias("class_size"))
-    by_text = saved(grouped.join(named, "class").select("h", "class_id", "class_size"), "omh-named")
-    out = sketched.select("doc_id", "h").join(by_text, "h", "left")
-    return out.select("doc_id", "class_id", "class_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+    lead = F.min(F.struct(F.col("rep").isNull(), F.col("rep"), F.col("h"))).alias("lead")
+    named = grouped.groupBy("class").agg(F.min("rep").alias("class_id"), F.sum("copies").alias("class_size"), lead)
+    by_text = saved(grouped.join(named, "class").select("h", "class_id", "class_size", (F.col("h") == F.col("lead.h")).alias("leads")), "omh-named")
+    return sketched.select("doc_id", "h").join(by_text, "h", "left")
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, class_id (the smallest id of its class), class_size and kept of every row."""
+    return _classes(docs, id_col, text_col).select("doc_id", "class_id", "class_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row for each class of near copies: the one with the smallest id. Of
-    rows that tie in id the one with the smallest text hash stays. Columns and order stay."""
-    found = classes(docs, id_col, text_col)
-    losers = saved(found.where("not kept").select(F.col("doc_id").alias("__id")).distinct(), "omh-losers")
-    kept = docs.join(losers if losers.count() > BROADCAST_CLASSES else F.broadcast(losers), F.col(id_col).cast("long").eqNullSafe(F.col("__id")), "left_anti")
-    return kept.select(*docs.columns)
+    rows that tie in id the one with the smallest text hash stays, of equal rows any. Columns
+    and their order stay."""
+    found = _classes(docs, id_col, text_col).where("class_size > 1")
+    wins = F.col("leads") & F.col("doc_id").eqNullSafe(F.col("class_id"))
+    marks = saved(found.select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), wins.alias("__kept")).distinct(), "omh-marks")
+    marks = F.broadcast(marks) if marks.count() <= BROADCAST_CLASSES else marks
+    keyed = docs.select("*", F.col(id_col).cast("long").alias("__doc"), F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")))).alias("__text"))
+    joined = keyed.join(marks, (F.col("__text") == F.col("__h")) & F.col("__doc").eqNullSafe(F.col("__id")), "left")
+    winners = joined.where("__kept").dropDuplicates(["__doc", "__text"])
+    return joined.where("__kept is null").union(winners).select(*docs.columns)
