@@ -1,15 +1,459 @@
-"""Named queries over the star-schema tables, with their SQL twins."""
+"""Named queries over the star-schema tables, with their SQL twins.
+
+The tables hold no source trees, so each operator runs over a relation of the same shape: the
+successor graph of parts and the trade graph of nations for files and symbols, events for
+commits, documents for sources, orders for snapshots and spans, page urls for paths.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from basaltic.functions import text
+from basaltic.operators import churn, compare, graph, impact, metrics, resolve
+from basaltic.plans.tables import LOG_SQL, SUCCESSOR_SQL, TRADE_SQL, change_log, successor_graph, table, text_files, trade_graph
+
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
+RANK_ROUNDS = 12
+
+
+def query(sql: str | None = None):
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return put
+
 
 def queries():
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(SQL)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fan counts of the successor graph, the most used first."""
+    return fan_metrics(spark, sf_dir).orderBy(F.desc("fan_in"), "id").limit(20)
+
+
+# graph operators
+
+
+@query(f"""WITH {SUCCESSOR_SQL},
+i AS (SELECT dst AS id, count(*) AS fan_in FROM se WHERE dst IN (SELECT id FROM sn) GROUP BY 1),
+o AS (SELECT src AS id, count(*) FILTER (dst IN (SELECT id FROM sn)) AS fan_out, count(*) FILTER (dst NOT IN (SELECT id FROM sn)) AS fan_out_external FROM se GROUP BY 1)
+SELECT id, coalesce(fan_in, 0) AS fan_in, coalesce(fan_out, 0) AS fan_out, coalesce(fan_out_external, 0) AS fan_out_external FROM sn LEFT JOIN i USING (id) LEFT JOIN o USING (id)""")
+def fan_metrics(spark, sf_dir):
+    return graph.fan_metrics(*successor_graph(spark, sf_dir))
+
+
+@query(f"""WITH {SUCCESSOR_SQL},
+d AS (SELECT id, sum(i)::BIGINT AS in_degree, sum(o)::BIGINT AS out_degree FROM (SELECT src AS id, 0 AS i, 1 AS o FROM se UNION ALL SELECT dst, 1, 0 FROM se) GROUP BY 1)
+SELECT id, coalesce(in_degree, 0) AS in_degree, coalesce(out_degree, 0) AS out_degree,
+  round((coalesce(in_degree, 0) + coalesce(out_degree, 0)) / greatest((SELECT count(*) FROM sn) - 1, 1)::DOUBLE, 6) AS degree_centrality FROM sn LEFT JOIN d USING (id)""")
+def degree_centrality(spark, sf_dir):
+    return graph.degrees(*successor_graph(spark, sf_dir))
+
+
+_REACH = f"""WITH RECURSIVE {TRADE_SQL},
+u AS (SELECT src AS a, dst AS b FROM te UNION SELECT dst, src FROM te),
+w(a, b) AS (SELECT id, id FROM tn UNION SELECT w.a, u.b FROM w JOIN u ON w.b = u.a),
+wc AS (SELECT a AS id, min(b) AS component FROM w GROUP BY a)"""
+
+
+@query(_REACH + " SELECT id, component FROM wc")
+def weak_components(spark, sf_dir):
+    return graph.weak_components(*trade_graph(spark, sf_dir))
+
+
+@query(
+    _REACH
+    + """ SELECT (SELECT count(*) FROM tn) AS nodes, (SELECT count(*) FROM te) AS edges,
+  round((SELECT count(*) FROM te) / ((SELECT count(*) FROM tn) * ((SELECT count(*) FROM tn) - 1))::DOUBLE, 6) AS density,
+  round((SELECT count(*) FROM te) / (SELECT count(*) FROM tn)::DOUBLE, 6) AS avg_degree,
+  (SELECT count(DISTINCT component) FROM wc) AS wcc_count, (SELECT max(n) FROM (SELECT count(*) AS n FROM wc GROUP BY component)) AS wcc_largest"""
+)
+def network_summary(spark, sf_dir):
+    return graph.network_summary(*trade_graph(spark, sf_dir))
+
+
+_STRONG = f"""WITH RECURSIVE {TRADE_SQL},
+r(a, b) AS (SELECT src, dst FROM te UNION SELECT r.a, te.dst FROM r JOIN te ON r.b = te.src),
+s AS (SELECT x.a AS id, min(x.b) AS component FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY x.a),
+sc AS (SELECT id, component FROM s WHERE component IN (SELECT component FROM s GROUP BY 1 HAVING count(*) > 1))"""
+
+
+@query(_STRONG + " SELECT id, component FROM sc")
+def strong_components(spark, sf_dir):
+    return graph.strong_components(*trade_graph(spark, sf_dir))
+
+
+@query(_STRONG + " SELECT array_to_string(list_sort(list(id)), ',') AS members FROM sc GROUP BY component")
+def cycles(spark, sf_dir):
+    return graph.cycles(*trade_graph(spark, sf_dir)).select(F.array_join(F.transform("cycle", lambda x: x.cast("string")), ",").alias("members"))
+
+
+@query(f"""WITH RECURSIVE {SUCCESSOR_SQL},
+b(id, hops) AS (SELECT id, 0 FROM sn WHERE id = 1 UNION SELECT se.src, b.hops + 1 FROM b JOIN se ON se.dst = b.id WHERE b.hops < 2)
+SELECT id, min(hops) AS hops FROM b GROUP BY id""")
+def reverse_reach(spark, sf_dir):
+    nodes, edges = successor_graph(spark, sf_dir)
+    return graph.reverse_bfs(edges, nodes.where("id = 1"), max_hops=2)
+
+
+@query(f"""WITH RECURSIVE {TRADE_SQL},
+a(name, ancestor) AS (SELECT src, src FROM te UNION SELECT dst, dst FROM te UNION SELECT a.name, te.dst FROM a JOIN te ON a.ancestor = te.src)
+SELECT name, ancestor FROM a""")
+def ancestor_closure(spark, sf_dir):
+    _, edges = trade_graph(spark, sf_dir)
+    return graph.ancestors(edges.select(F.col("src").alias("name"), F.col("dst").alias("base")))
+
+
+def _rank_sql(rounds: int) -> str:
+    steps = [f"WITH {TRADE_SQL}, live AS (SELECT src AS id FROM te UNION SELECT dst FROM te), n AS (SELECT count(*) AS n FROM live), outs AS (SELECT src AS id, count(*) AS k FROM te GROUP BY 1), r0 AS (SELECT live.id, k, 1.0::DOUBLE / n AS rank FROM live CROSS JOIN n LEFT JOIN outs USING (id))"]
+    for i in range(rounds):
+        steps.append(
+            f"d{i} AS (SELECT coalesce(sum(rank) FILTER (k IS NULL), 0) AS d FROM r{i}), g{i} AS (SELECT dst AS id, sum(rank / k) AS got FROM te JOIN r{i} ON r{i}.id = te.src GROUP BY 1), "
+            f"r{i + 1} AS MATERIALIZED (SELECT id, k, 0.15::DOUBLE / n + 0.85::DOUBLE * (coalesce(got, 0) + d / n) AS rank FROM r{i} LEFT JOIN g{i} USING (id) CROSS JOIN d{i} CROSS JOIN n)"
+        )
+    return ", ".join(steps) + f" SELECT id, round(coalesce(rank, 0), 6) AS pagerank FROM tn LEFT JOIN r{rounds} USING (id)"
+
+
+@query(_rank_sql(RANK_ROUNDS))
+def page_rank(spark, sf_dir):
+    ranks = graph.page_rank(*trade_graph(spark, sf_dir), tolerance=0.0, most_rounds=RANK_ROUNDS)
+    return ranks.select("id", F.round("pagerank", 6).alias("pagerank"))
+
+
+_LEVELS = 12
+_PATHS = (
+    f"WITH {TRADE_SQL}, p0 AS MATERIALIZED (SELECT id AS source, id, 0 AS dist, 1.0::DOUBLE AS paths FROM tn)"
+    + "".join(
+        f", p{i + 1} AS MATERIALIZED (SELECT * FROM p{i} UNION ALL SELECT source, te.dst, {i + 1}, sum(paths) FROM (SELECT * FROM p{i} WHERE dist = {i}) f JOIN te ON te.src = f.id WHERE NOT EXISTS (SELECT 1 FROM p{i} s WHERE s.source = f.source AND s.id = te.dst) GROUP BY source, te.dst)"
+        for i in range(_LEVELS)
+    )
+    + f", sp AS (SELECT * FROM p{_LEVELS})"
+)
+
+
+@query(_PATHS + " SELECT source, id, dist, paths FROM sp")
+def shortest_paths(spark, sf_dir):
+    return graph.shortest_paths(*trade_graph(spark, sf_dir))
+
+
+@query(_PATHS + " SELECT tn.id, round(coalesce(sum(1.0::DOUBLE / dist) FILTER (dist > 0), 0) / ((SELECT count(*) FROM tn) - 1), 6) AS closeness FROM tn LEFT JOIN sp ON sp.id = tn.id GROUP BY tn.id")
+def closeness(spark, sf_dir):
+    nodes, edges = trade_graph(spark, sf_dir)
+    found = graph.closeness(nodes, graph.shortest_paths(nodes, edges))
+    return found.select("id", F.round("closeness", 6).alias("closeness"))
+
+
+@query(
+    _PATHS
+    + """, through AS (
+  SELECT m.id, sum(a.paths * b.paths / t.paths) AS total FROM sp t JOIN sp a ON a.source = t.source JOIN tn m ON m.id = a.id JOIN sp b ON b.source = m.id AND b.id = t.id
+  WHERE m.id <> t.source AND m.id <> t.id AND a.dist + b.dist = t.dist GROUP BY m.id)
+SELECT id, round(coalesce(total, 0) / (((SELECT count(*) FROM tn) - 1) * ((SELECT count(*) FROM tn) - 2)), 6) AS betweenness FROM tn LEFT JOIN through USING (id)"""
+)
+def betweenness(spark, sf_dir):
+    nodes, edges = trade_graph(spark, sf_dir)
+    found = graph.betweenness(nodes, edges, graph.shortest_paths(nodes, edges))
+    return found.select("id", F.round("betweenness", 6).alias("betweenness"))
+
+
+@query(f"WITH {TRADE_SQL} SELECT DISTINCT src AS id FROM te WHERE dst IN (SELECT min(dst) FROM te)")
+def predecessors(spark, sf_dir):
+    _, edges = trade_graph(spark, sf_dir)
+    return graph.neighbours(edges, edges.agg(F.min("dst")).first()[0], incoming=True)
+
+
+@query()
+def impact_walk(spark, sf_dir):
+    """Who depends on part 1, with lines and certainty; tested against a queue by hand."""
+    nodes, edges = successor_graph(spark, sf_dir)
+    marked = edges.select("src", "dst", (F.col("src") % 7 + 1).cast("int").alias("line"), ((F.col("src") + F.col("dst")) % 3 != 0).alias("certain"))
+    return graph.reverse_walk(marked, nodes.where("id = 1"), 2)[0]
+
+
+# change history
+
+
+@query(f"""WITH {LOG_SQL}
+SELECT path AS file_id, count(*) AS churn_commits, sum(added)::BIGINT AS churn_added, 0::BIGINT AS churn_deleted, strftime(make_timestamp(max(ts) * 1000000), '%Y-%m-%d') AS last_commit FROM log GROUP BY 1""")
+def churn_by_file(spark, sf_dir):
+    return churn.churn(change_log(spark, sf_dir))
+
+
+_HOT = f"""WITH {LOG_SQL}, c AS (SELECT path AS file_id, count(*) AS churn_commits, sum(added)::BIGINT % 50 AS cc_total FROM log GROUP BY 1),
+h AS (SELECT file_id, cc_total, churn_commits, CASE WHEN cc_total = 0 THEN 0.0::DOUBLE ELSE round(cume_dist() OVER (ORDER BY churn_commits) * cume_dist() OVER (ORDER BY cc_total), 4) END AS hotspot FROM c)"""
+
+
+def _scored(spark, sf_dir):
+    changes = churn.churn(change_log(spark, sf_dir))
+    return churn.with_hotspots(changes.select("file_id", (F.col("churn_added") % 50).alias("cc_total")), changes).select("file_id", "cc_total", "churn_commits", "hotspot")
+
+
+@query(_HOT + " SELECT * FROM h")
+def hotspots(spark, sf_dir):
+    return _scored(spark, sf_dir)
+
+
+@query(_HOT + " SELECT * FROM h WHERE hotspot > 0 ORDER BY hotspot DESC, file_id LIMIT 20")
+def top_hotspots(spark, sf_dir):
+    return churn.top_hotspots(_scored(spark, sf_dir))
+
+
+# comparison of two snapshots: orders of two half-years by customer
+
+
+def _snapshot(spark, sf_dir, even: bool):
+    orders = table(spark, sf_dir, "orders").where((F.month("o_orderdate") <= 6) == even)
+    return orders.groupBy(F.col("o_custkey").alias("file_id")).agg(F.count(F.lit(1)).alias("functions"), F.max(F.floor("o_totalprice").cast("long")).alias("loc_total"), F.min(F.length("o_orderpriority").cast("long")).alias("fan_in"))
+
+
+_SNAP = """WITH o AS (SELECT o_custkey AS file_id, month(o_orderdate) <= 6 AS early, count(*) AS functions, max(floor(o_totalprice)::BIGINT) AS loc_total, min(length(o_orderpriority))::BIGINT AS fan_in FROM orders GROUP BY 1, 2),
+a AS (SELECT * FROM o WHERE early), b AS (SELECT * FROM o WHERE NOT early)"""
+
+
+@query(
+    _SNAP
+    + """, x AS (SELECT file_id, unnest(['functions', 'loc_total', 'fan_in']) AS key, unnest([a.functions, a.loc_total, a.fan_in])::DOUBLE AS old_value, unnest([b.functions, b.loc_total, b.fan_in])::DOUBLE AS new_value FROM a JOIN b USING (file_id))
+SELECT * FROM x WHERE abs(old_value - new_value) > 1e-9"""
+)
+def compare_files(spark, sf_dir):
+    old, new = _snapshot(spark, sf_dir, True), _snapshot(spark, sf_dir, False)
+    return compare.changed_values(old, new, ["file_id"], compare.file_keys(old, new))
+
+
+@query(_SNAP + " SELECT coalesce(a.file_id, b.file_id) AS file_id, CASE WHEN a.file_id IS NULL THEN 'added' ELSE 'removed' END AS status FROM a FULL JOIN b USING (file_id) WHERE a.file_id IS NULL OR b.file_id IS NULL")
+def compare_presence(spark, sf_dir):
+    return compare.presence(_snapshot(spark, sf_dir, True), _snapshot(spark, sf_dir, False), ["file_id"])
+
+
+@query(
+    _SNAP
+    + """, t AS (SELECT early, count(*) AS files, sum(loc_total)::BIGINT AS loc_total, sum(functions)::BIGINT AS functions FROM o GROUP BY 1),
+x AS (SELECT unnest(['files', 'loc_total', 'functions']) AS key, unnest([a.files, a.loc_total, a.functions])::DOUBLE AS old_value, unnest([b.files, b.loc_total, b.functions])::DOUBLE AS new_value FROM t a, t b WHERE a.early AND NOT b.early)
+SELECT * FROM x WHERE abs(old_value - new_value) > 1e-9"""
+)
+def project_delta(spark, sf_dir):
+    total = [F.count(F.lit(1)).alias("files"), F.sum("loc_total").alias("loc_total"), F.sum("functions").alias("functions")]
+    return compare.project_delta(_snapshot(spark, sf_dir, True).agg(*total), _snapshot(spark, sf_dir, False).agg(*total))
+
+
+def _half_edges(spark, sf_dir, early: bool):
+    orders = table(spark, sf_dir, "orders").where((F.month("o_orderdate") <= 6) == early)
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")
+    supplied = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
+    return supplied.select(F.col("o_custkey").alias("src"), F.col("l_suppkey").alias("dst"), F.lit("import").alias("kind"))
+
+
+_EDGES = """WITH e AS (SELECT DISTINCT month(o_orderdate) <= 6 AS early, o_custkey AS src, l_suppkey AS dst, 'import' AS kind FROM orders JOIN lineitem ON o_orderkey = l_orderkey),
+a AS (SELECT src, dst, kind FROM e WHERE early), b AS (SELECT src, dst, kind FROM e WHERE NOT early)"""
+
+
+@query(_EDGES + " SELECT *, 'added' AS status FROM (SELECT * FROM b EXCEPT SELECT * FROM a) UNION ALL SELECT *, 'removed' FROM (SELECT * FROM a EXCEPT SELECT * FROM b)")
+def compare_edges(spark, sf_dir):
+    return compare.import_edges(_half_edges(spark, sf_dir, True), _half_edges(spark, sf_dir, False))
+
+
+# names to definitions: lineitems call parts, which suppliers define
+
+
+_CALLS = """WITH c AS (SELECT l_orderkey * 10 + l_linenumber AS call_id, min(l_suppkey) AS own, min(s_nationkey) AS bound, min('T' || l_partkey % 50) AS name FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1),
+d AS (SELECT DISTINCT p_partkey % 40 + 1 AS home, p_partkey % 25 AS nation, 'T' || p_partkey % 57 AS name, 'D' || p_partkey % 301 AS dst FROM part WHERE p_partkey % 3 = 0),
+h AS (SELECT DISTINCT call_id, dst, 1 AS tier FROM c JOIN d ON c.own = d.home AND c.name = d.name
+  UNION ALL SELECT DISTINCT call_id, dst, 2 FROM c JOIN d ON c.bound = d.nation AND c.name = d.name UNION ALL SELECT DISTINCT call_id, dst, 3 FROM c JOIN d ON c.name = d.name),
+b AS (SELECT * FROM h QUALIFY tier = min(tier) OVER (PARTITION BY call_id)),
+j AS (SELECT call_id, dst, tier, count(*) OVER (PARTITION BY call_id) AS n FROM b UNION ALL SELECT DISTINCT call_id, 'unresolved:' || name, 4, 1 FROM c WHERE call_id NOT IN (SELECT call_id FROM h)),
+v AS (SELECT call_id, dst, CASE WHEN tier = 4 THEN 'unresolved' WHEN n = 1 AND tier < 3 THEN 'certain' ELSE 'inferred' END AS confidence, n > 1 AS ambiguous FROM j)"""
+
+
+def _called(spark, sf_dir):
+    supplier = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("target_file"))
+    lines = table(spark, sf_dir, "lineitem").join(supplier, "l_suppkey")
+    name = F.concat(F.lit("T"), (F.col("l_partkey") % 50).cast("string"))
+    calls = lines.groupBy((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("call_id")).agg(F.min("l_suppkey").alias("file_id"), F.min("target_file").alias("target_file"), F.min(name).alias("name"))
+    p = F.col("p_partkey")
+    named = table(spark, sf_dir, "part").where(p % 3 == 0).select((p % 40 + 1).alias("file_id"), (p % 25).cast("int").alias("target_file"), F.concat(F.lit("T"), (p % 57).cast("string")).alias("name"), F.concat(F.lit("D"), (p % 301).cast("string")).alias("dst")).distinct()
+    steps = [
+        lambda c: resolve._tier(c, named.select("file_id", "name", "dst"), ["file_id", "name"], "file"),
+        lambda c: resolve._tier(c, named.select("target_file", "name", "dst"), ["target_file", "name"], "import"),
+        lambda c: resolve._tier(c, named.select("name", "dst"), ["name"], "proj"),
+    ]
+    return resolve.judged(resolve._in_tiers(calls, steps))
+
+
+@query(_CALLS + " SELECT DISTINCT call_id, dst, confidence, ambiguous FROM v")
+def tiered_resolution(spark, sf_dir):
+    return _called(spark, sf_dir).select("call_id", "dst", "confidence", "ambiguous")
+
+
+_COUNTS = "count(*) AS total, count(*) FILTER (confidence = 'certain') AS certain, count(*) FILTER (confidence = 'inferred') AS inferred, count(*) FILTER (confidence = 'unresolved') AS unresolved, count(*) FILTER (ambiguous) AS ambiguous, round(count(*) FILTER (confidence = 'certain') * 100.0::DOUBLE / count(*), 1) AS certain_pct, round(count(*) FILTER (ambiguous) * 100.0::DOUBLE / count(*), 1) AS ambiguous_pct"
+
+
+@query(_CALLS + f", w AS (SELECT DISTINCT call_id, dst, confidence, ambiguous, call_id % 3 AS kind FROM v) SELECT kind, {_COUNTS} FROM w GROUP BY kind")
+def confidence_counts(spark, sf_dir):
+    return metrics.confidence_counts(_called(spark, sf_dir).withColumn("kind", F.col("call_id") % 3), "kind")
+
+
+@query(
+    """WITH e AS (SELECT CASE l_linenumber WHEN 1 THEN 'external:' WHEN 2 THEN 'unresolved:' ELSE '' END || l_partkey AS dst, l_returnflag = 'R' AS conditional FROM lineitem)
+SELECT count(*) AS total, count(*) FILTER (NOT starts_with(dst, 'external:') AND NOT starts_with(dst, 'unresolved:')) AS certain, count(*) FILTER (starts_with(dst, 'unresolved:')) AS unresolved,
+  count(*) FILTER (starts_with(dst, 'external:')) AS "external", count(*) FILTER (conditional) AS conditional FROM e"""
+)
+def import_counts(spark, sf_dir):
+    prefix = F.when(F.col("l_linenumber") == 1, "external:").when(F.col("l_linenumber") == 2, "unresolved:").otherwise("")
+    return metrics.import_counts(table(spark, sf_dir, "lineitem").select(F.lit("import").alias("kind"), F.concat(prefix, F.col("l_partkey").cast("string")).alias("dst"), (F.col("l_returnflag") == "R").alias("conditional")))
+
+
+@query("SELECT l_partkey AS src, l_suppkey AS dst, min(l_orderkey * 10 + l_linenumber) AS first_seen FROM lineitem GROUP BY 1, 2")
+def first_wins(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"))
+    return lines.groupBy("src", "dst").agg(F.min("seq").alias("first_seen"))
+
+
+@query(
+    """WITH h AS (SELECT DISTINCT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href FROM pages)
+SELECT page_id, href, CASE WHEN href IN (SELECT url FROM pages) THEN 'internal' WHEN contains(href, '://') THEN 'external' ELSE 'unresolved' END AS dst_class FROM h"""
+)
+def import_classes(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    links = pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("href")).distinct()
+    known = pages.select(F.col("url").alias("href"), F.lit(True).alias("known")).distinct()
+    target = F.when(F.col("known"), F.col("href")).when(F.col("href").contains("://"), F.concat(F.lit("external:"), "href")).otherwise(F.concat(F.lit("unresolved:"), "href"))
+    return links.join(known, "href", "left").select("page_id", "href", graph.dst_class(target).alias("dst_class"))
+
+
+# sizes and complexity of texts
+
+
+_PY = r"""(?:\"\"\"[\s\S]*?(?:\"\"\"|\z))|(?:'''[\s\S]*?(?:'''|\z))|"(?:[^"\\]|\\[\s\S])*(?:"|\\?\z)|'(?:[^'\\]|\\[\s\S])*(?:'|\\?\z)|#[^\n]*|\n|[^\n#"']+"""
+
+
+@query(
+    """WITH f AS (SELECT doc_id::VARCHAR AS id, coalesce(text, '') AS s, regexp_extract_all(coalesce(text, ''), '%s') AS ts FROM documents),
+t AS (SELECT id, unnest(range(len(ts))) AS pos, unnest(ts) AS token FROM f),
+k AS (SELECT id, pos, CASE WHEN token[1] IN ('"', '''') THEN 'string' WHEN token[1] = '#' THEN 'line' WHEN token = chr(10) THEN 'break' ELSE 'code' END AS kind,
+  CASE WHEN token[1] IN ('"', '''') AND NOT starts_with(token, '\"\"\"') AND NOT starts_with(token, '''''''''') THEN regexp_replace(token, '\\\\[\\s\\S]', 'xx', 'g') ELSE token END AS token FROM t),
+w AS (SELECT *, length(token) - length(replace(token, chr(10), '')) AS breaks FROM k),
+p AS (SELECT *, 1 + coalesce(sum(breaks) OVER (PARTITION BY id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM w),
+l AS (SELECT id, start + i AS line, kind IN ('string', 'code') AS is_code FROM (SELECT *, unnest(range(breaks + 1)) AS i FROM p)
+  WHERE (kind = 'string' AND string_split(token, chr(10))[i + 1] <> '') OR (kind = 'line' AND i = 0) OR (kind = 'code' AND i = 0 AND trim(token, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) <> '')),
+b AS (SELECT id, line, bool_or(is_code) AS is_code FROM l GROUP BY 1, 2),
+n AS (SELECT id, CASE WHEN s = '' THEN 0 ELSE len(string_split(s, chr(10))) - CASE WHEN ends_with(s, chr(10)) THEN 1 ELSE 0 END END AS loc_total FROM f),
+c AS (SELECT n.id, loc_total, count(*) FILTER (is_code AND line <= loc_total) AS loc_code, count(*) FILTER (NOT is_code AND line <= loc_total) AS loc_comment FROM n LEFT JOIN b USING (id) GROUP BY 1, 2)
+SELECT id, loc_total::BIGINT AS loc_total, loc_code, loc_comment, loc_total - loc_code - loc_comment AS loc_blank FROM c"""
+    % _PY.replace("'", "''")
+)
+def loc_by_file(spark, sf_dir):
+    return metrics.loc(text_files(spark, sf_dir))
+
+
+_TOKENS = """WITH t AS (SELECT doc_id AS id, unnest(string_split(replace(text, chr(10), ' '), ' ')) AS token, len(string_split(text, chr(10))) AS loc FROM documents),
+h AS (SELECT id, any_value(loc) AS loc, count(*) AS n, count(DISTINCT token) AS k FROM t WHERE token <> '' GROUP BY id),
+v AS (SELECT id, loc, CASE WHEN k > 1 THEN n * log2(k) ELSE 0.0 END AS volume FROM h)"""
+
+
+def _volumes(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return docs, metrics.halstead(docs.select(F.col("doc_id").alias("id"), F.explode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")).alias("token")).where("token <> ''"))
+
+
+@query(_TOKENS + " SELECT id, round(volume, 4) AS volume FROM v")
+def halstead_volume(spark, sf_dir):
+    return _volumes(spark, sf_dir)[1].select("id", F.round("volume", 4).alias("volume"))
+
+
+@query(_TOKENS + " SELECT id, round(greatest(0, least(100, (171 - 5.2::DOUBLE * CASE WHEN volume > 0 THEN ln(volume) ELSE 0 END - 0.23::DOUBLE * (id % 9) - 16.2::DOUBLE * ln(loc)) * 100 / 171)), 4) AS mi FROM v")
+def maintainability(spark, sf_dir):
+    docs, volumes = _volumes(spark, sf_dir)
+    joined = volumes.join(docs.select(F.col("doc_id").alias("id"), F.size(F.split("text", "\n")).alias("loc")), "id")
+    return joined.select("id", F.round(text.maintainability(F.col("volume"), F.col("id") % 9, F.col("loc")), 4).alias("mi"))
+
+
+@query("SELECT lang AS language, count(*) AS files, sum(n_chars)::BIGINT AS loc_code FROM documents GROUP BY 1")
+def language_totals(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return metrics.language_totals(docs.select(F.col("doc_id").alias("id"), F.col("lang").alias("language")), docs.select(F.col("doc_id").alias("file_id"), F.col("n_chars").alias("loc_code")))
+
+
+_PATH = """WITH p AS (SELECT page_id, regexp_extract(url, '://[^/]*/(.*)$', 1) AS path FROM pages), q AS (SELECT *, string_split(path, '/') AS parts, string_split(path, '/')[-1] AS name FROM p)"""
+
+
+@query(
+    _PATH
+    + """ SELECT page_id, path, name LIKE '%.html' AS by_glob,
+  len(list_filter(parts[:-2], lambda x: x IN ('test', 'tests'))) > 0 OR starts_with(name, 'test_') OR ends_with(string_split(name, '.')[1], '_test')
+  OR (len(string_split(name, '.')) >= 3 AND len(list_filter(string_split(name, '.')[2:-2], lambda x: x IN ('spec', 'test'))) > 0) AS is_test FROM q"""
+)
+def path_predicates(spark, sf_dir):
+    path = F.regexp_extract("url", r"://[^/]*/(.*)$", 1)
+    pages = table(spark, sf_dir, "pages").select("page_id", path.alias("path"))
+    return pages.select("page_id", "path", text.glob_excluded(F.col("path"), ["*.html"]).alias("by_glob"), text.is_test_file(F.col("path")).alias("is_test"))
+
+
+@query(
+    """WITH d AS (SELECT doc_id, n_chars FROM documents WHERE n_chars <= 5000), r AS (SELECT *, sum(n_chars) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS running FROM d)
+SELECT doc_id, n_chars, running::BIGINT AS running FROM r WHERE running <= 300000"""
+)
+def capped_sources(spark, sf_dir):
+    """Sources in order until their sizes pass a cap: the cap is the feature. The running sum
+    starts from totals of ranges of ids, so no task holds more than one range."""
+    docs = table(spark, sf_dir, "documents").where("n_chars <= 5000").select("doc_id", "n_chars", F.floor(F.col("doc_id") / 1000).alias("bucket"))
+    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    totals = docs.groupBy("bucket").agg(F.sum("n_chars").alias("total")).select("bucket", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base")).where("base <= 300000")
+    inner = Window.partitionBy("bucket").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    return docs.join(totals, "bucket").select("doc_id", "n_chars", (F.col("base") + F.sum("n_chars").over(inner)).alias("running")).where("running <= 300000")
+
+
+# ranges
+
+
+_DAYS = "WITH o AS (SELECT o_orderkey, o_custkey, datediff('day', DATE '1990-01-01', o_orderdate::DATE) AS start, datediff('day', DATE '1990-01-01', o_orderdate::DATE) + (o_orderkey % 20)::INT AS stop FROM orders)"
+
+
+def _spans(spark, sf_dir):
+    start = F.date_diff(F.to_date("o_orderdate"), F.to_date(F.lit("1990-01-01")))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("file_id"), start.alias("start"), (start + (F.col("o_orderkey") % 20).cast("int")).alias("end"))
+
+
+@query(
+    _DAYS
+    + """, g AS (SELECT *, CASE WHEN start > max(stop) OVER (PARTITION BY o_custkey ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 1 ELSE 0 END AS b FROM o),
+i AS (SELECT *, sum(b) OVER (PARTITION BY o_custkey ORDER BY start, stop ROWS UNBOUNDED PRECEDING) AS island FROM g)
+SELECT o_custkey AS file_id, min(start)::INT AS start, max(stop)::INT AS "end" FROM i GROUP BY o_custkey, island"""
+)
+def merged_ranges(spark, sf_dir):
+    return impact.merge_ranges(_spans(spark, sf_dir).select("file_id", "start", "end"), ["file_id"])
+
+
+@query(
+    _DAYS
+    + """, m AS (SELECT a.o_orderkey AS range_id, b.o_orderkey AS id, b.stop - b.start AS length FROM o a JOIN o b ON a.o_custkey = b.o_custkey AND b.start <= a.start AND a.start <= b.stop)
+SELECT range_id, arg_min(id, (length, id)) AS symbol_id FROM m GROUP BY range_id"""
+)
+def innermost_symbol(spark, sf_dir):
+    spans = _spans(spark, sf_dir)
+    symbols = spans.select("file_id", F.col("o_orderkey").alias("id"), F.lit("").alias("name"), F.lit("function").alias("kind"), F.col("start").alias("start_line"), F.col("end").alias("end_line"))
+    wanted = spans.select(F.col("o_orderkey").alias("range_id"), "file_id", "start", F.col("start").alias("end"))
+    return impact.enclosing_symbols(symbols, wanted).select("range_id", "symbol_id")
 
 
-def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+@query(
+    """WITH e AS (SELECT l_partkey::VARCHAR AS src, CASE WHEN l_returnflag = 'A' THEN 'unresolved:' ELSE '' END || l_suppkey AS dst, l_linenumber AS line, l_returnflag = 'R' AS ambiguous FROM lineitem),
+n AS (SELECT src, line, count(DISTINCT dst) AS n FROM e WHERE ambiguous GROUP BY 1, 2)
+SELECT DISTINCT src AS symbol_id, CASE WHEN starts_with(dst, 'unresolved:') THEN 'unresolved callee ''' || substr(dst, 12) || '''' ELSE 'ambiguous resolution (' || n || ' candidates)' END AS reason, line
+FROM e LEFT JOIN n USING (src, line) WHERE (starts_with(dst, 'unresolved:') OR ambiguous) AND src IN (SELECT p_partkey::VARCHAR FROM part WHERE p_size > 25)"""
+)
+def impact_boundaries(spark, sf_dir):
+    flag = F.col("l_returnflag")
+    edges = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").cast("string").alias("src"), F.concat(F.when(flag == "A", "unresolved:").otherwise(""), F.col("l_suppkey").cast("string")).alias("dst"), F.lit("call").alias("kind"), F.lit("inferred").alias("confidence"), (flag == "R").alias("ambiguous"), F.col("l_linenumber").alias("line"))
+    visited = table(spark, sf_dir, "part").where("p_size > 25").select(F.col("p_partkey").cast("string").alias("id"))
+    return impact.boundaries(edges, visited)
