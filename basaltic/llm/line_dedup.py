@@ -27,10 +27,6 @@ from pyspark.sql import functions as F
 from basaltic.llm.common import saved
 
 LEAST_WORDS = 50
-#: Largest numbers of rows that are broadcast: of fingerprints (some 16 bytes) and of documents
-#: with something to delete (some 100 bytes).
-BROADCAST_FINGERPRINTS, BROADCAST_DOCUMENTS = 500_000, 100_000
-
 BASE = 0x9E3779B97F4A7C15
 MASK = (1 << 64) - 1
 WINDOWS = "doc_id long, h binary, fp long, win long, first int, last int"
@@ -106,14 +102,10 @@ def deduplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")))).alias("h"), F.col(text_col).alias("text"))
     found = saved(rows.mapInArrow(select(least_words), WINDOWS), "line-windows")
     repeated = saved(found.select("fp", "doc_id", "h", "first", "last").groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fp"), "line-fingerprints")
-    if repeated.count() <= BROADCAST_FINGERPRINTS:
-        repeated = F.broadcast(repeated)
     matched = found.join(repeated, "fp", "left_semi")
     place = F.struct("doc_id", "h", "first")
     earliest = saved(matched.groupBy("win").agg(F.min(place).alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select("win", "least"), "line-earliest")
     later = matched.join(earliest, "win").where(place > F.col("least")).select("doc_id", "h", "first", "last").distinct()
     spans = saved(later.groupBy("doc_id", "h").agg(F.collect_list(F.struct("first", "last")).alias("spans")).select(F.col("doc_id").alias("s_id"), F.col("h").alias("s_h"), "spans"), "line-spans")
-    if spans.count() <= BROADCAST_DOCUMENTS:
-        spans = F.broadcast(spans)
     joined = rows.join(spans, (F.col("h") == F.col("s_h")) & F.col("doc_id").eqNullSafe(F.col("s_id")), "left")
     return joined.select("doc_id", "text", "spans").mapInArrow(apply_cuts, "doc_id long, n_lines long, n_deleted long, text string")
