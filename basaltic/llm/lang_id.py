@@ -162,10 +162,10 @@ class Scorer:
     def _places(self, words: list[str]) -> np.ndarray:
         """The row of each word."""
         cores = [w.lower().rstrip(MARKS) for w in words]
-        missing = set(cores) - self.memo.keys()
+        missing = set(cores).difference(self.memo)
         if len(self.memo) + len(missing) > len(self.rows):  # rows stand in the order of the memo
             self.memo = dict(islice(self.memo.items(), MEMO_WORDS // 2))
-            missing = set(cores) - self.memo.keys()
+            missing = set(cores).difference(self.memo)
         if missing:
             self._learn(list(missing))
         return np.fromiter(map(self.memo.__getitem__, cores), np.int64, len(cores))

@@ -66,7 +66,7 @@ class Hasher:
         try:
             return np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
         except KeyError:
-            memo.update((w, self.digest(w)) for w in set(words) - memo.keys())
+            memo.update((w, self.digest(w)) for w in set(words).difference(memo))
             return np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
 
 

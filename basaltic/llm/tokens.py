@@ -119,7 +119,7 @@ class WordEncoder:
         cores.update(zip(rest, self._each([lead + w for w in rest]), strict=True))
 
     def _learn_bare(self, words: set[str]) -> None:
-        if new := list(words - self.bare.keys()):
+        if new := list(words.difference(self.bare)):
             self.bare.update(zip(new, self._each(new), strict=True))
 
     def _of_words(self, words: list[str]) -> list[bytes]:
@@ -138,7 +138,7 @@ class WordEncoder:
                     marks[i], cores_of[i] = mark, core
         if not self.spaced:
             cores_of = [w.lower() if w.isascii() else folded(w) for w in cores_of]
-        if new := set(cores_of) - self.cores.keys():
+        if new := set(cores_of).difference(self.cores):
             self._learn_cores(list(new))
         ends = {i: [split_mark(x) for x in lines] for i, lines in tails.items()}
         self._learn_bare({"\n", *marks.values()}.union(*((c, m) for x in ends.values() for c, m in x)))
