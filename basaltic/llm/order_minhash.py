@@ -8,11 +8,13 @@ common sequence M of their k-mers within the band gives M / (n1 + n2 - M) >= 0.8
 similarity no alignment leaves the diagonal by more than (n1 + n2) / 9, which is the band.
 
 At 0.8 a sketch agrees with probability 0.8^3 = 0.51, so a pair shares at least ``AGREE`` of
-the 20 sketches with probability 0.9998. Equal texts are one class from the start. First each
-bucket's members are compared with its smallest; linked classes are merged; then every pair of
-a bucket whose classes still differ and whose sketches agree often enough is compared as well.
-A group of many near copies costs one comparison for each member and bucket, a bucket that
-unrelated documents share costs no more than sketch comparisons, and nothing is capped.
+the 20 sketches that make buckets with probability 0.9998, and enough of all 128 marks with
+0.9998 again. Equal texts are one class from the start. First each bucket's members are
+compared with its most central one, whose buckets hold the most; linked classes are merged;
+then every pair of a bucket whose classes still differ and that can be near copies by its odd
+sketches and marks is compared as well. A group of many near copies costs one comparison for
+each member and bucket; pairs that aren't near copies cost sketch comparisons inside the join,
+and hardly any leave it; nothing is capped.
 
 Cases: a null text counts as empty; texts without words are near copies of equal texts only;
 rows with a null id take part, and a class's id is its smallest id that is not null; repeated
@@ -32,14 +34,20 @@ from pyspark.sql import functions as F
 from basaltic.llm.common import connected_components, saved
 
 WORDS, SIMILARITY = 5, 0.8
+#: Sketches that make buckets, their k-mers, and how many a pair must share.
 SKETCHES, L, AGREE = 20, 3, 3
+#: All sketches, of which a pair must share so many; the second number is for fewer than
+#: ``SHORT`` k-mers. Both stand three and a half deviations below what 0.8 lets expect.
+MARKS, MARKS_AGREE, SHORT, SHORT_AGREE = 128, 44, 50, 32
+#: Bits of the odd sketch.
+PARITY = 2_048
 MEMO_WORDS = 300_000
 #: Largest number of classes whose keys are broadcast to pick their texts (about 60 bytes each).
 BROADCAST_CLASSES = 200_000
 
 U = np.uint64
 _RNG = np.random.default_rng(20)
-ODD = _RNG.integers(0, 1 << 63, WORDS + SKETCHES, dtype=np.uint64) * U(2) + U(1)
+ODD = _RNG.integers(0, 1 << 63, WORDS + MARKS, dtype=np.uint64) * U(2) + U(1)
 STEP = ODD[:WORDS]
 SPIN = ODD[WORDS:]
 
@@ -97,23 +105,31 @@ def labelled(kmers: np.ndarray) -> np.ndarray:
     return out
 
 
+def parity(kmers: np.ndarray) -> np.ndarray:
+    """An odd sketch: each labelled k-mer turns one of ``PARITY`` bits. Two of them differ in no
+    more bits than the k-mers that only one document has, so this filter loses no pair."""
+    turns = np.bincount((kmers >> U(24)).astype(np.int64) % PARITY, minlength=PARITY) & 1
+    return np.packbits(turns.astype(np.uint8)).view(np.int64)
+
+
 def sketches(kmers: np.ndarray) -> np.ndarray:
-    """One key for each sketch: its number and its k-mers in text order."""
-    kmers, n = labelled(kmers), len(kmers)
+    """One hash for each sketch of labelled k-mers, of its number and its k-mers in text order."""
+    n = len(kmers)
     if not n:
         return kmers
     kept = min(L, n)
-    keys = np.empty(SKETCHES, np.uint64)
-    step = SKETCHES if n <= 20_000 else 1
-    for s in range(0, SKETCHES, step):
-        spun = kmers[None, :] * SPIN[s : s + step, None]
+    keys = np.empty(MARKS, np.uint64)
+    step = max(1, min(MARKS, 400_000 // n))
+    for s in range(0, MARKS, step):
+        spin = SPIN[s : s + step]
+        spun = kmers[None, :] * spin[:, None]
         spun ^= spun >> U(31)
         spun *= U(0x9FB21C651E98DF25)
-        places = np.sort(np.argpartition(spun, kept - 1, 1)[:, :kept], 1) if kept < n else np.tile(np.arange(n), (step, 1))
+        places = np.sort(np.argpartition(spun, kept - 1, 1)[:, :kept], 1) if kept < n else np.tile(np.arange(n), (len(spin), 1))
         key = np.full(len(places), kept, np.uint64)
         for j in range(kept):
             key = mix(key * U(31) + kmers[places[:, j]])
-        keys[s : s + step] = mix(key + SPIN[s : s + step])
+        keys[s : s + step] = mix(key + spin)
     return keys
 
 
@@ -148,24 +164,31 @@ def aligned(a: np.ndarray, b: np.ndarray, at_a: np.ndarray, at_b: np.ndarray, ba
 
 
 def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, h, text to doc_id, h, n and keys."""
+    """doc_id, h, text to doc_id, h, n, keys (of buckets), marks (short forms of all), odd."""
     hasher = Hasher()
     for batch in batches:
         for part in (batch.slice(a, 1_000) for a in range(0, batch.num_rows, 1_000)):
-            n, keys = [], []
+            n, keys, marks, odd = [], [], [], []
             for t in part.column(2):
-                kmers = shingles(hasher.words(t.as_py()))
+                kmers = labelled(shingles(hasher.words(t.as_py())))
                 n.append(len(kmers))
-                keys.append(sketches(kmers).view(np.int64))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "h", "n", "keys"])
+                found = sketches(kmers)
+                odd.append(parity(kmers))
+                keys.append(found[:SKETCHES].view(np.int64))
+                marks.append((found >> U(32)).astype(np.uint32).view(np.int32))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(marks, pa.list_(pa.int32())), pa.array(odd, pa.list_(pa.int64()))], names=["doc_id", "h", "n", "keys", "marks", "odd"])
 
 
 def sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """cid, text to cid and k-mers."""
+    """cid, text to cid and words, four bytes each."""
     hasher = Hasher()
     for batch in batches:
         for part in (batch.slice(a, 500) for a in range(0, batch.num_rows, 500)):
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([hasher.words(t.as_py()).tobytes() for t in part.column(1)], pa.binary())], names=["cid", "words"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([(hasher.words(t.as_py()) >> U(32)).astype(np.uint32).tobytes() for t in part.column(1)], pa.binary())], names=["cid", "words"])
+
+
+def words_of(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, np.uint32).astype(np.uint64)
 
 
 def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,8 +198,8 @@ def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hit_a, hit_b = [], []
         for a, b, wa, wb in zip(*(batch.column(i) for i in range(4)), strict=True):
             if a.as_py() != last:
-                last, ka = a.as_py(), shingles(np.frombuffer(wa.as_py(), np.uint64))
-            if similarity(ka, shingles(np.frombuffer(wb.as_py(), np.uint64))) >= SIMILARITY:
+                last, ka = a.as_py(), shingles(words_of(wa.as_py()))
+            if similarity(ka, shingles(words_of(wb.as_py()))) >= SIMILARITY:
                 hit_a.append(last)
                 hit_b.append(b.as_py())
         yield pa.RecordBatch.from_arrays([pa.array(hit_a, pa.int64()), pa.array(hit_b, pa.int64())], names=["a", "b"])
@@ -188,7 +211,12 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _agree(a: str, b: str) -> Column:
-    return F.size(F.array_intersect(a, b)) >= F.least(F.lit(AGREE), F.size(a), F.size(b))
+    """Whether structs ``a`` and ``b`` (n, keys, marks, odd) can be near copies: their odd
+    sketches differ in few enough bits, and they share enough sketches."""
+    shared = lambda field: F.size(F.array_intersect(f"{a}.{field}", f"{b}.{field}"))
+    turned = sum((F.bit_count(F.get(f"{a}.odd", F.lit(i)).bitwiseXOR(F.get(f"{b}.odd", F.lit(i)))) for i in range(PARITY // 64)), F.lit(0))
+    least = F.when(F.least(f"{a}.n", f"{b}.n") < SHORT, SHORT_AGREE).otherwise(MARKS_AGREE)
+    return (turned * 9 <= F.col(f"{a}.n") + F.col(f"{b}.n")) & (shared("keys") >= AGREE) & (shared("marks") >= least)
 
 
 def _near_in_length(a: str, b: str) -> Column:
@@ -212,28 +240,32 @@ def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id and h of every row, with its class: class_id, class_size, and whether its text
     leads the class."""
     rows = _rows(docs, id_col, text_col)
-    sketched = saved(rows.mapInArrow(sketch, "doc_id long, h binary, n long, keys array<long>"), "omh-sketches")
-    reps = sketched.groupBy("h").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    sketched = saved(rows.mapInArrow(sketch, "doc_id long, h binary, n long, keys array<long>, marks array<int>, odd array<long>"), "omh-sketches")
+    reps = sketched.groupBy("h").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("marks").alias("marks"), F.first("odd").alias("odd"))
     reps = saved(reps.withColumn("cid", F.monotonically_increasing_id()), "omh-classes")
 
     dealt = reps.select("cid", "n", F.explode("keys").alias("key"))
-    shared = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("cid", "n")).alias("lead")).where("size > 1")
-    members = saved(dealt.join(shared.select("key", "lead"), "key"), "omh-members")
-
-    star = members.where("cid <> lead.cid").where(_near_in_length("n", "lead.n")).select(F.col("lead.cid").alias("a"), F.col("cid").alias("b")).distinct()
+    shared = saved(dealt.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "omh-shared")
+    members = saved(dealt.join(shared, "key"), "omh-members")
+    scores = members.groupBy("cid").agg(F.sum("size").alias("score"))
+    members = saved(members.drop("size").join(scores, "cid"), "omh-members")
+    leads = saved(members.groupBy("key").agg(F.max_by(F.struct("cid", "n"), F.struct("score", -F.col("cid"))).alias("lead")), "omh-leads")
+
+    star = members.join(leads, "key").where("cid <> lead.cid").where(_near_in_length("n", "lead.n"))
+    star = star.select(F.col("lead.cid").alias("a"), F.col("cid").alias("b")).distinct()
     star = saved(star, "omh-star")
-    side = reps.select("cid", "keys")
-    star = star.join(side.select(F.col("cid").alias("a"), F.col("keys").alias("ka")), "a").join(side.select(F.col("cid").alias("b"), F.col("keys").alias("kb")), "b")
-    star = saved(star.where(_agree("ka", "kb")).select("a", "b"), "omh-star")
+    side = reps.select("cid", F.struct("n", "keys", "marks", "odd").alias("of"))
+    star = star.join(side.select(F.col("cid").alias("a"), F.col("of").alias("of_a")), "a").join(side.select(F.col("cid").alias("b"), F.col("of").alias("of_b")), "b")
+    star = saved(star.where(_agree("of_a", "of_b")).select("a", "b"), "omh-star")
     found = saved(links(star, rows, reps), "omh-links")
     merged = connected_components(found, "omh-components")
 
-    placed = members.join(merged, F.col("cid") == F.col("node"), "left").select("key", "cid", "n", F.coalesce("component", "cid").alias("class"))
+    placed = members.join(merged, F.col("cid") == F.col("node"), "left").select("key", "cid", F.coalesce("component", "cid").alias("class"))
     mixed = saved(placed.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("key"), "omh-mixed")
-    open_rows = saved(placed.join(mixed, "key", "left_semi").join(side, "cid").select("key", "cid", "n", "class", "keys"), "omh-open")
-    left = open_rows.select("key", F.col("cid").alias("a"), F.col("n").alias("na"), F.col("class").alias("ca"), F.col("keys").alias("ka"))
-    right = open_rows.select("key", F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("class").alias("cb"), F.col("keys").alias("kb"))
-    near = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _near_in_length("na", "nb") & _agree("ka", "kb")
+    open_rows = saved(placed.join(mixed, "key", "left_semi").join(side, "cid").select("key", "cid", "class", "of"), "omh-open")
+    left = open_rows.select("key", F.col("cid").alias("a"), F.col("class").alias("ca"), F.col("of").alias("of_a"))
+    right = open_rows.select("key", F.col("cid").alias("b"), F.col("class").alias("cb"), F.col("of").alias("of_b"))
+    near = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _near_in_length("of_a.n", "of_b.n") & _agree("of_a", "of_b")
     cross = left.join(right, (left["key"] == right["key"]) & near).select("a", "b").distinct()
     cross = saved(cross.join(star, ["a", "b"], "left_anti"), "omh-cross")
     more = saved(links(cross, rows, reps), "omh-links")
