@@ -14,12 +14,11 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from basaltic.llm.tokens import stretches
+from basaltic.llm.tokens import sole, stretches
 
 #: Characters of a text that are encoded in one call.
 PIECE = 1 << 16
@@ -49,10 +48,8 @@ class ByteBpe:
         return self.encoding.decode_bytes(ids)
 
 
-@lru_cache(maxsize=2)
 def byte_bpe(path: str, pattern: str) -> ByteBpe:
-    """One for a worker process."""
-    return ByteBpe(path, pattern)
+    return sole(("bytes", path, pattern), lambda: ByteBpe(path, pattern))
 
 
 def map_texts(docs: DataFrame, path: str, pattern: str, make, schema: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,108 +1,14 @@
-"""Shared scratch storage and graph helpers of the corpus operators."""
+"""What the corpus operators share."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-#: Used only where the cluster names no shared folder (tests on one machine).
-LOCAL_SCRATCH = "file:///tmp/checkpoints"
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names in ``spark.checkpoint.dir``."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (named or LOCAL_SCRATCH).rstrip("/")
-
-
-def scratch_path(spark: SparkSession, tag: str) -> str:
-    """A fresh folder in shared storage, deleted when the driver's JVM ends."""
-    path = f"{scratch_root(spark)}/basaltic/{tag}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return path
-
 
-def drop_scratch(spark: SparkSession, path: str) -> None:
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+from basaltic.operators.graph import connected_components
+from basaltic.storage import materialize, saved, scratch_path
 
-
-def materialize(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
-    """Write ``df`` to shared storage and read it back: lineage ends there, so lost
-    executors cost a reread and not the work before it. Returns the table and its path."""
-    path = scratch_path(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
-
-
-def saved(df: DataFrame, tag: str) -> DataFrame:
-    return materialize(df, tag)[0]
+__all__ = ["connected_components", "materialize", "saved", "scratch_path", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def connected_components(edges: DataFrame, tag: str = "components") -> DataFrame:
-    """(node, component) for every node of undirected ``edges`` (a, b); component is the
-    smallest node reachable. Nulls and self-loops are ignored; no edges give no rows.
-
-    Each round points every node at its smallest neighbour, shortens the pointers to their
-    roots by doubling, and contracts the edges to roots; the nodes of a component at least
-    halve per round. Nothing is gathered per node but a minimum (combined before the
-    shuffle), and joins read plain written tables, so that a hub's rows can be split by
-    adaptive execution.
-    """
-    spark = edges.sparkSession
-    edges = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b").distinct()
-    labels, old = None, []
-    while True:
-        edges, edges_path = materialize(edges, f"{tag}-edges")
-        both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m"))
-        pointers, pointers_path = materialize(least.select("v", F.least("v", "m").alias("p")), f"{tag}-pointers")
-        if pointers.isEmpty():
-            break
-        while True:
-            up = pointers.select(F.col("v").alias("p"), F.col("p").alias("q"))
-            nearer = pointers.join(up, "p").select("v", "p", "q")
-            nearer, path = materialize(nearer, f"{tag}-pointers")
-            moved = not nearer.where("p <> q").isEmpty()
-            pointers = nearer.select("v", F.col("q").alias("p"))
-            drop_scratch(spark, pointers_path)
-            pointers_path = path
-            if not moved:
-                break
-        if labels is None:
-            labels = pointers.select(F.col("v").alias("node"), F.col("p").alias("component"))
-            old = [pointers_path]
-        else:
-            step = pointers.select(F.col("v").alias("component"), F.col("p").alias("further"))
-            further, path = materialize(
-                labels.join(step, "component", "left").select("node", F.coalesce("further", "component").alias("component")),
-                f"{tag}-labels",
-            )
-            for p in [*old, pointers_path]:
-                drop_scratch(spark, p)
-            labels, old = further, [path]
-        roots = labels
-        contracted = (
-            edges.join(roots.select(F.col("node").alias("a"), F.col("component").alias("ra")), "a")
-            .join(roots.select(F.col("node").alias("b"), F.col("component").alias("rb")), "b")
-            .where("ra <> rb")
-            .select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-            .distinct()
-        )
-        contracted, path = materialize(contracted, f"{tag}-contracted")
-        drop_scratch(spark, edges_path)
-        if contracted.isEmpty():
-            drop_scratch(spark, path)
-            return labels
-        edges = contracted
-    if labels is None:
-        return pointers.select(F.col("v").alias("node"), F.col("p").alias("component"))
-    return labels

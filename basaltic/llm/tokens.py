@@ -12,7 +12,6 @@ import os
 import re
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import islice
 from unicodedata import is_normalized
 
@@ -22,7 +21,7 @@ import pyarrow.compute as pc
 
 #: Words in the memo (some 170 bytes each); when it is full, the first half is kept and the
 #: rest forgotten.
-MEMO_WORDS = 600_000
+MEMO_WORDS = 400_000
 #: Texts longer than this are encoded in stretches that end at a safe boundary.
 STRETCH = 1 << 20
 
@@ -41,6 +40,10 @@ def stretches(text: str, size: int = STRETCH) -> Iterator[str]:
     yield text[at:]
 
 
+#: Marks the first word of a line, once breaks are cut out; texts that hold it are encoded whole.
+LINE = "\x01"
+BREAK = f" \n {LINE}"
+
 #: Marks that are cut off a word's end; after a letter or digit they are encoded on their own.
 MARKS = ".,;:!?"
 ENDS = frozenset(MARKS)
@@ -124,11 +127,13 @@ class WordEncoder:
 
     def _of_words(self, words: list[str]) -> list[bytes]:
         """Ids of words, each with the space before it if ``spaced``."""
-        tails: dict[int, list[str]] = {}  # lines after a word's first: a break before them and no space
+        alone: dict[int, tuple[str, str]] = {}  # line breaks, and words after one: no space before them
         if self.spaced:
             for i, w in enumerate(words):
-                if "\n" in w and not (w[0] == "\n" or w[-1] == "\n" or _DOUBLE.search(w)):
-                    words[i], *tails[i] = w.split("\n")
+                if w == "\n":
+                    alone[i], words[i] = (w, ""), ""
+                elif w[:1] == LINE:
+                    alone[i], words[i] = split_mark(w[1:]), ""
         marks: dict[int, str] = {}
         cores_of = words
         for i, w in enumerate(words):
@@ -140,13 +145,12 @@ class WordEncoder:
             cores_of = [w.lower() if w.isascii() else folded(w) for w in cores_of]
         if new := set(cores_of).difference(self.cores):
             self._learn_cores(list(new))
-        ends = {i: [split_mark(x) for x in lines] for i, lines in tails.items()}
-        self._learn_bare({"\n", *marks.values()}.union(*((c, m) for x in ends.values() for c, m in x)))
+        self._learn_bare(set(marks.values()).union(*alone.values()))
         bare, out = self.bare, list(map(self.cores.__getitem__, cores_of))
         for i, m in marks.items():
             out[i] += bare[m]
-        for i, x in ends.items():
-            out[i] += b"".join([bare["\n"] + bare[c] + bare[m] for c, m in x])
+        for i, (c, m) in alone.items():
+            out[i] = bare[c] + bare[m]
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -160,7 +164,11 @@ class WordEncoder:
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         rows, owner, more, more_owner = [], [], [], []
+        direct: dict[int, bytes] = {}
         for n, text in enumerate(texts):
+            if self.spaced and LINE in text:
+                direct[n] = self._each([text])[0]
+                continue
             for s in stretches(text) if len(text) > STRETCH else (text,):
                 if not self.spaced:
                     rows.append(s.replace("\n", " "))
@@ -168,8 +176,8 @@ class WordEncoder:
                 elif _DOUBLE.search(s):
                     more.append(_SAFE.split(s))
                     more_owner.append(n)
-                else:
-                    rows.append(s)
+                else:  # single breaks inside become words of their own
+                    rows.append(s.replace("\n", BREAK) if "\n" in s and s[0] != "\n" and s[-1] != "\n" else s)
                     owner.append(n)
         words, codes, starts = distinct_words(rows, more)
         ids = self._of_words(list(words))
@@ -191,17 +199,27 @@ class WordEncoder:
         for i, n in enumerate(owner):
             out[n].append(data[ends[i] : ends[i + 1]].tobytes())
         self.cores, self.bare = self._trimmed(self.cores), self._trimmed(self.bare)
-        return [o[0] if len(o) == 1 else b"".join(o) for o in out]
+        return [direct.get(n) or (o[0] if len(o) == 1 else b"".join(o)) for n, o in enumerate(out)]
 
     def _trimmed(self, memo: dict[str, bytes]) -> dict[str, bytes]:
         """The first half, which holds the commonest words, once the memo is full."""
         return memo if len(memo) <= self.memo_words else dict(islice(memo.items(), self.memo_words // 2))
 
 
-@lru_cache(maxsize=2)
+_SOLE: dict = {}
+
+
+def sole(key, make):
+    """What ``make`` gives, kept in this process until another key is asked for: one operator's
+    memos serve all tasks of a worker, and go when the worker turns to another operator."""
+    if key not in _SOLE:
+        _SOLE.clear()
+        _SOLE[key] = make()
+    return _SOLE[key]
+
+
 def encoder(path: str, spaced: bool) -> WordEncoder:
-    """One for a worker process, whose memo serves all its tasks."""
-    return WordEncoder(path, spaced)
+    return sole(("words", path, spaced), lambda: WordEncoder(path, spaced))
 
 
 def batches_of(texts: list[str], most_texts: int = 3_000, most_chars: int = 6_000_000) -> Iterator[list[str]]:

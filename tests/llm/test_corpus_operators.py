@@ -17,7 +17,7 @@ from basaltic.llm.common import connected_components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega".split()
-ODD_TEXTS = ["", " ", "a  b", "\n", "a\n", "a \n b", "  lead", "x\n\ny z. w", "İSTANBUL ΣΑΣ. éa Å don't. 12,3 3.. ...", "a<|endoftext|>b <|endoftext|>", " x  y", "A. B!? c;", "日本語 テキスト", "\x1c a\x85b\u00a0c", "e\u0301 e\u0301."]
+ODD_TEXTS = ["\x01a \x01b\n\x01c", "line one.\nLine two\nx", "\nq r\ns", "t u\n",  "", " ", "a  b", "\n", "a\n", "a \n b", "  lead", "x\n\ny z. w", "İSTANBUL ΣΑΣ. éa Å don't. 12,3 3.. ...", "a<|endoftext|>b <|endoftext|>", " x  y", "A. B!? c;", "日本語 テキスト", "\x1c a\x85b\u00a0c", "e\u0301 e\u0301."]
 
 
 def prose(seed, n=200):
@@ -127,6 +127,10 @@ def test_word_encoder(name, spaced, monkeypatch):
     coder = tokens.WordEncoder(public_tokenizers.path(name), spaced, memo_words=50)
     for _ in range(2):
         assert coder.encode(texts) == want
+    rng = random.Random(1)
+    parts = ["a", "B", "é", "\n", " ", " ", ".", "!", "1", "\x01", "'s", "\t", "ñ", "漢", "\u0301", "<|endoftext|>"]
+    odd = ["".join(rng.choice(parts) for _ in range(rng.randrange(40))) for _ in range(2_000)]
+    assert coder.encode(odd) == [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in odd]
     monkeypatch.setattr(tokens, "STRETCH", 64)
     monkeypatch.setattr(tokens.stretches, "__defaults__", (64,))
     assert coder.encode(texts) == want and coder.encode([]) == []
