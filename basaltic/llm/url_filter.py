@@ -35,7 +35,10 @@ RULES = [
 
 
 def rules_table(spark, rules=RULES) -> DataFrame:
-    return spark.createDataFrame(rules, "rule_host string, rule_path string, verdict string")
+    """A short list of rules as a table; long ones come as a table from the start."""
+    fields = ("rule_host", "rule_path", "verdict")
+    rows = [F.struct(*[F.lit(v).cast("string").alias(n) for n, v in zip(fields, r, strict=True)]) for r in rules]
+    return spark.range(1).select(F.inline(F.array(*rows)))
 
 
 def _after_scheme(url: Column) -> Column:
