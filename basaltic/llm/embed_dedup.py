@@ -85,7 +85,9 @@ def compare(threshold: float):
     """Link counts of a block's own rows and a spanning forest of its links."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        own, others = rows[rows["own"]], rows[~rows["own"]]
+        """A cell of one block comes once, its own rows marked; other blocks in two parts."""
+        own = rows[rows["own"]]
+        others = rows if rows["whole"].iloc[0] else rows[~rows["own"]]
         if not len(own) or not len(others):
             return pd.DataFrame({"cid": [], "links": [], "root": []})
         left, right = own["cid"].to_numpy(), others["cid"].to_numpy()
@@ -141,18 +143,17 @@ def link(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id
     parts = saved(parts.where("own_parts > 1 or all_parts > 1"), "vector-parts")  # only cells with centroids
     parts = F.broadcast(parts) if parts.count() <= MOST_CELLS else parts
 
-    def dealt(rows: DataFrame, own: bool) -> DataFrame:
-        joined = rows.join(parts, ["label", "dim", "cell"], "left").withColumns({"own_parts": F.coalesce("own_parts", F.lit(1)), "all_parts": F.coalesce("all_parts", F.lit(1))})
-        mine, other = ("own_parts", "all_parts") if own else ("all_parts", "own_parts")
-        part = F.pmod(F.xxhash64("cid"), F.col(mine)).cast("int")
-        every = F.explode(F.sequence(F.lit(0), F.col(other) - 1))
-        out = joined.withColumn("part", part).withColumn("other", every)
-        pair = ("part", "other") if own else ("other", "part")
-        return out.select("label", "dim", "cell", F.col(pair[0]).alias("a"), F.col(pair[1]).alias("b"), F.lit(own).alias("own"), "cid", "weight", "v")
-
-    mine = dealt(placed.withColumn("cell", F.col("home")), True)
-    theirs = dealt(placed.withColumn("cell", F.explode("cells")), False)
-    found = mine.union(theirs).groupBy("label", "dim", "cell", "a", "b").applyInPandas(compare(threshold), "cid long, links long, root long")
+    # A cell of one block goes there once; of others, the vectors at home go to every block of
+    # their part, and so do all that the cell meets.
+    met = placed.withColumn("cell", F.explode("cells")).join(parts, ["label", "dim", "cell"], "left")
+    columns = ["label", "dim", "cell", "a", "b", "own", "whole", "cid", "weight", "v"]
+    single = met.where("own_parts is null").select("label", "dim", "cell", F.lit(0).alias("a"), F.lit(0).alias("b"), (F.col("cell") == F.col("home")).alias("own"), F.lit(True).alias("whole"), "cid", "weight", "v")
+    many = met.where("own_parts is not null").withColumn("whole", F.lit(False))
+    hashed = F.xxhash64("cid")
+    mine = many.where("cell = home").withColumns({"own": F.lit(True), "a": F.pmod(hashed, "own_parts").cast("int"), "b": F.explode(F.sequence(F.lit(0), F.col("all_parts") - 1))})
+    theirs = many.withColumns({"own": F.lit(False), "b": F.pmod(hashed, "all_parts").cast("int"), "a": F.explode(F.sequence(F.lit(0), F.col("own_parts") - 1))})
+    blocks = single.select(*columns).union(mine.select(*columns)).union(theirs.select(*columns))
+    found = blocks.groupBy("label", "dim", "cell", "a", "b").applyInPandas(compare(threshold), "cid long, links long, root long")
     found = saved(found, "vector-links")
     components = connected_components(found.where("root is not null").select(F.col("cid").alias("a"), F.col("root").alias("b")), "vector-components")
     counts = found.groupBy(F.col("cid").alias("n_cid")).agg(F.sum("links").alias("links"))
