@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from basaltic.llm.tokens import sole, stretches
+from basaltic.llm.tokens import settle, sole, stretches
 
 #: Characters of a text that are encoded in one call.
 PIECE = 1 << 16
@@ -61,6 +61,7 @@ def map_texts(docs: DataFrame, path: str, pattern: str, make, schema: str, id_co
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 yield make(bpe, part.column(0), part.column(1))
+            settle()
 
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 

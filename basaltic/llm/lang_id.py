@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basaltic.llm.tokens import MARKS, distinct_words, stretches
+from basaltic.llm.tokens import MARKS, distinct_words, settle, sole, stretches
 
 UNKNOWN = "und"
 #: About so many documents of each language are learned from.
@@ -42,8 +42,8 @@ SMOOTHING = 0.05
 #: Share of a text's words that may come from any of the languages, so that a quoted passage
 #: doesn't outweigh the rest.
 FOREIGN = 0.1
-#: Words whose scores a worker keeps, and characters (so words, at most) that it scores at once.
-MEMO_WORDS, SLICE_WORDS = 300_000, 1_000_000
+#: Words whose scores a worker keeps, and characters that it scores at once.
+MEMO_WORDS, SLICE_CHARS = 250_000, 600_000
 
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -157,13 +157,13 @@ class Scorer:
     def __init__(self, langs: list[str], table: np.ndarray, pieces: dict[str, int]) -> None:
         self.langs, self.p, self.pieces = langs, table, pieces
         self.memo: dict[str, int] = {}  # lower-cased words without marks, to rows
-        self.rows = np.zeros((MEMO_WORDS + SLICE_WORDS, len(langs) + 1))
+        self.rows = np.zeros((MEMO_WORDS + SLICE_CHARS + 2, len(langs) + 1), np.float32 if len(langs) > 32 else np.float64)
 
     def _places(self, words: list[str]) -> np.ndarray:
         """The row of each word."""
         cores = [w.lower().rstrip(MARKS) for w in words]
         missing = set(cores).difference(self.memo)
-        if len(self.memo) + len(missing) > len(self.rows):  # rows stand in the order of the memo
+        if len(self.memo) > MEMO_WORDS:  # rows stand in the order of the memo
             self.memo = dict(islice(self.memo.items(), MEMO_WORDS // 2))
             missing = set(cores).difference(self.memo)
         if missing:
@@ -187,17 +187,19 @@ class Scorer:
         out = np.zeros((len(cores), len(self.langs) + 1))
         np.add.at(out[:, :-1], owner, logs)
         np.add.at(out[:, -1], owner, 1)
+        if base + len(cores) > len(self.rows):  # a text without a safe place to cut
+            self.rows = np.vstack([self.rows, np.zeros((len(cores), self.rows.shape[1]), self.rows.dtype)])
         self.rows[base : base + len(cores)] = out
         self.memo.update(zip(cores, range(base, base + len(cores)), strict=True))
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         texts, done = [(t or "").replace("\n", " ") for t in texts], []
-        for a, b in slices([len(t) for t in texts], SLICE_WORDS):
+        for a, b in slices([len(t) for t in texts], SLICE_CHARS):
             if b - a > 1:
                 done += self._sums(texts[a:b])
             else:
                 total = np.zeros(len(self.langs) + 1)
-                for part in stretches(texts[a], SLICE_WORDS // 2):
+                for part in stretches(texts[a], SLICE_CHARS // 2):
                     total += self._sums([part])[0]
                 done.append(total)
         return [self._best(d) for d in done]
@@ -226,14 +228,9 @@ def slices(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
         yield a, len(sizes)
 
 
-_LATEST: list = [None, None]
-
-
 def scorer_of(model: tuple) -> Scorer:
-    """One for a worker process and model, whose memo serves all its tasks."""
-    if _LATEST[0] is not model:
-        _LATEST[:] = [model, Scorer(*model)]
-    return _LATEST[1]
+    """The worker's scorer; the model is kept with it, so that its identity stays its own."""
+    return sole(("languages", id(model)), lambda: (model, Scorer(*model)))[1]
 
 
 def learn(learnable: DataFrame, model_path: str, id_col: str, text_col: str, lang_col: str, sample_docs: int):
@@ -259,6 +256,7 @@ def predict(docs: DataFrame, learnable: DataFrame, model_path: str, id_col: str
             for part in (batch.slice(a, 1_000) for a in range(0, batch.num_rows, 1_000)):
                 found = _found(model.value, part.column(1))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=["doc_id", "lang_pred", "score"])
+            settle()
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
@@ -273,5 +271,6 @@ def recognised(docs: DataFrame, learnable: DataFrame, model_path: str, id_col: s
         for batch in batches:
             for part in (batch.slice(a, 1_000) for a in range(0, batch.num_rows, 1_000)):
                 yield part.filter(pa.array([f[0] != UNKNOWN for f in _found(model.value, part.column(at))], pa.bool_()))
+            settle()
 
     return docs.mapInArrow(run, docs.schema)

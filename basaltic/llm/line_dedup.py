@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basaltic.llm.common import saved
+from basaltic.llm.tokens import settle
 
 LEAST_WORDS = 50
 BASE = 0x9E3779B97F4A7C15
@@ -72,6 +73,7 @@ def select(least_words: int):
                     [part.column(0).take(keep), part.column(1).take(keep), pa.array(fp.view(np.int64)), pa.array(win.view(np.int64)), pa.array(first), pa.array(last)],
                     names=["doc_id", "h", "fp", "win", "first", "last"],
                 )
+            settle()
 
     return run
 
@@ -95,6 +97,7 @@ def apply_cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             done = [cut(t.as_py(), s.as_py()) for t, s in zip(part.column(1), part.column(2), strict=True)]
             text, n, gone = zip(*done, strict=True) if done else ((), (), ())
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(text, pa.string())], names=["doc_id", "n_lines", "n_deleted", "text"])
+        settle()
 
 
 def deduplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:

@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basaltic.llm.common import connected_components, saved
+from basaltic.llm.tokens import forget, settle, sole
 
 WORDS, SIMILARITY = 5, 0.8
 #: Sketches that make buckets, their k-mers, and how many a pair must share.
@@ -165,7 +166,7 @@ def aligned(a: np.ndarray, b: np.ndarray, at_a: np.ndarray, at_b: np.ndarray, ba
 
 def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """doc_id, h, text to doc_id, h, n, keys (of buckets), marks (short forms of all), odd."""
-    hasher = Hasher()
+    hasher = sole(("kmers",), Hasher)
     for batch in batches:
         for part in (batch.slice(a, 1_000) for a in range(0, batch.num_rows, 1_000)):
             n, keys, marks, odd = [], [], [], []
@@ -177,14 +178,16 @@ def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 keys.append(found[:SKETCHES].view(np.int64))
                 marks.append((found >> U(32)).astype(np.uint32).view(np.int32))
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(marks, pa.list_(pa.int32())), pa.array(odd, pa.list_(pa.int64()))], names=["doc_id", "h", "n", "keys", "marks", "odd"])
+        settle()
 
 
 def sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """cid, text to cid and words, four bytes each."""
-    hasher = Hasher()
+    hasher = sole(("kmers",), Hasher)
     for batch in batches:
         for part in (batch.slice(a, 500) for a in range(0, batch.num_rows, 500)):
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([(hasher.words(t.as_py()) >> U(32)).astype(np.uint32).tobytes() for t in part.column(1)], pa.binary())], names=["cid", "words"])
+        settle()
 
 
 def words_of(data: bytes) -> np.ndarray:
@@ -194,6 +197,7 @@ def words_of(data: bytes) -> np.ndarray:
 def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """a, b and their words to the pairs that are near copies."""
     last, ka = None, None
+    forget()
     for batch in batches:
         hit_a, hit_b = [], []
         for a, b, wa, wb in zip(*(batch.column(i) for i in range(4)), strict=True):
@@ -203,6 +207,7 @@ def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 hit_a.append(last)
                 hit_b.append(b.as_py())
         yield pa.RecordBatch.from_arrays([pa.array(hit_a, pa.int64()), pa.array(hit_b, pa.int64())], names=["a", "b"])
+        settle()
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

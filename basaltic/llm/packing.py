@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basaltic.llm.common import materialize
-from basaltic.llm.tokens import batches_of, encoder
+from basaltic.llm.tokens import batches_of, encoder, settle
 
 CAPACITY = 2048
 END_ID = 0
@@ -106,7 +106,7 @@ def encode_partition(vocabulary: str, capacity: int, close: int, end_id: int):
         first, sizes, payloads, full = _first_id(1), [], [], []
         for batch in batches:
             keys, at = batch.column(0).to_pylist(), 0
-            for texts in batches_of([t or "" for t in batch.column(1).to_pylist()]):
+            for texts in batches_of(batch.column(1)):
                 for coded in coder.encode(texts):
                     coded, key = coded + end, keys[at]
                     at += 1
@@ -119,6 +119,7 @@ def encode_partition(vocabulary: str, capacity: int, close: int, end_id: int):
                         else:
                             sizes.append(length)
                             payloads.append(payload)
+                settle()
                 if len(full) >= 5_000:
                     yield _bins(full)
                     full = []

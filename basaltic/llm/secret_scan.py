@@ -23,6 +23,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from basaltic.llm.tokens import forget, settle
+
 KINDS = ("assign", "access", "hex", "guess")
 BASE = KINDS[:3]
 LEAST = {"assign": 6, "access": 20, "hex": 24}
@@ -174,6 +176,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for part in (batch.slice(a, 1_000) for a in range(0, batch.num_rows, 1_000)):
                 counts, shas, spans = [], [], []
@@ -184,6 +187,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                     spans.append(joined(every))
                 n = [pa.array([c[i] for c in counts], pa.int64()) for i in range(3)]
                 yield pa.RecordBatch.from_arrays([part.column(0), *n, pa.array(shas), pa.array(spans)], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
+            settle()
 
     return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
@@ -206,6 +210,7 @@ def redact(docs: DataFrame, text_col: str = "text", chars_col: str | None = "n_c
     places = {c: i for i, c in enumerate(docs.columns)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for part in (batch.slice(a, 1_000) for a in range(0, batch.num_rows, 1_000)):
                 before = part.column(places[text_col]).to_pylist()
@@ -216,5 +221,6 @@ def redact(docs: DataFrame, text_col: str = "text", chars_col: str | None = "n_c
                     old = arrays[places[chars_col]]
                     arrays[places[chars_col]] = pa.array([n if a == b else len(b) for n, a, b in zip(old.to_pylist(), before, after, strict=True)], old.type)
                 yield pa.RecordBatch.from_arrays(arrays, schema=part.schema)
+            settle()
 
     return docs.mapInArrow(run, docs.schema)

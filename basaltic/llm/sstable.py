@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from basaltic.llm.common import saved, scratch_path
-from basaltic.llm.tokens import batches_of, encoder
+from basaltic.llm.tokens import batches_of, encoder, settle
 
 MAGIC = b"BSSTBL01"
 FOOTER = struct.Struct("<QQQQQQI8s")
@@ -243,7 +243,7 @@ def write_partition(folder: str, vocabulary: str, end_id: int, width: int):
         for batch in batches:
             ids = batch.column(0).to_pylist()
             at = 0
-            for texts in batches_of([t or "" for t in batch.column(1).to_pylist()]):
+            for texts in batches_of(batch.column(1)):
                 for coded in coder.encode(texts):
                     if writer is None:
                         shard = TaskContext.get().partitionId()
@@ -254,6 +254,7 @@ def write_partition(folder: str, vocabulary: str, end_id: int, width: int):
                         writer = ShardWriter(sink, width)
                     writer.add(key_of(ids[at]), np.concatenate([np.frombuffer(coded, "<u4"), end]))
                     at += 1
+                settle()
         if writer is not None:
             writer.close()
             sink.close()

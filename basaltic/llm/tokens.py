@@ -7,9 +7,11 @@ stays in a bounded memo.
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import re
+import sys
 from array import array
 from collections.abc import Iterator
 from itertools import islice
@@ -218,18 +220,32 @@ def sole(key, make):
     return _SOLE[key]
 
 
+def forget() -> None:
+    """Drops what another operator keeps in this process."""
+    _SOLE.clear()
+
+
+def settle() -> None:
+    """Gives freed memory back to the system; texts come and go, and would leave it in pieces."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+
 def encoder(path: str, spaced: bool) -> WordEncoder:
     return sole(("words", path, spaced), lambda: WordEncoder(path, spaced))
 
 
-def batches_of(texts: list[str], most_texts: int = 3_000, most_chars: int = 6_000_000) -> Iterator[list[str]]:
-    """Consecutive groups of bounded size."""
-    group, chars = [], 0
-    for t in texts:
-        if group and (len(group) == most_texts or chars + len(t) > most_chars):
-            yield group
-            group, chars = [], 0
-        group.append(t)
-        chars += len(t)
-    if group:
-        yield group
+def batches_of(texts: pa.Array, most_texts: int = 2_000, most_chars: int = 3_000_000) -> Iterator[list[str]]:
+    """Consecutive groups of bounded size, nulls as empty texts."""
+    sizes = pc.fill_null(pc.utf8_length(texts), 0).to_pylist()
+    a = chars = 0
+    for b, n in enumerate(sizes):
+        if b > a and (b - a == most_texts or chars + n > most_chars):
+            yield [t or "" for t in texts.slice(a, b - a).to_pylist()]
+            a, chars = b, 0
+        chars += n
+    if a < len(sizes):
+        yield [t or "" for t in texts.slice(a).to_pylist()]
