@@ -2,13 +2,28 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 
 from basaltic.operators.graph import connected_components
 from basaltic.storage import materialize, saved, scratch_path
 
-__all__ = ["connected_components", "materialize", "saved", "scratch_path", "table"]
+__all__ = ["arrow_rows", "connected_components", "materialize", "saved", "scratch_path", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Hands the jobs that run inside at most so many rows at once to Python."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)

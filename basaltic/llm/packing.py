@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basaltic.llm.common import materialize
+from basaltic.llm.common import arrow_rows, materialize
 from basaltic.llm.tokens import batches_of, encoder, settle
 
 CAPACITY = 2048
@@ -36,6 +36,8 @@ FAN_IN = 16
 TASK_BINS = 200_000
 #: Rounds end when one leaves more than this share of the open bins.
 STALL = 0.98
+#: Documents that a worker takes from Spark at once.
+ENCODED_ROWS = 2_500
 
 PIECE = np.dtype([("doc_id", "<i8"), ("null", "<i4"), ("piece", "<i4"), ("start", "<i8"), ("length", "<i4"), ("crc", "<u4")])
 BINS = "done boolean, fill int, sequence_id long, pieces binary"
@@ -171,7 +173,8 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     close = capacity - int(capacity * SLACK)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    bins, _ = materialize(source.mapInArrow(encode_partition(vocabulary, capacity, close, end_id), BINS), "pack-1")
+    with arrow_rows(docs.sparkSession, ENCODED_ROWS):
+        bins, _ = materialize(source.mapInArrow(encode_partition(vocabulary, capacity, close, end_id), BINS), "pack-1")
     finished, level, tasks = bins.where("done"), 1, None
     opened = bins.where("not done")
     while True:

@@ -35,7 +35,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from basaltic.llm.common import saved, scratch_path
+from basaltic.llm.common import arrow_rows, saved, scratch_path
 from basaltic.llm.tokens import batches_of, encoder, settle
 
 MAGIC = b"BSSTBL01"
@@ -45,6 +45,8 @@ BLOCK_BYTES = 1 << 18
 RESTART = 16
 BLOOM_BITS_A_KEY, BLOOM_HASHES = 10, 7
 END_ID = 2
+#: Documents that a worker takes from Spark at once.
+ENCODED_ROWS = 2_500
 
 MANIFEST = "shard int, path string, n_docs long, n_tokens long, n_bytes long, first_key binary, last_key binary"
 
@@ -280,7 +282,8 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str, id_col: str = "d
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     tie = F.xxhash64("text")
     spread = rows.repartitionByRange(F.col("doc_id").asc_nulls_first(), tie).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), tie)
-    return saved(spread.mapInArrow(write_partition(folder, vocabulary, end_id, width), MANIFEST), "sst-manifest")
+    with arrow_rows(docs.sparkSession, ENCODED_ROWS):
+        return saved(spread.mapInArrow(write_partition(folder, vocabulary, end_id, width), MANIFEST), "sst-manifest")
 
 
 def lookup(manifest: DataFrame, doc_id: int | None) -> list[list[int]]:

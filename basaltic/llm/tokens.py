@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 
 #: Words in the memo (some 170 bytes each); when it is full, the first half is kept and the
 #: rest forgotten.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 600_000
 #: Texts longer than this are encoded in stretches that end at a safe boundary.
 STRETCH = 1 << 20
 
@@ -238,7 +238,7 @@ def encoder(path: str, spaced: bool) -> WordEncoder:
     return sole(("words", path, spaced), lambda: WordEncoder(path, spaced))
 
 
-def batches_of(texts: pa.Array, most_texts: int = 2_000, most_chars: int = 3_000_000) -> Iterator[list[str]]:
+def batches_of(texts: pa.Array, most_texts: int = 4_000, most_chars: int = 6_000_000) -> Iterator[list[str]]:
     """Consecutive groups of bounded size, nulls as empty texts."""
     sizes = pc.fill_null(pc.utf8_length(texts), 0).to_pylist()
     a = chars = 0
