@@ -28,6 +28,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 OWNER_FINGERPRINTS = 1_000_000
 #: Largest number of suspect fingerprints that is broadcast (about 16 bytes each).
 BROADCAST_SUSPECTS = 500_000
+#: Largest number of groups of copies that is broadcast (about 120 bytes each).
+BROADCAST_GROUPS = 200_000
 
 MESSAGE = "owner int, sender long, n long, k int, first decimal(20,0), gaps binary, tops binary, repeated binary"
 
@@ -153,7 +155,7 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         .select(F.sha2("norm", 256).alias("text_sha256"), "keep_id", "group_size")
     )
     groups = saved(groups.where("group_size > 1"), "groups")
-    joined = base.join(groups, "text_sha256", "left")
+    joined = base.join(F.broadcast(groups) if groups.count() <= BROADCAST_GROUPS else groups, "text_sha256", "left")
     return joined.select(
         "doc_id",
         F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),

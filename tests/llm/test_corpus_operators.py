@@ -88,6 +88,7 @@ def lowered(t):
 def test_exact_dedup(spark, monkeypatch, broadcast):
     if not broadcast:
         monkeypatch.setattr(exact_dedup, "BROADCAST_SUSPECTS", 0)
+        monkeypatch.setattr(exact_dedup, "BROADCAST_GROUPS", 0)
         monkeypatch.setattr(exact_dedup, "OWNER_FINGERPRINTS", 40)
     rows = corpus(20)
     groups = defaultdict(list)
