@@ -9,10 +9,14 @@ similarity no alignment leaves the diagonal by more than (n1 + n2) / 9, which is
 
 At 0.8 a sketch agrees with probability 0.8^3 = 0.51, so a pair shares at least ``AGREE`` of
 the 20 sketches that make buckets with probability 0.9998, and enough of all 128 marks with
-0.9998 again. Equal texts are one class from the start. First each bucket's members are
+0.9998 again. That needs documents without repeated k-mers: where one recurs, its occurrences
+are numbered anew once one is gone, and sketches lose their order though the texts align. So
+``LOOSE`` sketches make buckets without their order as well, which agree with 0.51 in any case,
+and a pair in which a k-mer recurs needs one common bucket (0.9998 again) and the bound by odd
+sketches only, which no near copies fail. Equal texts are one class from the start. First each bucket's members are
 compared with its most central one, whose buckets hold the most; linked classes are merged;
-then every pair of a bucket whose classes still differ and that can be near copies by its odd
-sketches and marks is compared as well. A group of many near copies costs one comparison for
+then every pair of a bucket whose classes still differ and that can be near copies by these tests
+is compared as well. A group of many near copies costs one comparison for
 each member and bucket; pairs that aren't near copies cost sketch comparisons inside the join,
 and hardly any leave it; nothing is capped.
 
@@ -37,6 +41,8 @@ from basaltic.llm.tokens import forget, settle, sole
 WORDS, SIMILARITY = 5, 0.8
 #: Sketches that make buckets, their k-mers, and how many a pair must share.
 SKETCHES, L, AGREE = 20, 3, 3
+#: The first of them that make buckets without the order of their k-mers, too.
+LOOSE = 12
 #: All sketches, of which a pair must share so many; the second number is for fewer than
 #: ``SHORT`` k-mers. Both stand three and a half deviations below what 0.8 lets expect.
 MARKS, MARKS_AGREE, SHORT, SHORT_AGREE = 128, 44, 50, 32
@@ -92,7 +98,8 @@ def shingles(words: np.ndarray) -> np.ndarray:
 
 
 def labelled(kmers: np.ndarray) -> np.ndarray:
-    """K-mers with their occurrence number mixed in."""
+    """K-mers with their occurrence number mixed in; first occurrences stay as they are, so that
+    they equal those of a document in which nothing recurs."""
     order = np.argsort(kmers, kind="stable")
     ordered = kmers[order]
     new = np.ones(len(kmers), bool)
@@ -102,7 +109,7 @@ def labelled(kmers: np.ndarray) -> np.ndarray:
     at = np.arange(len(kmers))
     nth = at - np.maximum.accumulate(np.where(new, at, 0))
     out = np.empty_like(kmers)
-    out[order] = mix(ordered + nth.astype(np.uint64) * U(0x9E3779B97F4A7C15))
+    out[order] = np.where(nth > 0, mix(ordered + nth.astype(np.uint64) * U(0x9E3779B97F4A7C15)), ordered)
     return out
 
 
@@ -113,13 +120,14 @@ def parity(kmers: np.ndarray) -> np.ndarray:
     return np.packbits(turns.astype(np.uint8)).view(np.int64)
 
 
-def sketches(kmers: np.ndarray) -> np.ndarray:
-    """One hash for each sketch of labelled k-mers, of its number and its k-mers in text order."""
+def sketches(kmers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One hash for each sketch of labelled k-mers, of its number and its k-mers in text order,
+    and one for each of the first ``LOOSE`` in which their order doesn't count."""
     n = len(kmers)
     if not n:
-        return kmers
+        return kmers, kmers
     kept = min(L, n)
-    keys = np.empty(MARKS, np.uint64)
+    keys, loose = np.empty(MARKS, np.uint64), []
     step = max(1, min(MARKS, 400_000 // n))
     for s in range(0, MARKS, step):
         spin = SPIN[s : s + step]
@@ -131,7 +139,9 @@ def sketches(kmers: np.ndarray) -> np.ndarray:
         for j in range(kept):
             key = mix(key * U(31) + kmers[places[:, j]])
         keys[s : s + step] = mix(key + spin)
-    return keys
+        if s < LOOSE:
+            loose.append(mix(mix(kmers[places]).sum(1, dtype=np.uint64) + ~spin))
+    return keys, np.concatenate(loose)[:LOOSE]
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -165,19 +175,23 @@ def aligned(a: np.ndarray, b: np.ndarray, at_a: np.ndarray, at_b: np.ndarray, ba
 
 
 def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, h, text to doc_id, h, n, keys (of buckets), marks (short forms of all), odd."""
+    """doc_id, h, text to doc_id, h, n, twice (whether a k-mer recurs), keys (of buckets), loose
+    (of buckets, without order), marks (short forms of all), odd."""
     hasher = sole(("kmers",), Hasher)
     for batch in batches:
         for part in (batch.slice(a, 1_000) for a in range(0, batch.num_rows, 1_000)):
-            n, keys, marks, odd = [], [], [], []
+            n, twice, keys, loose, marks, odd = [], [], [], [], [], []
             for t in part.column(2):
-                kmers = labelled(shingles(hasher.words(t.as_py())))
+                plain = shingles(hasher.words(t.as_py()))
+                kmers = labelled(plain)
                 n.append(len(kmers))
-                found = sketches(kmers)
+                twice.append(kmers is not plain)
+                found, free = sketches(kmers)
+                loose.append(free.view(np.int64))
                 odd.append(parity(kmers))
                 keys.append(found[:SKETCHES].view(np.int64))
                 marks.append((found >> U(32)).astype(np.uint32).view(np.int32))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(marks, pa.list_(pa.int32())), pa.array(odd, pa.list_(pa.int64()))], names=["doc_id", "h", "n", "keys", "marks", "odd"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(twice), pa.array(keys, pa.list_(pa.int64())), pa.array(loose, pa.list_(pa.int64())), pa.array(marks, pa.list_(pa.int32())), pa.array(odd, pa.list_(pa.int64()))], names=["doc_id", "h", "n", "twice", "keys", "loose", "marks", "odd"])
         settle()
 
 
@@ -216,12 +230,13 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _agree(a: str, b: str) -> Column:
-    """Whether structs ``a`` and ``b`` (n, keys, marks, odd) can be near copies: their odd
-    sketches differ in few enough bits, and they share enough sketches."""
+    """Whether structs ``a`` and ``b`` (n, twice, keys, marks, odd) can be near copies: their odd
+    sketches differ in few enough bits, and, unless a k-mer recurs, they share enough sketches."""
     shared = lambda field: F.size(F.array_intersect(f"{a}.{field}", f"{b}.{field}"))
     turned = sum((F.bit_count(F.get(f"{a}.odd", F.lit(i)).bitwiseXOR(F.get(f"{b}.odd", F.lit(i)))) for i in range(PARITY // 64)), F.lit(0))
     least = F.when(F.least(f"{a}.n", f"{b}.n") < SHORT, SHORT_AGREE).otherwise(MARKS_AGREE)
-    return (turned * 9 <= F.col(f"{a}.n") + F.col(f"{b}.n")) & (shared("keys") >= AGREE) & (shared("marks") >= least)
+    recurs = F.col(f"{a}.twice") | F.col(f"{b}.twice")
+    return (turned * 9 <= F.col(f"{a}.n") + F.col(f"{b}.n")) & (recurs | (shared("keys") >= AGREE) & (shared("marks") >= least))
 
 
 def _near_in_length(a: str, b: str) -> Column:
@@ -245,11 +260,11 @@ def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id and h of every row, with its class: class_id, class_size, and whether its text
     leads the class."""
     rows = _rows(docs, id_col, text_col)
-    sketched = saved(rows.mapInArrow(sketch, "doc_id long, h binary, n long, keys array<long>, marks array<int>, odd array<long>"), "omh-sketches")
-    reps = sketched.groupBy("h").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("marks").alias("marks"), F.first("odd").alias("odd"))
+    sketched = saved(rows.mapInArrow(sketch, "doc_id long, h binary, n long, twice boolean, keys array<long>, loose array<long>, marks array<int>, odd array<long>"), "omh-sketches")
+    reps = sketched.groupBy("h").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), *(F.first(c).alias(c) for c in ("n", "twice", "keys", "loose", "marks", "odd")))
     reps = saved(reps.withColumn("cid", F.monotonically_increasing_id()), "omh-classes")
 
-    dealt = reps.select("cid", "n", F.explode("keys").alias("key"))
+    dealt = reps.select("cid", "n", F.explode(F.concat("keys", "loose")).alias("key"))
     shared = saved(dealt.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "omh-shared")
     members = saved(dealt.join(shared, "key"), "omh-members")
     scores = members.groupBy("cid").agg(F.sum("size").alias("score"))
@@ -259,7 +274,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     star = members.join(leads, "key").where("cid <> lead.cid").where(_near_in_length("n", "lead.n"))
     star = star.select(F.col("lead.cid").alias("a"), F.col("cid").alias("b")).distinct()
     star = saved(star, "omh-star")
-    side = reps.select("cid", F.struct("n", "keys", "marks", "odd").alias("of"))
+    side = reps.select("cid", F.struct("n", "twice", "keys", "marks", "odd").alias("of"))
     star = star.join(side.select(F.col("cid").alias("a"), F.col("of").alias("of_a")), "a").join(side.select(F.col("cid").alias("b"), F.col("of").alias("of_b")), "b")
     star = saved(star.where(_agree("of_a", "of_b")).select("a", "b"), "omh-star")
     found = saved(links(star, rows, reps), "omh-links")

@@ -459,6 +459,23 @@ def test_near_copies(spark):
     assert order_minhash.classes(docs.limit(0)).count() == 0
 
 
+def test_near_copies_with_repeated_blocks(spark):
+    """A block that recurs loses one occurrence, which numbers the others anew."""
+    rows = []
+    for i in range(40):
+        a, b, *rest = (prose(10_000 + 10 * i + j, 60) for j in range(8))
+        whole = [[a, *rest[:4], a], [a, rest[0], a, rest[1], a, rest[2]], [a, b, *rest[:6], a, b], [a, rest[0], a, rest[0], rest[1], rest[2]]][i % 4]
+        rows += [(10 * i, " ".join(whole)), (10 * i + 1, " ".join(whole[1:])), (10 * i + 2, " ".join(rest[:5] + whole[1:3]))]
+    grams = {i: kmers(t) for i, t in rows}
+    want = {i: i for i in grams}
+    for i, j in combinations(grams, 2):
+        a, b = grams[i], grams[j]
+        if i // 10 == j // 10 and (m := lcs(a, b)) >= 0.8 * (len(a) + len(b) - m):
+            want[j] = want[i]
+    assert sum(i != c for i, c in want.items()) >= 30
+    assert {r.doc_id: r.class_id for r in order_minhash.classes(documents(spark, rows)).collect()} == want
+
+
 # lines
 
 
