@@ -5,7 +5,8 @@ The base kinds are assignments (``assign``), access keys (``access``) and hexade
 word and a separator, or after ``login as user/value`` forms) is cut into words, dates,
 repeats, sequences, keyboard walks and brute-force stretches so that the product of their
 guess counts is smallest, by dynamic programming over its ends; a value whose cheapest cut
-still costs ``GUESSES_LOG10`` is a secret. Values inside a base span are left to it.
+still costs ``GUESSES_LOG10`` is a secret. Values wholly inside a base span are left to it; one
+that reaches beyond is costed whole, and its span may overlap the base span.
 
 Spans are in code points, end exclusive; texts are scanned whole. Cases: a null or empty text
 has no span; repeated rows have equal results; an empty table gives an empty result; values
@@ -148,7 +149,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def guess_spans(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Values in credential context that no base span holds and that take many guesses."""
+    """Values in credential context that no base span holds wholly and that take many guesses."""
     low = text.lower()
     if not any(h in low for h in CONTEXT_HINTS):
         return []
@@ -156,7 +157,7 @@ def guess_spans(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int,
     for m in CONTEXT.finditer(text):
         start, end = m.span(1)
         end = start + len(m[1].rstrip(".!?:"))
-        if not any(a < end and start < b for a, _, b in taken) and looks_secret(text[start:end]):
+        if not any(a <= start and end <= b for a, _, b in taken) and looks_secret(text[start:end]):
             found.append((start, 3, end))
     return found
 

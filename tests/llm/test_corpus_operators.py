@@ -344,6 +344,13 @@ def test_redaction(spark):
     assert got[1].text == "a [SECRET] b" and got[1].n_chars == 12 and got[2].text is None and got[3].text == "clean" and got[4].text == "[SECRET]"
 
 
+def test_values_beyond_a_base_span():
+    for text, left in (("x password=abcdef$Kd93!xQ y", "x [SECRET] y"), ("token: " + "0a" * 12 + "#Vk8?mZ2&", "[SECRET]"), ("secret=abc123def, b", "[SECRET], b")):
+        base, every = secret_scan.scan_text(text)
+        assert set(base) <= set(every) and secret_scan.redact_text(text) == left
+    assert (11, 3, 25) in secret_scan.scan_text("x password=abcdef$Kd93!xQ y")[1]
+
+
 # embeddings
 
 
