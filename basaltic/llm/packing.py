@@ -1,12 +1,13 @@
 """Best-fit packing of tokenised documents by hierarchical residual packing.
 
 Each partition encodes its documents, cuts the long ones into full sequences and one shorter
-first piece, and packs the short pieces best-fit, largest first. Nearly full bins are done.
-The others go on as single items: up to ``FAN_IN`` partitions meet in one, which packs them
-again, until one task has seen them all or a round hardly joins any. A bin too full for the
-smallest open bin anywhere is done as well, so what is carried on only ever shrinks. Bins carry
-their pieces along (32 bytes each, ``capacity`` pieces at most), so that no join is needed to
-place them at the end.
+first piece, and packs the short pieces best-fit, largest first (``TASK_PIECES`` at a time).
+Nearly full bins are done. The others go on as single items: up to ``FAN_IN`` partitions meet
+in one, fewer where their bins would exceed ``TASK_BINS`` or ``TASK_BYTES``, which packs them
+again; so on in a tree, until one task has seen all that is left or a round hardly joins any.
+A bin too full for the smallest open bin anywhere is done as well, so what is carried on only
+ever shrinks. Bins carry their pieces along (32 bytes each, ``capacity`` pieces at most), so
+that no join is needed to place them at the end.
 
 Cases: a null text counts as empty (only the end id); rows with a null id or with one id
 several times are documents of their own; only documents over ``capacity`` are cut; an empty
@@ -32,12 +33,13 @@ END_ID = 0
 #: A bin with no more than this share of its capacity free is done.
 SLACK = 1 / 256
 FAN_IN = 16
-#: Open bins that one task packs at once; rounds use as many tasks as that takes.
-TASK_BINS = 200_000
+#: Open bins that one task packs at once, and their pieces' bytes; rounds use as many tasks as
+#: that takes. Short pieces that a partition packs at once.
+TASK_BINS, TASK_BYTES, TASK_PIECES = 200_000, 32 << 20, 200_000
 #: Rounds end when one leaves more than this share of the open bins.
 STALL = 0.98
 #: Documents that a worker takes from Spark at once.
-ENCODED_ROWS = 2_500
+ENCODED_ROWS = 1_000
 
 PIECE = np.dtype([("doc_id", "<i8"), ("null", "<i4"), ("piece", "<i4"), ("start", "<i8"), ("length", "<i4"), ("crc", "<u4")])
 BINS = "done boolean, fill int, sequence_id long, pieces binary"
@@ -76,13 +78,13 @@ def best_fit(sizes: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def _pack(sizes: list[int], payloads: list[bytes], capacity: int, close: int, first_id: int) -> Iterator[pa.RecordBatch]:
-    """Packs items and yields the bins; those filled to ``close`` or more are done."""
+def _pack(sizes: np.ndarray, pieces: np.ndarray, starts: np.ndarray, capacity: int, close: int, first_id: int) -> Iterator[pa.RecordBatch]:
+    """Packs items and yields the bins; those filled to ``close`` or more are done. An item's
+    pieces are those from its start to the next one's."""
     rows: list[tuple] = []
-    size = np.array(sizes, np.int64)
-    for n, members in enumerate(best_fit(size, capacity)):
-        fill = int(size[members].sum())
-        rows.append((fill >= close, fill, first_id + n, b"".join(payloads[m] for m in members)))
+    for n, members in enumerate(best_fit(sizes, capacity)):
+        fill = int(sizes[members].sum())
+        rows.append((fill >= close, fill, first_id + n, b"".join(pieces[starts[m] : starts[m + 1]].tobytes() for m in members)))
         if len(rows) == 5_000:
             yield _bins(rows)
             rows = []
@@ -102,32 +104,45 @@ def _first_id(level: int) -> int:
     return level << 56 | TaskContext.get().partitionId() << 32
 
 
+def pieces_of(key: int | None, ids: np.ndarray, end: bytes, capacity: int) -> np.ndarray:
+    """A document's pieces, the end id included; its ids are not copied."""
+    data, parts = ids.view(np.uint8), cut(len(ids) + 1, capacity)
+    out = np.empty(len(parts), PIECE)
+    for n, (start, length) in enumerate(parts):
+        crc = zlib.crc32(data[4 * start : 4 * (start + length)])
+        out[n] = (key or 0, key is None, n, start, length, zlib.crc32(end, crc) if n == len(parts) - 1 else crc)
+    return out
+
+
 def encode_partition(vocabulary: str, capacity: int, close: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, end = encoder(vocabulary, True), int(end_id).to_bytes(4, "little")
-        first, sizes, payloads, full = _first_id(1), [], [], []
+        coder, end = encoder(vocabulary), int(end_id).to_bytes(4, "little")
+        first, kept, waiting = _first_id(1), [], 0
         for batch in batches:
             keys, at = batch.column(0).to_pylist(), 0
             for texts in batches_of(batch.column(1)):
-                for coded in coder.encode(texts):
-                    coded, key = coded + end, keys[at]
+                found = []
+                for ids in coder.encode(texts):
+                    found.append(pieces_of(keys[at], ids, end, capacity))
                     at += 1
-                    for n, (start, length) in enumerate(cut(len(coded) // 4, capacity)):
-                        crc = zlib.crc32(coded[4 * start : 4 * (start + length)])
-                        payload = np.array([(key or 0, key is None, n, start, length, crc)], PIECE).tobytes()
-                        if length == capacity:
-                            full.append((True, length, first, payload))
-                            first += 1
-                        else:
-                            sizes.append(length)
-                            payloads.append(payload)
-                settle()
-                if len(full) >= 5_000:
-                    yield _bins(full)
-                    full = []
-        if full:
-            yield _bins(full)
-        yield from _pack(sizes, payloads, capacity, close, first)
+                pieces = np.concatenate(found)
+                full = pieces["length"] == capacity
+                for a in range(0, int(full.sum()), 5_000):
+                    some = pieces[full][a : a + 5_000]
+                    yield _bins([(True, capacity, first + n, piece.tobytes()) for n, piece in enumerate(some)])
+                    first += len(some)
+                kept.append(pieces[~full])
+                waiting += len(kept[-1])
+                if waiting >= TASK_PIECES:
+                    yield from packed(kept, first)
+                    first, kept, waiting = first + waiting, [], 0
+            settle()
+        if waiting:
+            yield from packed(kept, first)
+
+    def packed(kept: list[np.ndarray], first: int) -> Iterator[pa.RecordBatch]:
+        pieces = np.concatenate(kept)
+        return _pack(pieces["length"].astype(np.int64), pieces, np.arange(len(pieces) + 1), capacity, close, first)
 
     return run
 
@@ -136,11 +151,14 @@ def pack_again(capacity: int, close: int, level: int):
     """One best-fit round over the open bins of a partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sizes, payloads = [], []
+        sizes, pieces, counts = [], [], [np.zeros(1, np.int64)]
         for batch in batches:
-            sizes += batch.column(0).to_pylist()
-            payloads += batch.column(1).to_pylist()
-        yield from _pack(sizes, payloads, capacity, close, _first_id(level))
+            data = batch.column(1).to_pylist()
+            sizes.append(batch.column(0).to_numpy().astype(np.int64))
+            counts.append(np.fromiter(map(len, data), np.int64, len(data)) // PIECE.itemsize)
+            pieces.append(np.frombuffer(b"".join(data), PIECE))
+        if sizes:
+            yield from _pack(np.concatenate(sizes), np.concatenate(pieces), np.cumsum(np.concatenate(counts)), capacity, close, _first_id(level))
 
     return run
 
@@ -175,8 +193,9 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     with arrow_rows(docs.sparkSession, ENCODED_ROWS):
         bins, _ = materialize(source.mapInArrow(encode_partition(vocabulary, capacity, close, end_id), BINS), "pack-1")
-    finished, level, tasks = bins.where("done"), 1, None
+    finished, level = bins.where("done"), 1
     opened = bins.where("not done")
+    tasks = opened.agg(F.count_distinct(F.shiftright("sequence_id", 32))).first()[0]
     while True:
         state = opened.agg(F.count(F.lit(1)).alias("n"), F.min("fill").alias("least")).first()
         if not state["n"]:
@@ -184,12 +203,12 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int
         stuck = F.col("fill") > capacity - state["least"]
         finished = finished.union(opened.where(stuck))
         opened = opened.where(~stuck)
-        left = opened.count()
+        left, size = opened.agg(F.count(F.lit(1)), F.sum(F.octet_length("pieces"))).first()
         if left < 2:
             finished = finished.union(opened)
             break
         level += 1
-        tasks = max(-(-left // TASK_BINS), (tasks or 0) // FAN_IN)
+        tasks = max(-(-left // TASK_BINS), -(-size // TASK_BYTES), -(-tasks // FAN_IN))
         packed, _ = materialize(opened.select("fill", "pieces").repartition(tasks).mapInArrow(pack_again(capacity, close, level), BINS), f"pack-{level}")
         finished = finished.union(packed.where("done"))
         opened = packed.where("not done")

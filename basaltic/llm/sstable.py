@@ -16,7 +16,7 @@ Layout, little-endian but for keys::
 A key is one byte (0: null id, 1: present) and the id in eight big-endian bytes with the sign
 bit turned, so that byte order is id order with nulls first.
 
-Cases: a null text counts as empty (only the end id); null ids come first; rows with one id
+Shards are rolled by size, so neither index nor filter grows with the table. Cases: a null text counts as empty (only the end id); null ids come first; rows with one id
 are all kept, in order of a hash of their texts, and ``get_all`` returns each; an empty table
 writes no shard; other columns are ignored.
 """
@@ -42,13 +42,15 @@ MAGIC = b"BSSTBL01"
 FOOTER = struct.Struct("<QQQQQQI8s")
 INDEX = struct.Struct("<QII")
 BLOCK_BYTES = 1 << 18
+#: A shard is closed, and another one begun, at this size.
+SHARD_BYTES = 256 << 20
 RESTART = 16
 BLOOM_BITS_A_KEY, BLOOM_HASHES = 10, 7
 END_ID = 2
 #: Documents that a worker takes from Spark at once.
-ENCODED_ROWS = 2_500
+ENCODED_ROWS = 1_000
 
-MANIFEST = "shard int, path string, n_docs long, n_tokens long, n_bytes long, first_key binary, last_key binary"
+MANIFEST = "shard long, path string, n_docs long, n_tokens long, n_bytes long, first_key binary, last_key binary"
 
 
 def open_store(path: str) -> tuple[pafs.FileSystem, str]:
@@ -234,54 +236,65 @@ class Shard:
                 yield id_of(key), np.frombuffer(value, f"<u{self.width}")
 
 
-def write_partition(folder: str, vocabulary: str, end_id: int, width: int):
-    """Encodes a sorted partition into one shard; its name is new for each attempt, and only
-    the manifest of the attempt that succeeds names it."""
+class ShardSink:
+    """A shard being written; its file name is new for each attempt, and only the manifest of
+    the attempt that succeeds names it."""
+
+    def __init__(self, folder: str, number: int, width: int) -> None:
+        self.number, self.path = number, f"{folder}/shard-{number:012d}-{uuid.uuid4().hex}.sst"
+        store, name = open_store(self.path)
+        store.create_dir(name.rpartition("/")[0], recursive=True)
+        self.sink = store.open_output_stream(name)
+        self.writer = ShardWriter(self.sink, width)
+
+    def close(self) -> pa.RecordBatch:
+        """The shard's row of the manifest."""
+        w = self.writer
+        w.close()
+        self.sink.close()
+        names = ["shard", "path", "n_docs", "n_tokens", "n_bytes", "first_key", "last_key"]
+        return pa.RecordBatch.from_pydict(dict(zip(names, ([x] for x in (self.number, self.path, w.n, w.n_tokens, w.at, w.first, w.last)), strict=True)))
+
+
+def write_partition(folder: str, vocabulary: str, end_id: int, width: int | None):
+    """Encodes a sorted partition into shards, numbered by partition and place in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        coder, writer, end = encoder(vocabulary, False), None, np.array([end_id], "<u4")
+        coder, shard, end = encoder(vocabulary), None, np.array([end_id], "<u4")
+        most = max(coder.size - 1, end_id)
+        size = width or next(w for w in (1, 2, 4) if most < 256**w)
+        if most >= 256**size:
+            raise ValueError(f"ids up to {most} don't fit into {size} bytes")
+        number = TaskContext.get().partitionId() << 24
         for batch in batches:
             ids = batch.column(0).to_pylist()
             at = 0
             for texts in batches_of(batch.column(1)):
                 for coded in coder.encode(texts):
-                    if writer is None:
-                        shard = TaskContext.get().partitionId()
-                        path = f"{folder}/shard-{shard:06d}-{uuid.uuid4().hex}.sst"
-                        store, name = open_store(path)
-                        store.create_dir(name.rpartition("/")[0], recursive=True)
-                        sink = store.open_output_stream(name)
-                        writer = ShardWriter(sink, width)
-                    writer.add(key_of(ids[at]), np.concatenate([np.frombuffer(coded, "<u4"), end]))
+                    if shard is None:
+                        shard = ShardSink(folder, number, size)
+                    shard.writer.add(key_of(ids[at]), np.concatenate([coded, end]))
                     at += 1
-                settle()
-        if writer is not None:
-            writer.close()
-            sink.close()
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "shard": pa.array([shard], pa.int32()),
-                    "path": [path],
-                    "n_docs": [writer.n],
-                    "n_tokens": [writer.n_tokens],
-                    "n_bytes": [writer.at],
-                    "first_key": [writer.first],
-                    "last_key": [writer.last],
-                }
-            )
+                    if shard.writer.at >= SHARD_BYTES:
+                        yield shard.close()
+                        shard, number = None, number + 1
+            settle()
+        if shard is not None:
+            yield shard.close()
 
     return run
 
 
-def write_shards(docs: DataFrame, folder: str, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, width: int = 2) -> DataFrame:
+def write_shards(docs: DataFrame, folder: str, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, width: int | None = None) -> DataFrame:
     """Writes ``docs`` under ``folder`` (a URI that all executors share) and returns the
     manifest, one row a shard, which is saved: the shards are written once. width: bytes an
-    id takes in a shard; 2 holds vocabularies of up to 65,536."""
+    id takes in a shard (1, 2 or 4), by default as few as the vocabulary needs; too few are an
+    error. There are at least as many ranges of ids as the input has partitions."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    tie = F.xxhash64("text")
-    spread = rows.repartitionByRange(F.col("doc_id").asc_nulls_first(), tie).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), tie)
+    tie, ranges = F.xxhash64("text"), max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
+    spread = rows.repartitionByRange(ranges, F.col("doc_id").asc_nulls_first(), tie).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), tie)
     with arrow_rows(docs.sparkSession, ENCODED_ROWS):
         return saved(spread.mapInArrow(write_partition(folder, vocabulary, end_id, width), MANIFEST), "sst-manifest")
 

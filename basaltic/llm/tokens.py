@@ -1,35 +1,36 @@
 """Encoding of whole texts with the ``tokenizers`` library, word by word.
 
-Neither vocabulary used here has a token that reaches across a space between two characters
-that are no white space, so a text's ids are those of its words, each encoded once while it
-stays in a bounded memo.
+Neither kind of vocabulary that is known here has a token that reaches from a character that
+is no white space into white space, so a text's ids are those of its words, each encoded once
+while it stays in a bounded memo. Words, memo and ids are Arrow and NumPy arrays throughout. A
+vocabulary whose splitting rules aren't those looked for at load is given whole texts.
 """
 
 from __future__ import annotations
 
 import ctypes
-import gc
+import json
 import os
 import re
 import sys
-from array import array
 from collections.abc import Iterator
-from itertools import islice
-from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Words in the memo (some 170 bytes each); when it is full, the first half is kept and the
+#: Words in the memo (some 25 bytes each); when it is full, the first half is kept and the
 #: rest forgotten.
-MEMO_WORDS = 600_000
+MEMO_WORDS = 400_000
 #: Texts longer than this are encoded in stretches that end at a safe boundary.
 STRETCH = 1 << 20
+#: Bytes of text that are taken apart at once.
+BATCH_BYTES = 2_000_000
+#: Words that are given to the library as one text.
+GROUP = 256
 
 #: A space between two characters that are no white space.
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
-_DOUBLE = re.compile(r"\s\s")
 
 
 def stretches(text: str, size: int = STRETCH) -> Iterator[str]:
@@ -42,170 +43,239 @@ def stretches(text: str, size: int = STRETCH) -> Iterator[str]:
     yield text[at:]
 
 
-#: Marks the first word of a line, once breaks are cut out; texts that hold it are encoded whole.
-LINE = "\x01"
-BREAK = f" \n {LINE}"
+#: Stands where a text is cut; texts that hold it are encoded whole.
+CUT = "\x02"
+#: White space, and white space other than a single space or line break.
+_WHITE = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+ODD_WHITE = rf"[{_WHITE}][{_WHITE}]|[\t\v\f\r\x{{85}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]"
+WORD_END = rf"([^{_WHITE}])([{_WHITE}])"
+#: One word with the space before it, and one without.
+LED, BARE = rf"^ [^{_WHITE}]+$", rf"^[^{_WHITE}]+$"
 
-#: Marks that are cut off a word's end; after a letter or digit they are encoded on their own.
+#: Marks that are cut off a word's end, after letters and digits that neither lower-casing nor
+#: composition turns into something else.
 MARKS = ".,;:!?"
-ENDS = frozenset(MARKS)
-
-
-def split_mark(word: str) -> tuple[str, str]:
-    """A word and the marks at its end, which no vocabulary here joins to letters or digits."""
-    core = word.rstrip(MARKS)
-    return (core, word[len(core) :]) if core and core[-1].isalnum() else (word, "")
-
-
-def folded(word: str) -> str:
-    """Lower case where that surely is what the vocabulary's own folding gives."""
-    if word.isascii():
-        return word.lower()
-    low = word.lower()
-    return low if "Σ" not in word and is_normalized("NFC", word) and is_normalized("NFC", low) else word
-
-
-def distinct_words(rows: list[str], more: list[list[str]] = ()) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """The distinct words of ``rows``, cut at spaces, and of ``more``, cut already; the number
-    of each word in turn, and where each row's words start (and the last one's end)."""
-    cut = pc.split_pattern(pa.array(rows, pa.large_string()), " ")
-    counts = [len(m) for m in more]
-    flat = pa.concat_arrays([cut.flatten(), pa.array([w for m in more for w in m], pa.large_string())])
-    coded = flat.dictionary_encode()
-    starts = np.concatenate([[0], np.cumsum(np.concatenate([pc.list_value_length(cut).to_numpy(zero_copy_only=False), counts]).astype(np.int64))])
-    return coded.dictionary.to_pylist(), coded.indices.to_numpy(), starts
+FIRM_END = r"[0-9A-Za-zÀ-ÖØ-öø-įı-ſΑ-ΡΣ-Ωα-ωА-яぁ-ゖァ-ヺ一-鿋가-힣]$"
+
+
+def large(texts) -> pa.Array:
+    return pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string())
+
+
+def words_of(rows: pa.Array, spaced: bool) -> tuple[pa.Array, np.ndarray]:
+    """The words of ``rows`` and the number of each row's words. spaced: the words with the
+    white space before them, which joined give the rows; otherwise without spaces and line
+    breaks, and empty words between them."""
+    if not spaced:
+        cut = pc.split_pattern(pc.replace_substring(rows, "\n", " "), " ")
+        return cut.flatten(), pc.list_value_length(cut).to_numpy(zero_copy_only=False)
+    odd = pc.match_substring_regex(rows, ODD_WHITE)
+    plain = pc.replace_substring(pc.replace_substring(rows, " ", CUT + " "), "\n", f"{CUT}\n{CUT}")
+    if pc.any(odd).as_py():
+        mixed = pc.replace_substring_regex(rows.filter(odd), WORD_END, rf"\1{CUT}\2")
+        plain = pc.replace_with_mask(plain, odd, mixed)
+    cut = pc.split_pattern(plain, CUT)
+    return cut.flatten(), pc.list_value_length(cut).to_numpy(zero_copy_only=False)
+
+
+def parts_of(words: pa.Array, lower: bool) -> tuple[pa.Array, pa.Array]:
+    """Each of ``words`` without the marks at its end, and those marks. lower: in lower case
+    where that is all ASCII."""
+    core = pc.utf8_rtrim(words, MARKS)
+    firm = pc.and_(pc.not_equal(core, words), pc.match_substring_regex(core, FIRM_END))
+    core = pc.if_else(firm, core, words)
+    marks = pc.if_else(firm, pc.utf8_slice_codeunits(words, -1), "")
+    several = pc.and_(firm, pc.greater(pc.subtract(pc.binary_length(words), pc.binary_length(core)), 1))
+    if pc.any(several).as_py():
+        full = [w[len(c) :] for w, c in zip(words.filter(several).to_pylist(), core.filter(several).to_pylist(), strict=True)]
+        marks = pc.replace_with_mask(marks, several, pa.array(full, marks.type))
+    return (pc.if_else(pc.string_is_ascii(core), pc.ascii_lower(core), core) if lower else core), marks
+
+
+class Memo:
+    """Strings by number, in the order in which they came, the empty one first."""
+
+    def __init__(self, most: int) -> None:
+        self.most, self.keys = most, large([""])
+
+    def find(self, words: pa.Array) -> np.ndarray:
+        """The number of each word, -1 where it isn't known."""
+        return pc.fill_null(pc.index_in(words, self.keys), -1).to_numpy(zero_copy_only=False)
+
+    def trim(self) -> int | None:
+        """Forgets the latter half once the memo is full; how many it keeps then."""
+        if len(self.keys) <= self.most:
+            return None
+        self.keys = pa.concat_arrays([self.keys[: self.most // 2]])
+        return len(self.keys)
+
+    def add(self, words: pa.Array) -> None:
+        self.keys = pa.concat_arrays([self.keys, words])
+
+
+def gather(starts: np.ndarray, lengths: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the members of the lists ``at`` stand, one list after the other, and the length of
+    each of them."""
+    n = lengths[at]
+    ends = np.cumsum(n)
+    return np.repeat(starts[at] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0), n
+
+
+def bounds(lengths: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+
+
+#: What the splitting rules of the two known kinds of vocabulary look like.
+_BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+_MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "byte_fallback": False, "ignore_merges": False}
+_WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def kind_of(rules: dict) -> str | None:
+    """``spaced`` (byte-level, a word with the space before it), ``bare`` (lower case, white
+    space dropped) or None, by the contents of a vocabulary's file."""
+    model, normalizer, split = rules.get("model") or {}, rules.get("normalizer"), rules.get("pre_tokenizer") or {}
+    tame = not rules.get("truncation") and not rules.get("padding") and not rules.get("post_processor")
+    tame &= all(not t["normalized"] and not t["single_word"] and t["content"].startswith("<|") for t in rules.get("added_tokens", ()))
+    if not tame or any(model.get(k) != v for k, v in _MODEL.items()):
+        return None
+    if normalizer is None and not model.get("end_of_word_suffix") and all(split.get(k) == v for k, v in _BYTE_LEVEL.items()):
+        return "spaced"
+    steps, parts = (normalizer or {}).get("normalizers", []), split.get("pretokenizers", [])
+    wanted = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+    first = {"type": "Split", "pattern": {"Regex": _WORD_PATTERN}, "behavior": "Removed", "invert": True}
+    if model.get("end_of_word_suffix") == "</w>" and steps == wanted and len(parts) == 2 and parts[0] == first and all(parts[1].get(k) == v for k, v in (_BYTE_LEVEL | {"use_regex": False}).items()):
+        return "bare"
+    return None
 
 
 class WordEncoder:
-    """Ids of texts as little-endian unsigned 32-bit integers.
-
-    spaced: a word is encoded with the space before it (byte-level vocabularies); otherwise
-    white space is dropped and letters are lower-cased by the vocabulary itself.
-    """
+    """Ids of texts as unsigned 32-bit integers, the same as the library gives whole texts with
+    ``add_special_tokens=False``. specials_as_text: special tokens' strings in a text are
+    ordinary text, which by the library's default they are not."""
 
-    def __init__(self, path: str, spaced: bool, memo_words: int = MEMO_WORDS) -> None:
+    def __init__(self, path: str, memo_words: int = MEMO_WORDS, specials_as_text: bool = False) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            rules = json.load(f)
+        self.kind, self.specials = kind_of(rules), bool(rules.get("added_tokens")) and not specials_as_text
+        del rules
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.spaced, self.memo_words = spaced, memo_words
-        self.cores: dict[str, bytes] = {}  # of words without marks, with the space before them if ``spaced``
-        self.bare: dict[str, bytes] = {"": b""}  # of marks, and of words with no space before them
-        #: Of each id: it ends a word, or (spaced) starts one.
-        self.edge = np.zeros(self.tokenizer.get_vocab_size(), bool)
-        for token, i in self.tokenizer.get_vocab().items():
-            self.edge[i] = token.startswith("Ġ") if spaced else token.endswith("</w>")
-
-    def _each(self, texts: list[str]) -> list[bytes]:
-        coded = []
-        for a in range(0, len(texts), 1024):
-            coded += [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts[a : a + 1024], add_special_tokens=False)]
-        return coded
-
-    def _learn_cores(self, words: list[str]) -> None:
-        """Words of letters only are encoded many at once and told apart by the ids that end
-        (or start) a word, of which each has one; a group that doesn't come out is done singly."""
-        lead, cores = " " if self.spaced else "", self.cores
-        plain = [w for w in words if w.isalpha()]
-        rest = [w for w in words if not w.isalpha()]
-        groups = [plain[a : a + 256] for a in range(0, len(plain), 256)]
+        self.tokenizer.encode_special_tokens = specials_as_text
+        self.spaced, self.size = self.kind == "spaced", self.tokenizer.get_vocab_size()
+        self.memo, self.flat, self.lengths = Memo(memo_words), np.zeros(0, np.uint16 if self.size <= 1 << 16 else np.uint32), np.zeros(1, np.int64)
+        #: Of each id: it ends a word, or (spaced) starts one with the space before it.
+        self.edge = np.zeros(self.size, bool)
+        if self.kind:
+            for token, i in self.tokenizer.get_vocab().items():
+                self.edge[i] = token.startswith("Ġ") if self.spaced else token.endswith("</w>")
+
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.flat.dtype) for a in range(0, len(texts), 1024) for e in self.tokenizer.encode_batch_fast(texts[a : a + 1024], add_special_tokens=False)]
+
+    def _grouped(self, words: list[str], glue: str, edge: np.ndarray) -> tuple[list[int], list[np.ndarray], list[np.ndarray]]:
+        """Words encoded many at once, told apart by the ids that ``edge`` marks: the places of
+        those that come out, their ids one after the other, and the number of each one's ids."""
+        places, flat, lengths = [], [], []
+        groups = [words[a : a + GROUP] for a in range(0, len(words), GROUP)]
         for a in range(0, len(groups), 16):
-            texts = [lead + " ".join(g) for g in groups[a : a + 16]]
-            for g, e in zip(groups[a : a + 16], self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-                ids = np.array(e.ids, "<u4")
-                at = np.flatnonzero(self.edge[ids])
-                if len(at) != len(g):
-                    rest += g
-                    continue
-                cuts = (4 * np.append(at, len(ids)) if self.spaced else 4 * np.insert(at + 1, 0, 0)).tolist()
-                data = ids.tobytes()
-                cores.update(zip(g, [data[x:y] for x, y in zip(cuts, cuts[1:], strict=False)], strict=True))
-        cores.update(zip(rest, self._each([lead + w for w in rest]), strict=True))
-
-    def _learn_bare(self, words: set[str]) -> None:
-        if new := list(words.difference(self.bare)):
-            self.bare.update(zip(new, self._each(new), strict=True))
-
-    def _of_words(self, words: list[str]) -> list[bytes]:
-        """Ids of words, each with the space before it if ``spaced``."""
-        alone: dict[int, tuple[str, str]] = {}  # line breaks, and words after one: no space before them
+            texts = [glue.join(g) for g in groups[a : a + 16]]
+            for n, e in enumerate(self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), a):
+                ids, size = np.array(e.ids, self.flat.dtype), len(groups[n])
+                at = np.flatnonzero(edge[ids])
+                if glue == "\n":  # breaks stand between words and are dropped
+                    found, counts = np.delete(ids, at), np.diff(at, prepend=-1, append=len(ids)) - 1
+                elif self.spaced:
+                    found, counts = ids, np.diff(at, append=len(ids))
+                else:
+                    found, counts = ids, np.diff(at, prepend=-1)
+                if len(counts) == size:
+                    places += range(n * GROUP, n * GROUP + size)
+                    flat.append(found)
+                    lengths.append(counts)
+        return places, flat, lengths
+
+    def _learn(self, words: pa.Array) -> np.ndarray:
+        """Adds ``words`` to the memo and returns the number of each."""
         if self.spaced:
-            for i, w in enumerate(words):
-                if w == "\n":
-                    alone[i], words[i] = (w, ""), ""
-                elif w[:1] == LINE:
-                    alone[i], words[i] = split_mark(w[1:]), ""
-        marks: dict[int, str] = {}
-        cores_of = words
-        for i, w in enumerate(words):
-            if w[-1:] in ENDS:
-                core, mark = split_mark(w)
-                if mark:
-                    marks[i], cores_of[i] = mark, core
-        if not self.spaced:
-            cores_of = [w.lower() if w.isascii() else folded(w) for w in cores_of]
-        if new := set(cores_of).difference(self.cores):
-            self._learn_cores(list(new))
-        self._learn_bare(set(marks.values()).union(*alone.values()))
-        bare, out = self.bare, list(map(self.cores.__getitem__, cores_of))
-        for i, m in marks.items():
-            out[i] += bare[m]
-        for i, (c, m) in alone.items():
-            out[i] = bare[c] + bare[m]
-        return out
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        collects = gc.isenabled()
-        gc.disable()  # no cycles arise here, and looking for them among so many strings is dear
-        try:
-            return self._encode(texts)
-        finally:
-            if collects:
-                gc.enable()
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        rows, owner, more, more_owner = [], [], [], []
-        direct: dict[int, bytes] = {}
-        for n, text in enumerate(texts):
-            if self.spaced and LINE in text:
-                direct[n] = self._each([text])[0]
-                continue
-            for s in stretches(text) if len(text) > STRETCH else (text,):
-                if not self.spaced:
-                    rows.append(s.replace("\n", " "))
-                    owner.append(n)
-                elif _DOUBLE.search(s):
-                    more.append(_SAFE.split(s))
-                    more_owner.append(n)
-                else:  # single breaks inside become words of their own
-                    rows.append(s.replace("\n", BREAK) if "\n" in s and s[0] != "\n" and s[-1] != "\n" else s)
-                    owner.append(n)
-        words, codes, starts = distinct_words(rows, more)
-        ids = self._of_words(list(words))
-        owner += more_owner
-        if self.spaced:  # the first word of a text has no space before it
-            seen: set[int] = set()
-            order = [i for i, n in sorted(enumerate(owner), key=lambda x: x[1]) if not (n in seen or seen.add(n))]
-            at = starts[order]
-            heads = [words[c] for c in codes[at].tolist()]
-            self._learn_bare(set(heads))
-            codes = codes.copy()
-            codes[at] = np.arange(len(words), len(words) + len(heads))
-            ids += [self.bare[h] for h in heads]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        table = pa.LargeListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]), pa.array(np.frombuffer(b"".join(ids), "<u4")))
-        data = table.take(pa.array(codes)).flatten().to_numpy()
-        ends = np.concatenate([[0], np.cumsum(sizes[codes])])[starts].tolist()
-        out: list[list[bytes]] = [[] for _ in texts]
-        for i, n in enumerate(owner):
-            out[n].append(data[ends[i] : ends[i + 1]].tobytes())
-        self.cores, self.bare = self._trimmed(self.cores), self._trimmed(self.bare)
-        return [direct.get(n) or (o[0] if len(o) == 1 else b"".join(o)) for n, o in enumerate(out)]
-
-    def _trimmed(self, memo: dict[str, bytes]) -> dict[str, bytes]:
-        """The first half, which holds the commonest words, once the memo is full."""
-        return memo if len(memo) <= self.memo_words else dict(islice(memo.items(), self.memo_words // 2))
+            kinds = [(LED, "", self.edge), (BARE, "\n", self._breaks())]
+            kinds = [(pc.match_substring_regex(words, pattern), glue, edge) for pattern, glue, edge in kinds]
+        else:
+            kinds = [(pc.utf8_is_alpha(words), " ", self.edge)]
+        order, flat, lengths, left = [], [self.flat], [self.lengths], np.ones(len(words), bool)
+        for mask, glue, edge in kinds:
+            at = np.flatnonzero(mask.to_numpy(zero_copy_only=False))
+            places, ids, counts = self._grouped(words.take(pa.array(at)).to_pylist(), glue, edge)
+            order.append(at[places])
+            left[order[-1]] = False
+            flat += ids
+            lengths += counts
+        order.append(np.flatnonzero(left))
+        single = self._whole(words.take(pa.array(order[-1])).to_pylist())
+        flat += single
+        lengths.append(np.fromiter(map(len, single), np.int64, len(single)))
+        order = np.concatenate(order).astype(np.int64)
+        numbers = np.empty(len(words), np.int64)
+        numbers[order] = np.arange(len(self.memo.keys), len(self.memo.keys) + len(words))
+        self.memo.add(words.take(pa.array(order)))
+        self.flat, self.lengths = np.concatenate(flat), np.concatenate(lengths)
+        return numbers
+
+    def _breaks(self) -> np.ndarray:
+        marked = np.zeros(self.size, bool)
+        marked[self.tokenizer.encode("\n", add_special_tokens=False).ids] = True
+        return marked
+
+    def _rows(self, rows: pa.Array) -> list[np.ndarray]:
+        """Ids of texts that may be taken apart."""
+        words, counts = words_of(rows, self.spaced)
+        coded = words.dictionary_encode()
+        core, marks = parts_of(coded.dictionary, lower=not self.spaced)
+        units = pa.concat_arrays([core, marks]).dictionary_encode()
+        kept = self.memo.trim()
+        if kept is not None:
+            self.lengths = self.lengths[:kept].copy()
+            self.flat = self.flat[: self.lengths.sum()].copy()
+        at = self.memo.find(units.dictionary)
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            at = at.copy()
+            at[missing] = self._learn(units.dictionary.take(pa.array(missing)))
+        n = len(core)
+        of_word = at[units.indices.to_numpy()].reshape(2, n).T.ravel()  # each word's core, then its marks
+        places, lengths = gather(bounds(self.lengths)[:-1], self.lengths, of_word)
+        flat, lengths = self.flat[places], lengths.reshape(n, 2).sum(1)
+        places, lengths = gather(bounds(lengths)[:-1], lengths, coded.indices.to_numpy())
+        ids = flat[places].astype("<u4")
+        ends = bounds(lengths)[bounds(counts)]
+        return [ids[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+
+    def _long(self, text: str) -> np.ndarray:
+        """A long text in stretches, each with the space before it."""
+        lead, out = "", []
+        for part in stretches(text):
+            out += self._rows(large([lead + part]))
+            lead = " "
+        return np.concatenate(out)
+
+    def encode(self, texts: pa.Array | list) -> list[np.ndarray]:
+        """Ids of each text; a null counts as empty."""
+        texts = pc.fill_null(large(texts), "")
+        if not len(texts):
+            return []
+        if not self.kind:
+            return [x.astype("<u4") for x in self._whole(texts.to_pylist())]
+        odd = pc.match_substring(texts, CUT)
+        if self.specials:
+            odd = pc.or_(odd, pc.match_substring(texts, "<|"))
+        odd = odd.to_numpy(zero_copy_only=False)
+        apart = odd | (pc.binary_length(texts).to_numpy(zero_copy_only=False) > STRETCH)
+        if not apart.any():
+            return self._rows(texts)
+        rest = iter(self._rows(texts.filter(pa.array(~apart))) if not apart.all() else ())
+        return [next(rest) if not a else self._whole([texts[i].as_py()])[0].astype("<u4") if o else self._long(texts[i].as_py()) for i, (a, o) in enumerate(zip(apart.tolist(), odd.tolist(), strict=True))]
 
 
 _SOLE: dict = {}
@@ -234,18 +304,17 @@ def settle() -> None:
             trim(0)
 
 
-def encoder(path: str, spaced: bool) -> WordEncoder:
-    return sole(("words", path, spaced), lambda: WordEncoder(path, spaced))
+def encoder(path: str) -> WordEncoder:
+    return sole(("words", path), lambda: WordEncoder(path))
 
 
-def batches_of(texts: pa.Array, most_texts: int = 4_000, most_chars: int = 6_000_000) -> Iterator[list[str]]:
-    """Consecutive groups of bounded size, nulls as empty texts."""
-    sizes = pc.fill_null(pc.utf8_length(texts), 0).to_pylist()
-    a = chars = 0
+def batches_of(texts: pa.Array, most_bytes: int = BATCH_BYTES) -> Iterator[pa.Array]:
+    """Consecutive slices of bounded size; a longer text stands alone."""
+    sizes, a, total = pc.fill_null(pc.binary_length(texts), 0).to_pylist(), 0, 0
     for b, n in enumerate(sizes):
-        if b > a and (b - a == most_texts or chars + n > most_chars):
-            yield [t or "" for t in texts.slice(a, b - a).to_pylist()]
-            a, chars = b, 0
-        chars += n
+        if b > a and total + n > most_bytes:
+            yield texts.slice(a, b - a)
+            a, total = b, 0
+        total += n
     if a < len(sizes):
-        yield [t or "" for t in texts.slice(a).to_pylist()]
+        yield texts.slice(a)

@@ -2,7 +2,9 @@
 
 import hashlib
 import math
+import os
 import random
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
@@ -117,27 +119,52 @@ def test_clashing_columns(spark):
 # tokens
 
 
-@pytest.mark.parametrize(("name", "spaced"), [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
-def test_word_encoder(name, spaced, monkeypatch):
+ENCODED = ["a", "B", "é", "\n", " ", " ", ".", "!", "1", "\x01", "\x02", "'s", "\t", "ñ", "漢", "\u0301", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "İ", "Σ", "\u0958", "\u212a", "\x85", "\u00a0", "\u2028", "\x1c", "\u200b", "J\u030c", "...", "|", " the", "\r\n"]
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_word_encoder(name, monkeypatch):
+    """Against the library, untouched, on whole texts."""
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(public_tokenizers.path(name))
-    plain.encode_special_tokens = True
-    texts = [t for _, t in corpus(10) if t is not None] + [prose(9, 400) + "\n" + prose(8, 30), "Ab.\nCd ef.\nGh,\n\nij", "x" * 500 + " y", "\n".join(prose(i, 5) for i in range(40)), "  \n ", "it's we'll. 'S 't"]
-    want = [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
-    coder = tokens.WordEncoder(public_tokenizers.path(name), spaced, memo_words=50)
-    for _ in range(2):
-        assert coder.encode(texts) == want
+    coder = tokens.WordEncoder(public_tokenizers.path(name), memo_words=50)
+
+    def same(texts):
+        want = [e.ids for e in plain.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+        return [x.tolist() for x in coder.encode(texts)] == want
+
+    texts = [t for _, t in corpus(10)] + [prose(9, 400) + "\n" + prose(8, 30), "Ab.\nCd ef.\nGh,\n\nij", "x" * 500 + " y", "\n".join(prose(i, 5) for i in range(40)), "  \n ", "it's we'll. 'S 't"]
+    assert same(texts) and same(texts)
     rng = random.Random(1)
-    parts = ["a", "B", "é", "\n", " ", " ", ".", "!", "1", "\x01", "'s", "\t", "ñ", "漢", "\u0301", "<|endoftext|>"]
-    odd = ["".join(rng.choice(parts) for _ in range(rng.randrange(40))) for _ in range(2_000)]
-    assert coder.encode(odd) == [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in odd]
+    assert same(["".join(rng.choice(ENCODED) for _ in range(rng.randrange(40))) for _ in range(4_000)])
+    points = [chr(c) for c in range(1, 0x30000) if not 0xD800 <= c < 0xE000]
+    changed = [c for c in points if c.lower() != c or c.isspace() or any(unicodedata.normalize(form, c) != c for form in ("NFC", "NFD"))]
+    marks = [c for c in points if unicodedata.category(c)[0] in "MN"]
+    assert len(changed) > 5_000
+    assert same([f"a{c}. B{c}, x {c}! {c}{c} y\n{c}z.\n {c} 1{c}" for c in changed + marks])
     monkeypatch.setattr(tokens, "STRETCH", 64)
     monkeypatch.setattr(tokens.stretches, "__defaults__", (64,))
-    assert coder.encode(texts) == want and coder.encode([]) == []
+    assert same(texts) and coder.encode([]) == []
+
+
+def test_word_encoder_takes_other_vocabularies_whole(tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        rules = json.load(f)
+    for change in ({"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": rules["pre_tokenizer"] | {"add_prefix_space": True}}, {"pre_tokenizer": None}):
+        path = tmp_path / "other.json"
+        path.write_text(json.dumps(rules | change), encoding="utf-8")
+        coder, plain = tokens.WordEncoder(str(path)), Tokenizer.from_file(str(path))
+        assert coder.kind is None
+        assert [x.tolist() for x in coder.encode(["Ab cd.", None, " x\ny"])] == [plain.encode(t, add_special_tokens=False).ids for t in ("Ab cd.", "", " x\ny")]
+    assert tokens.WordEncoder(public_tokenizers.path("byte_bpe_50k.json"), specials_as_text=True).encode(["<|endoftext|>"])[0].tolist() != [50256]
 
 
-def test_sstable(spark):
+def test_sstable(spark, monkeypatch):
     from tokenizers import Tokenizer
 
     from basaltic.llm.common import scratch_path
@@ -146,7 +173,6 @@ def test_sstable(spark):
     docs = documents(spark, rows).repartition(4)
     path = public_tokenizers.path("word_bpe_49k.json")
     plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
     ids = {t: plain.encode(t or "", add_special_tokens=False).ids + [2] for _, t in rows}
     manifest = sstable.write_shards(docs, scratch_path(spark, "test"), path)
     got = sstable.read_shards(manifest).orderBy("start").collect()
@@ -160,6 +186,10 @@ def test_sstable(spark):
     for i in (0, 290, 5_003, None, 7_001):
         assert sorted(sstable.lookup(manifest, i)) == sorted(ids[t] for j, t in rows if j == i)
     assert sstable.lookup(manifest, 777_777) == []
+    monkeypatch.setattr(sstable, "SHARD_BYTES", 0)
+    one = documents(spark, [(i, prose(i, 4)) for i in range(5)]).coalesce(1)
+    with pytest.raises(Exception, match="don't fit"):
+        sstable.write_shards(one, scratch_path(spark, "test"), path, width=1)
     assert sstable.read_shards(sstable.write_shards(docs.limit(0), scratch_path(spark, "test"), path)).count() == 0
 
 
@@ -204,7 +234,6 @@ def test_packing(spark):
     path = public_tokenizers.path("byte_bpe_50k.json")
     rows = corpus(40) + [(9_000, prose(4, 3_000)), (9_001, prose(5, 900))]
     plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
     got = packing.pack(documents(spark, rows).repartition(6), path, capacity=512).collect()
     by_doc, by_bin = defaultdict(list), defaultdict(list)
     for r in got:
@@ -281,31 +310,66 @@ def test_language_id(spark):
     for i in range(240):
         lang = rng.choice(list(vocab))
         rows.append((i, " ".join(rng.choice(vocab[lang]) for _ in range(30)).capitalize() + ".", lang, "s", 1))
-    rows += [(900, None, "en", "s", 0), (901, "", None, "s", 0), (902, "12 !?", "en", "s", 0), (903, "Der die UND", None, "s", 0), (None, "le de un", "xx", "s", 0), (904, "\u4e2d" * 100, None, "s", 0)]
+    rows += [(900, None, "en", "s", 0), (901, "", None, "s", 0), (902, "12 !?", "en", "s", 0), (903, "Der die UND", None, "s", 0), (None, "le de un", "xx", "s", 0), (904, "\ua66e" * 100, None, "s", 0)]
     docs = spark.createDataFrame(rows, DOCS)
     got = {r.doc_id: (r.lang_pred, r.score) for r in lang_id.predict(docs, docs.where(~lang_id.held_out(F.col("doc_id"))), path).collect()}
     assert all(got[r[0]][0] == r[2] for r in rows[:240])
     assert got[900] == got[901] == got[902] == ("und", 0.0) and got[903][0] == "de" and got[None][0] == "fr"
     assert all(0 <= s <= 1 for _, s in got.values()) and len(got) == len(rows)
     assert {r[0] for r in lang_id.predict(docs, docs.limit(0), path).select("lang_pred").distinct().collect()} == {"und"}
-    assert lang_id.recognised(docs, docs, path).count() == len(rows) - 3
+    left = {r.doc_id: r.lang for r in lang_id.recognised(docs, docs, path).collect()}
+    assert set(left) == {r[0] for r in rows} - {900, 901, 902, 904} and left[903] == "de" and left[None] == "xx"
+    assert lang_id.recognised(docs, docs.limit(0), path).count() == len(rows) - 3
     held = {r.doc_id for r in docs.where(lang_id.held_out(F.col("doc_id"))).collect()}
     assert held == {r[0] for r in rows if r[0] is not None and zlib.crc32(str(r[0]).encode()) % 4 == 2}
 
 
 def test_forward_sums_all_segmentations():
-    pieces = {"▁": 2, "▁a": 3, "b": 4, "ab": 5, "a": 6, "▁ab": 7}
-    p = np.array([0, 0.01, 0.1, 0.2, 0.3, 0.05, 0.15, 0.19])[:, None]
+    pieces = {"▁": 2, "▁a": 3, "b": 4, "ab": 5, "a": 6, "▁ab": 7, "babab": 8}
+    p = np.array([0, 0.01, 0.1, 0.2, 0.3, 0.05, 0.15, 0.1, 0.09])[:, None] * [1, 0.5]
 
     def total(word):
-        if not word:
-            return 1.0
-        return sum(p[pieces.get(word[:m], 1 if m == 1 else 0), 0] * total(word[m:]) for m in range(1, len(word) + 1))
-
-    words = ["▁ab", "▁", "▁abab", "▁ba", "▁xab"]
-    for places, ids in lang_id.lattices(words, pieces):
-        found = lang_id.forward(ids, p)[-1][:, 0]
-        assert np.allclose(found, [total(words[i]) for i in places])
+        """One prefix after the other; all of its last pieces."""
+        sums = [np.ones(2)]
+        for end in range(1, len(word) + 1):
+            sums.append(sum(p[pieces.get(word[a:end], int(end - a == 1))] * sums[a] for a in range(end)))
+        return sums[-1]
+
+    def every(word):
+        return 1 if not word else sum(p[pieces.get(word[:m], int(m == 1))] * every(word[m:]) for m in range(1, len(word) + 1))
+
+    trie = lang_id.Trie(pieces)
+    words = ["▁ab", "▁", "▁abab", "▁ba", "▁xab", "▁bababababab", "▁" + "ab" * 20]
+    for places in lang_id.by_length(words):
+        found = lang_id.forward(lang_id.lattice([words[i] for i in places], trie), len(places), p)[-1]
+        assert np.allclose(found, [total(words[i]) for i in places], rtol=1e-12)
+        assert all(np.allclose(total(words[i]), every(words[i])) for i in places if len(words[i]) < 14)
+    for word in [*words, "▁" + "abx" * 30]:
+        assert np.allclose(lang_id.log_likelihood(word, pieces, 5, p), np.log(total(word)), rtol=1e-12)
+    assert np.isfinite(lang_id.log_likelihood("▁" + "ab" * 20_000, pieces, 5, p)).all()
+
+
+def test_long_words_are_scored_whole():
+    pieces = lang_id.vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    assert max(map(len, pieces)) > 12
+    langs, table = lang_id.fit({"de": {"donau": 3, "schiff": 2, "fahrt": 4}, "en": {"steam": 2, "ship": 3, "voyage": 1}}, pieces)
+    scorer = lang_id.Scorer(langs, table, pieces)
+    words = ["schifffahrt", "donau" * 15, "steamship" * 30, "ship"]
+    want = [lang_id.log_likelihood("▁" + w, pieces, scorer.longest, table) for w in words]
+    assert np.allclose(scorer.sums([" ".join(words)])[0, :-1], sum(want))
+    assert "\ua66e" not in pieces and scorer.predict([words[1], words[2], "½ ² ① 12", None])[0] == ["de", "en", "und", "und"]
+    assert scorer.predict([words[1], "", "\ua66e" * 9])[2].tolist() == [True, False, False]
+
+
+def test_language_id_on_held_out_documents(spark):
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("no tables here")
+    from basaltic.llm import registry
+
+    found = registry.op1_language_id(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id")
+    rows = found.where("held_out and lang is not null and lang_pred <> 'und'").collect()
+    assert len(rows) > 20 and sum(r.lang == r.lang_pred for r in rows) >= 0.95 * len(rows)
 
 
 # secrets
