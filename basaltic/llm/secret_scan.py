@@ -2,21 +2,22 @@
 
 The base kinds are assignments (``assign``), access keys (``access``) and hexadecimal runs
 (``hex``). The method adds ``guess`` spans: a value in credential context (after a credential
-word and a separator, or after ``login as user/value`` forms) is cut into words, dates,
-repeats, sequences, keyboard walks and brute-force stretches so that the product of their
-guess counts is smallest, by dynamic programming over its ends; a value whose cheapest cut
-still costs ``GUESSES_LOG10`` is a secret. Values wholly inside a base span are left to it; one
-that reaches beyond is costed whole, and its span may overlap the base span.
-
-Spans are in code points, end exclusive; texts are scanned whole. Cases: a null or empty text
-has no span; repeated rows have equal results; an empty table gives an empty result; values
-over ``LONGEST`` characters are costed in parts of that length, whose costs add up; other
-columns are ignored.
+word and a separator, in ``login as user/value``, or between user and host of a URL) is cut
+into words, dates, repeats, sequences, keyboard walks and brute-force stretches so that the
+product of their guess counts is smallest, by dynamic programming over its ends; a value whose
+cheapest cut still costs ``GUESSES_LOG10`` (``LETTERS_LOG10`` if it is letters only) is a
+secret. Its span may overlap base spans, which stay whatever their values cost. Words are those
+of a public vocabulary file, by their rank there, after a short list of common passwords.
+
+Spans are in code points, end exclusive; texts and values are taken whole, whatever their
+length. Cases: a null or empty text has no span; repeated rows have equal results; an empty
+table gives an empty result; other columns are ignored by ``scan`` and carried by ``redact``.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 import re
 from collections.abc import Iterator
@@ -24,49 +25,54 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from basaltic.llm.tokens import forget, settle
+from basaltic.llm.tokens import settle, sole
 
 KINDS = ("assign", "access", "hex", "guess")
-BASE = KINDS[:3]
 LEAST = {"assign": 6, "access": 20, "hex": 24}
 
 # Fixed values of the patterns that are asked for.
-ASSIGN = re.compile(
-    r"([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])"
-    r"[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
-)
+ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 HINTS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
-#: Where the method looks for values: a credential word, some separator, and a run without
-#: white space, commas or quotes.
+#: Where the method looks for values: a credential word, some separator, and what stands in
+#: quotes or, without them, before white space, a comma, a semicolon, a quote or a tag; the same
+#: after a user's name; or before the ``@`` of a URL.
+_VALUE = r"""(?:"(?P<{0}2>[^"\n]+)"|'(?P<{0}1>[^'\n]+)'|`(?P<{0}0>[^`\n]+)`|["'`]?(?P<{0}3>[^\s,;"'`<>]+))"""
 CONTEXT = re.compile(
     r"(?<![A-Za-z])(?:pass(?:word|wd|phrase|code)?|pwd|pin|secret|token|credentials?|api[ _-]?key|auth[ _-]?key|private[ _-]?key)"
-    r"[\"'`]?\x20*(?:\x20is\x20|:=|=>|[:=])\x20*[\"'`]?([^\s,;\"'`<>()\[\]{}]+)",
-    re.IGNORECASE,
+    r"[\"'`]?\x20*(?:\x20is\x20|:=|=>|[:=])\x20*" + _VALUE.format("w") + r"|(?<![A-Za-z])log(?:in|[ -]in|ged[ -]in)\x20+(?:as|with)\x20+[^\s/]+\x20*/\x20*" + _VALUE.format("u") + r"|://[^\s/:@]+:(?P<host>[^\s/@]+)@",
+    re.IGNORECASE | re.ASCII,
 )
-CONTEXT_HINTS = ("pass", "pwd", "pin", "secret", "token", "credential", "key")
-
-#: Decimal log of the guesses from which a value counts as secret.
-GUESSES_LOG10 = 8.0
-LEAST_VALUE, LONGEST = 6, 64
-#: Log10 of guesses for one character that nothing explains.
-BRUTE = 1.0
-
-#: The commonest passwords' stems and words around credentials, by rank.
-WORDS = (
-    "password passwd pass admin root user login welcome letmein secret token changeme default test guest example "
-    "qwerty dragon monkey master shadow sunshine princess football baseball hello world love money summer winter "
-    "spring autumn monday friday january february march april june july august october december server database "
-    "mysql oracle access private public system network internet computer google apple none null true false value "
-    "your here string required hidden redacted unknown empty required and the for with not was has this that from"
-).split()
-RANK = {w: i for i, w in reversed(list(enumerate(WORDS, 1)))}
+CONTEXT_HINTS = ("pass", "pwd", "pin", "secret", "token", "credential", "key", "log", "://")
+CLOSERS = ".!?:)]}"
+
+#: Decimal log of the guesses from which a value counts as secret, and one of letters only.
+GUESSES_LOG10, LETTERS_LOG10 = 8.0, 12.0
+LEAST_VALUE = 6
+#: Log10 of guesses for one character that nothing explains, and for one more part.
+BRUTE, PART = 1.0, 0.3
+#: A repeated block has so many characters at most.
+LONGEST_BLOCK = 32
+
+#: Common passwords' stems and words around credentials, which come before all other words.
+COMMON = "password passwd pass admin root user login welcome letmein secret token changeme default test guest example qwerty dragon monkey master shadow".split()
 LEET = str.maketrans("4301!5$7@", "aeoiissta")
 ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 NEXT = {a: b for row in ROWS for a, b in zip(row, row[1:], strict=False)}
-DATE = re.compile(r"(?:19|20)\d\d[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)?\d\d|(?:19|20)\d\d")
+DATE = re.compile(r"(?=((?:19|20)\d\d[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)?\d\d))")
+YEAR = re.compile(r"(?=((?:19|20)\d\d))")
+
+
+def ranked_words(path: str) -> dict[str, int]:
+    """Words of three letters and more by rank: ``COMMON``, then those that a ``tokenizers``
+    file holds whole, in its order."""
+    with open(path, encoding="utf-8") as f:
+        held = json.load(f)["model"]["vocab"]
+    whole = [t.removesuffix("</w>").removeprefix("Ġ").lower() for t, _ in sorted(held.items(), key=lambda x: x[1]) if t.endswith("</w>") or t.startswith("Ġ")]
+    words = dict.fromkeys([*COMMON, *(w for w in whole if len(w) > 2 and w.isascii() and w.isalpha())])
+    return {w: i for i, w in enumerate(words, 1)}
 
 
 def _runs(value: str, follows) -> Iterator[tuple[int, int]]:
@@ -79,61 +85,61 @@ def _runs(value: str, follows) -> Iterator[tuple[int, int]]:
             start = i
 
 
-def matches(value: str) -> list[tuple[int, int, float]]:
-    """(start, end, log10 of guesses) of each stretch that something explains."""
-    low, found = value.lower(), []
-    plain = low.translate(LEET)
-    for start in range(len(value)):
-        for end in range(start + 3, min(len(value), start + 12) + 1):
-            part = low[start:end]
-            rank = RANK.get(part)
-            twist = 0.0
-            if rank is None and (rank := RANK.get(plain[start:end])):
-                twist = 0.6
-            if rank:
-                cased = value[start:end]
-                twist += 0.3 if cased[0].isupper() and cased[1:].islower() or cased.isupper() else 0.0 if cased.islower() or not cased.isalpha() else 0.9
-                found.append((start, end, math.log10(rank + 10) + twist))
-    for m in DATE.finditer(value):
-        found.append((m.start(), m.end(), 2.1 if len(m[0]) == 4 else 4.6))
-    for start, end in _runs(low, lambda a, b: a == b):
-        found.append((start, end, BRUTE + math.log10(end - start)))
-    for step in (1, -1):
-        for start, end in _runs(low, lambda a, b, s=step: a.isalnum() and b.isalnum() and ord(b) - ord(a) == s):
-            found.append((start, end, 1.5 + math.log10(end - start)))
-    for walk in (lambda a, b: NEXT.get(a) == b, lambda a, b: NEXT.get(b) == a):
-        for start, end in _runs(low, walk):
-            found.append((start, end, 2.0 + math.log10(end - start)))
-    for size in range(2, len(low) // 2 + 1):  # a block that is repeated
-        for start in range(len(low) - 2 * size + 1):
-            times = 1
-            while low.startswith(low[start : start + size], start + times * size):
-                times += 1
-            if times > 1:
-                found.append((start, start + times * size, min(size * BRUTE, 6.0) + math.log10(times)))
-    return found
-
-
-def guess_cost(value: str) -> float:
-    """Log10 of the guesses for the cheapest cut of ``value``."""
-    if len(value) > LONGEST:
-        return sum(guess_cost(value[i : i + LONGEST]) for i in range(0, len(value), LONGEST))
-    by_end: dict[int, list[tuple[int, float]]] = {}
-    for start, end, cost in matches(value):
-        by_end.setdefault(end, []).append((start, cost))
-    classes = [re.search(c, value) is not None for c in (r"[a-z]", r"[A-Z]", r"\d", r"[^A-Za-z0-9]")]
-    single = BRUTE if sum(classes) > 1 or classes[2] else BRUTE * 0.75  # plain words are no brute-force work
-    best = [0.0]
-    for end in range(1, len(value) + 1):
-        best.append(min([best[end - 1] + single, *(best[start] + cost + 0.3 for start, cost in by_end.get(end, ()))]))
-    return best[-1]
-
-
-def looks_secret(value: str) -> bool:
-    """Long and dear enough, and not one plain word."""
-    if len(value) < LEAST_VALUE or value.isalpha() and (value.islower() or value.istitle() or value.isupper()):
-        return False
-    return guess_cost(value) >= GUESSES_LOG10
+def _blocks(value: str) -> Iterator[tuple[int, int, int]]:
+    """(start, end, size) of each longest stretch in which a block of ``size`` characters
+    follows itself."""
+    for size in range(2, min(LONGEST_BLOCK, len(value) // 2) + 1):
+        start = 0
+        for i in range(size, len(value) + 1):
+            if i == len(value) or value[i] != value[i - size]:
+                if i - start >= 2 * size:
+                    yield start, start + (i - start) // size * size, size
+                start = i - size + 1
+
+
+class Guesser:
+    """Costs of values, in decimal logs of guesses."""
+
+    def __init__(self, words: dict[str, int]) -> None:
+        self.words, self.longest = words, max(map(len, words), default=0)
+
+    def matches(self, value: str) -> list[tuple[int, int, float]]:
+        """(start, end, cost) of each stretch that something explains."""
+        low, found, words = value.lower(), [], self.words
+        if len(low) != len(value):  # a letter whose lower case is longer
+            low = "".join(c.lower()[:1] for c in value)
+        plain = low.translate(LEET)
+        for start in range(len(value)):
+            for end in range(start + 3, min(len(value), start + self.longest) + 1):
+                rank, twist = words.get(low[start:end]), 0.0
+                if rank is None and (rank := words.get(plain[start:end])):
+                    twist = 0.6
+                if rank:
+                    cased = value[start:end]
+                    twist += 0.0 if cased == low[start:end] else 0.3 if cased.istitle() or cased.isupper() else 0.9
+                    found.append((start, end, math.log10(rank + 10) + twist))
+        for pattern, cost in ((DATE, 4.6), (YEAR, 2.1)):
+            found += [(m.start(), m.end(1), cost) for m in pattern.finditer(value)]
+        found += [(a, b, BRUTE + math.log10(b - a)) for a, b in _runs(low, lambda x, y: x == y)]
+        for step in (1, -1):
+            found += [(a, b, 1.5 + math.log10(b - a)) for a, b in _runs(low, lambda x, y, s=step: x.isalnum() and y.isalnum() and ord(y) - ord(x) == s)]
+        for walk in (lambda x, y: NEXT.get(x) == y, lambda x, y: NEXT.get(y) == x):
+            found += [(a, b, 2.0 + math.log10(b - a)) for a, b in _runs(low, walk)]
+        return found + [(a, b, min(n * BRUTE, 6.0) + math.log10((b - a) // n)) for a, b, n in _blocks(low)]
+
+    def cost(self, value: str) -> float:
+        """Log10 of the guesses for the cheapest cut of ``value``."""
+        by_end: dict[int, list[tuple[int, float]]] = {}
+        for start, end, cost in self.matches(value):
+            by_end.setdefault(end, []).append((start, cost))
+        best = [0.0]
+        for end in range(1, len(value) + 1):
+            best.append(min([best[end - 1] + BRUTE, *(best[start] + cost + PART for start, cost in by_end.get(end, ()))]))
+        return best[-1]
+
+
+def is_secret(value: str, cost: float) -> bool:
+    return len(value) >= LEAST_VALUE and cost >= (LETTERS_LOG10 if value.isalpha() else GUESSES_LOG10)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -148,74 +154,89 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def guess_spans(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Values in credential context that no base span holds wholly and that take many guesses."""
+def credential_values(text: str) -> Iterator[tuple[int, int]]:
+    """Places of the values in credential context, without closing marks after those that
+    aren't quoted."""
     low = text.lower()
-    if not any(h in low for h in CONTEXT_HINTS):
-        return []
-    found = []
-    for m in CONTEXT.finditer(text):
-        start, end = m.span(1)
-        end = start + len(m[1].rstrip(".!?:"))
-        if not any(a <= start and end <= b for a, _, b in taken) and looks_secret(text[start:end]):
-            found.append((start, 3, end))
-    return found
+    if any(h in low for h in CONTEXT_HINTS):
+        for m in CONTEXT.finditer(text):
+            start, end = m.span(m.lastgroup)
+            if m.lastgroup in ("w3", "u3"):
+                while end > start and text[end - 1] in CLOSERS:
+                    end -= 1
+            if end > start:
+                yield start, end
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
-def scan_text(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-    """Base spans, and all spans, each by start and then kind."""
+Span = tuple[int, int, int]
+
+
+def scan_text(text: str | None, guesser: Guesser) -> tuple[list[Span], list[Span], list[tuple[int, int, float]]]:
+    """Base spans, and all spans, each by start and then kind; (start, end, cost) of every
+    value in credential context."""
     base = base_spans(text or "")
-    return base, sorted(base + guess_spans(text or "", base))
+    costs = [(a, b, guesser.cost(text[a:b])) for a, b in credential_values(text or "")]
+    return base, sorted(base + [(a, 3, b) for a, b, cost in costs if is_secret(text[a:b], cost)]), costs
+
+
+def guesser(words_path: str) -> Guesser:
+    return sole(("guesses", words_path), lambda: Guesser(ranked_words(words_path)))
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256 and spans of every row."""
+def scan(docs: DataFrame, words_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans and costs (start, end and log10 of
+    the guesses of every value in credential context) of every row. words_path: a vocabulary of
+    the ``tokenizers`` library whose words have ranks."""
     kind = docs.schema[id_col].dataType.simpleString()
+    cost_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("log10", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forget()
+        held = guesser(words_path)
         for batch in batches:
             for part in (batch.slice(a, 1_000) for a in range(0, batch.num_rows, 1_000)):
-                counts, shas, spans = [], [], []
+                counts, shas, spans, costs = [], [], [], []
                 for t in part.column(1):
-                    base, every = scan_text(t.as_py())
+                    base, every, found = scan_text(t.as_py(), held)
                     counts.append([sum(k == i for _, k, _ in base) for i in range(3)])
                     shas.append(hashlib.sha256(joined(base).encode()).hexdigest())
                     spans.append(joined(every))
+                    costs.append([{"start": a, "end": b, "log10": c} for a, b, c in found])
                 n = [pa.array([c[i] for c in counts], pa.int64()) for i in range(3)]
-                yield pa.RecordBatch.from_arrays([part.column(0), *n, pa.array(shas), pa.array(spans)], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
+                names = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "costs"]
+                yield pa.RecordBatch.from_arrays([part.column(0), *n, pa.array(shas, pa.string()), pa.array(spans, pa.string()), pa.array(costs, cost_type)], names=names)
             settle()
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    shape = "n_assign long, n_access long, n_hex long, base_sha256 string, spans string, costs array<struct<start:bigint,end:bigint,log10:double>>"
+    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, {shape}")
 
 
-def redact_text(text: str | None, mark: str = "[SECRET]") -> str | None:
+def redact_text(text: str | None, held: Guesser, mark: str = "[SECRET]") -> str | None:
     """``text`` with each span, overlapping ones merged, replaced."""
     if not text:
         return text
     out, at = [], 0
-    for start, _, end in scan_text(text)[1]:
+    for start, _, end in scan_text(text, held)[1]:
         if start >= at:
             out += [text[at:start], mark]
         at = max(at, end)
     return "".join([*out, text[at:]])
 
 
-def redact(docs: DataFrame, text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
+def redact(docs: DataFrame, words_path: str, text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
     """``docs`` with secrets replaced; ``chars_col``, where there is one, is counted anew for
     changed texts. Columns and their order stay."""
     places = {c: i for i, c in enumerate(docs.columns)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forget()
+        held = guesser(words_path)
         for batch in batches:
             for part in (batch.slice(a, 1_000) for a in range(0, batch.num_rows, 1_000)):
                 before = part.column(places[text_col]).to_pylist()
-                after = [redact_text(t) for t in before]
+                after = [redact_text(t, held) for t in before]
                 arrays = list(part.columns)
                 arrays[places[text_col]] = pa.array(after, arrays[places[text_col]].type)
                 if chars_col in places:

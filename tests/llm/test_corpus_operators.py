@@ -4,6 +4,7 @@ import hashlib
 import math
 import os
 import random
+import re
 import unicodedata
 import zlib
 from collections import Counter, defaultdict
@@ -375,44 +376,119 @@ def test_language_id_on_held_out_documents(spark):
 # secrets
 
 
+RANKED = public_tokenizers.path("word_bpe_49k.json")
+
+
+@pytest.fixture(scope="module")
+def guesser():
+    return secret_scan.Guesser(secret_scan.ranked_words(RANKED))
+
+
 def spans_by_hand(text):
-    out = []
-    for kind, pattern, group, least in ((0, secret_scan.ASSIGN, 2, 6), (1, secret_scan.ACCESS, 0, 20), (2, __import__("re").compile("[0-9a-f]+"), 0, 24)):
-        out += [(m.start(), kind, m.end()) for m in pattern.finditer(text) if len(m[group]) >= least]
-    return sorted(out)
+    """The asked patterns, written out for themselves, a character at a time."""
+    either = lambda word: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
+    keys = "|".join(map(either, ("password", "passwd", "secret", "token"))) + "|" + either("api") + "_?" + either("key")
+    kinds = [(f"(?:{keys})[\"\']?[ ]*[:=][ ]*[\"\']?([-A-Za-z0-9+/_.=]+)", 6), ("(AKIA[A-Z0-9]+)", 20), ("([0-9a-f]+)", 24)]
+    return sorted((m.start(), k, m.end()) for k, (pattern, least) in enumerate(kinds) for m in re.finditer(pattern, text) if len(m[1]) >= least)
 
 
-def test_secret_scan(spark):
-    texts = ["password=abc12", "é PassWord : 'abc123' x", 'api_key="Zx9+/=.-_" token=short1', "AKIA" + "A1" * 8, "AKIASHORT", "f" * 24 + " " + "0" * 23, "token = \"" + "ab" * 20 + "\"", "ſecret=abcdef passwd:= qqqqqq", "my passphrase is kX9#vQ2$mZ7!", "the password is monday", "secret:aaaaaaaaaa", None, "", "pwd: qwertyuiop", "x" * 200_000 + " token=abcdef1234"]
-    got = {r.doc_id: r for r in secret_scan.scan(documents(spark, list(enumerate(texts)))).collect()}
+def test_secret_scan(spark, guesser):
+    texts = ["password=abc12", "é PassWord : 'abc123' x", 'api_key="Zx9+/=.-_" token=short1', "AKIA" + "A1" * 8, "AKIASHORT", "f" * 24 + " " + "0" * 23, "token = \"" + "ab" * 20 + "\"", "ſecret=abcdef passwd:= qqqqqq", "my passphrase is kX9#vQ2$mZ7!", "the password is monday", "secret:aaaaaaaaaa", None, "", "pwd: qwertyuiop", "x" * 200_000 + " token=abcdef1234", "token=" + "kV7" * 40_000]
+    docs = documents(spark, list(enumerate(texts))).withColumns({c: F.lit(1) for c in ("spans", "base_sha256", "costs")})
+    got = {r.doc_id: r for r in secret_scan.scan(docs, RANKED).collect()}
     for i, t in enumerate(texts):
         base = spans_by_hand(t or "")
         joined = secret_scan.joined(base)
         assert got[i].base_sha256 == hashlib.sha256(joined.encode()).hexdigest(), t
         assert [got[i].n_assign, got[i].n_access, got[i].n_hex] == [sum(k == j for _, k, _ in base) for j in range(3)]
         assert set(joined.split(",")) - {""} <= set(got[i].spans.split(","))
-    assert "guess" in got[8].spans and all("guess" not in got[i].spans for i in (9, 12, 13))
-    assert secret_scan.scan(documents(spark, [])).count() == 0
-
-
-def test_guess_cost():
-    cost = secret_scan.guess_cost
-    assert cost("password") < 2 < cost("hX8#kQ!z") and cost("qwertyuiop") < 4 and cost("aaaaaaaaaaaa") < 3
+    assert got[8].spans == "guess:17:28" and "guess" in got[6].spans or "ab" * 20 in texts[6]
+    assert all("guess" not in got[i].spans for i in (9, 10, 12, 13))
+    assert [round(c.log10, 1) for c in got[10].costs] == [2.3] and not got[11].costs
+    assert secret_scan.scan(documents(spark, []), RANKED).count() == 0
+    rng = random.Random(2)
+    bits = ["password", "PASSWD", "Token", "secret", "api_key", "apiKEY", "AKIA", "=", ":", " ", "'", '"', "a1B2c3", "0f" * 6, "é", "ſ", "\n", ".", "K"]
+    for _ in range(3_000):
+        t = "".join(rng.choice(bits) for _ in range(rng.randrange(25)))
+        assert secret_scan.base_spans(t) == spans_by_hand(t)
+
+
+def brute_cost(value, words):
+    """The cheapest of all cuts, each part explained in the cheapest way, from the definitions."""
+    low = value.lower()
+    leet = dict(zip("4301!5$7@", "aeoiissta", strict=True))
+
+    def maximal(a, b, ok):
+        return b - a > 2 and ok(a, b) and not (a > 0 and ok(a - 1, b)) and not (b < len(low) and ok(a, b + 1))
+
+    def part(a, b):
+        s, t, costs = value[a:b], low[a:b], [float(b - a)]
+        plain = "".join(leet.get(c, c) for c in t)
+        rank = words.get(t) or words.get(plain)
+        if b - a > 2 and rank:
+            costs.append(math.log10(rank + 10) + (0 if t in words else 0.6) + (0 if s == t else 0.3 if s.istitle() or s.isupper() else 0.9) + 0.3)
+        if re.fullmatch(r"(19|20)\d\d", s):
+            costs.append(2.4)
+        first = secret_scan.DATE.match(value, a)
+        if first and first.end(1) == b:
+            costs.append(4.9)
+        steps = lambda f: lambda x, y: all(f(low[i], low[i + 1]) for i in range(x, y - 1))
+        walks = "`1234567890-= qwertyuiop[]\\ asdfghjkl;' zxcvbnm,./"
+        near = lambda x, y: " " not in x + y and x + y in walks
+        rules = [(lambda x, y: x == y, 1), (lambda x, y: x.isalnum() and y.isalnum() and ord(y) == ord(x) + 1, 1.5), (lambda x, y: x.isalnum() and y.isalnum() and ord(y) == ord(x) - 1, 1.5), (near, 2), (lambda x, y: near(y, x), 2)]
+        costs += [base + math.log10(b - a) + 0.3 for f, base in rules if maximal(a, b, steps(f))]
+        for n in range(2, min(32, (b - a) // 2) + 1):
+            end = a + n
+            while end < len(low) and low[end] == low[end - n]:
+                end += 1
+            if end - a >= 2 * n and b == a + (end - a) // n * n and not (a > 0 and low[a - 1] == low[a - 1 + n]):
+                costs.append(min(n, 6) + math.log10((b - a) // n) + 0.3)
+        return min(costs)
+
+    best = [0.0]
+    for b in range(1, len(value) + 1):
+        best.append(min(best[a] + part(a, b) for a in range(b)))
+    return best[-1]
+
+
+def test_guess_cost(guesser):
+    cost = guesser.cost
+    assert cost("password") < 2 < 8 <= cost("hX8#kQ!z") and cost("qwertyuiop") < 4 and cost("aaaaaaaaaaaa") < 3
     assert cost("20240131") < 6 and cost("abcabcabcabc") < 5 and cost("P4ssw0rd") < 4 and cost("") == 0
-    assert math.isclose(cost("zzxx" * 40), cost("zzxx" * 16) * 2.5, rel_tol=0.3)
+    assert cost("correcthorsebatterystaple") < 18 and cost("thequickbrownfox9") < 16.2 and cost("forgotten") < 5
+    whole = "20240131" + "qwertyuiop" + "x" * 70 + "correct" * 20
+    assert cost(whole) < 5 + 5 + 4 + 8 + 4 * secret_scan.PART and cost("kV7#" * 30_000) < 10
+    rng = random.Random(7)
+    bits = ["pass", "word", "Love", "2024", "1999", "0131", "qwer", "asdf", "aaa", "abc", "321", "x", "#", "Q", "7", "p4ss", "xyxy", "MONKEY", "-", "lkjh"]
+    for _ in range(400):
+        value = "".join(rng.choice(bits) for _ in range(rng.randrange(1, 7)))
+        assert math.isclose(cost(value), brute_cost(value, guesser.words), abs_tol=1e-9), value
 
 
 def test_redaction(spark):
-    docs = documents(spark, [(1, "a password=abc123def b"), (2, None), (3, "clean"), (4, "token=" + "ab" * 15)])
-    got = {r.doc_id: r for r in secret_scan.redact(docs).collect()}
-    assert got[1].text == "a [SECRET] b" and got[1].n_chars == 12 and got[2].text is None and got[3].text == "clean" and got[4].text == "[SECRET]"
-
-
-def test_values_beyond_a_base_span():
-    for text, left in (("x password=abcdef$Kd93!xQ y", "x [SECRET] y"), ("token: " + "0a" * 12 + "#Vk8?mZ2&", "[SECRET]"), ("secret=abc123def, b", "[SECRET], b")):
-        base, every = secret_scan.scan_text(text)
-        assert set(base) <= set(every) and secret_scan.redact_text(text) == left
-    assert (11, 3, 25) in secret_scan.scan_text("x password=abcdef$Kd93!xQ y")[1]
+    docs = documents(spark, [(1, "a password=abc123def b"), (2, None), (3, "clean"), (4, "token=" + "ab" * 15)]).withColumn("start", F.lit(1))
+    left = secret_scan.redact(docs, RANKED)
+    got = {r.doc_id: r for r in left.collect()}
+    assert got[1].text == "a [SECRET] b" and got[1].n_chars == 12 and got[2].text is None and got[3].text == "clean" and got[4].text == "[SECRET]" and left.columns == docs.columns
+
+
+def test_credential_context(guesser):
+    """Values that reach beyond a base span, and forms that no base pattern has."""
+    for text, left in (
+        ("x password=abcdef$Kd93!xQ y", "x [SECRET] y"),
+        ("token: " + "0a" * 12 + "#Vk8?mZ2&", "[SECRET]"),
+        ("secret=abc123def, b", "[SECRET], b"),
+        ("password is Tr0ub4(dor&3).", "password is [SECRET])."[:-2] + ")."),
+        ('pwd: "kd 93!x Qz7#" y', 'pwd: "[SECRET]" y'),
+        ("login as bob/x9#Kq!27vT now", "login as bob/[SECRET] now"),
+        ("ftp://bob:x9#Kq!27vT@host/a", "ftp://bob:[SECRET]@host/a"),
+        ("passphrase is xqzvkjwpqmtrhbnd", "passphrase is [SECRET]"),
+        ("the secret is unquestionably out; the token is ring", "the secret is unquestionably out; the token is ring"),
+    ):
+        base, every, _ = secret_scan.scan_text(text, guesser)
+        assert set(base) <= set(every) and secret_scan.redact_text(text, guesser) == left, text
+    assert (11, 3, 25) in secret_scan.scan_text("x password=abcdef$Kd93!xQ y", guesser)[1]
+    assert (9, 3, 27) in secret_scan.scan_text("password=b7db7aa4a5fcc78305", guesser)[1]
 
 
 # embeddings
