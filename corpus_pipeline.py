@@ -9,14 +9,18 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from basaltic.llm import exact_dedup, lang_id, order_minhash, packing, secret_scan
 from basaltic.llm.common import saved, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no language is recognised (null text, or no letter) go."""
-    return lang_id.recognised(docs, docs, public_tokenizers.path("piece_bpe_32k.model"))
+    """Documents in which no language is recognised go: null texts, no letter, or pieces that no
+    language explains better than chance. The held-out quarter isn't learned from; a missing
+    ``lang`` is filled with the prediction."""
+    learnable = docs.where(~lang_id.held_out(F.col("doc_id")))
+    return lang_id.recognised(docs, learnable, public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +35,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets give way to a mark; no document goes."""
-    return secret_scan.redact(docs)
+    return secret_scan.redact(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
