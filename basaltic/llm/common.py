@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from basaltic.operators.graph import connected_components
 from basaltic.storage import materialize, saved, scratch_path
 
-__all__ = ["arrow_rows", "connected_components", "materialize", "saved", "scratch_path", "table"]
+__all__ = ["arrow_rows", "connected_components", "free_names", "materialize", "saved", "scratch_path", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,3 +27,14 @@ def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
         yield
     finally:
         spark.conf.set(key, before)
+
+
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Column names that ``df`` doesn't have, whatever their case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basaltic.llm.common import saved
+from basaltic.llm.common import free_names, saved
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Fingerprints one owner merges at once (8 bytes each).
@@ -168,12 +168,12 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row for each normalised text: the one with the largest id. Columns
     and their order stay. Of fully tied rows (equal text and id) one stays."""
+    own_id, own_sha, id_, sha, kept = free_names(docs, "id", "sha", "doc", "text", "kept")
     marks = duplicate_groups(docs, id_col, text_col)
-    losers = saved(marks.where("group_size > 1").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"), F.col("kept").alias("__kept")).distinct(), "marks")
-    keyed = docs.select("*", F.col(id_col).alias("__id"), F.sha2(normalised(F.col(text_col)), 256).alias("__sha"))
-    if losers.count() <= BROADCAST_SUSPECTS:
-        losers = F.broadcast(losers)
-    joined = keyed.join(losers, keyed["__sha"].eqNullSafe(losers["__sha"]) & keyed["__id"].eqNullSafe(losers["__id"]), "left").select(keyed["*"], losers["__kept"])
-    single = joined.where("__kept is null")
-    winners = joined.where("__kept").dropDuplicates(["__id", "__sha"])
-    return single.union(winners).select(*docs.columns)
+    marks = saved(marks.where("group_size > 1").select(F.col("doc_id").alias(own_id), F.col("text_sha256").alias(own_sha), F.col("kept").alias(kept)).distinct(), "marks")
+    keyed = docs.select("*", F.col(id_col).alias(id_), F.sha2(normalised(F.col(text_col)), 256).alias(sha))
+    if marks.count() <= BROADCAST_SUSPECTS:
+        marks = F.broadcast(marks)
+    joined = keyed.join(marks, F.col(sha).eqNullSafe(F.col(own_sha)) & F.col(id_).eqNullSafe(F.col(own_id)), "left")
+    winners = joined.where(F.col(kept)).dropDuplicates([id_, sha])
+    return joined.where(F.col(kept).isNull()).union(winners).select(*docs.columns)

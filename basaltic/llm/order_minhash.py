@@ -12,11 +12,16 @@ the 20 sketches that make buckets with probability 0.9998, and enough of all 128
 0.9998 again. That needs documents without repeated k-mers: where one recurs, its occurrences
 are numbered anew once one is gone, and sketches lose their order though the texts align. So
 ``LOOSE`` sketches make buckets without their order as well, which agree with 0.51 in any case,
-and a pair in which a k-mer recurs needs one common bucket (0.9998 again) and the bound by odd
-sketches only, which no near copies fail. Equal texts are one class from the start. First each bucket's members are
-compared with its most central one, whose buckets hold the most; linked classes are merged;
-then every pair of a bucket whose classes still differ and that can be near copies by these tests
-is compared as well. A group of many near copies costs one comparison for
+and a pair in which a k-mer recurs shares at least ``LOOSE_AGREE`` of them (0.9998) and has no
+other filter but the bound by odd sketches, which no near copies fail. Loose buckets without a
+document in which a k-mer recurs are dropped.
+
+Equal texts are one class from the start. First each bucket's members are compared with its
+most central one, whose buckets hold the most; linked classes are merged; then every pair of a
+bucket whose classes still differ and that can be near copies by these tests is compared as
+well. Of a bucket with more than ``HOT`` members only pairs that share further hot buckets
+are looked at, as near copies that share no smaller bucket must: its members are dealt by
+pairs and then triples of their hot keys. A group of many near copies costs one comparison for
 each member and bucket; pairs that aren't near copies cost sketch comparisons inside the join,
 and hardly any leave it; nothing is capped.
 
@@ -35,14 +40,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basaltic.llm.common import connected_components, saved
+from basaltic.llm.common import connected_components, free_names, saved
 from basaltic.llm.tokens import forget, settle, sole
 
 WORDS, SIMILARITY = 5, 0.8
 #: Sketches that make buckets, their k-mers, and how many a pair must share.
 SKETCHES, L, AGREE = 20, 3, 3
-#: The first of them that make buckets without the order of their k-mers, too.
-LOOSE = 12
+#: The first of them that make buckets without the order of their k-mers, too, and how many of
+#: those a pair must share in which a k-mer recurs.
+LOOSE, LOOSE_AGREE = 16, 2
+#: Members from which a bucket is dealt by several keys.
+HOT = 200
 #: All sketches, of which a pair must share so many; the second number is for fewer than
 #: ``SHORT`` k-mers. Both stand three and a half deviations below what 0.8 lets expect.
 MARKS, MARKS_AGREE, SHORT, SHORT_AGREE = 128, 44, 50, 32
@@ -230,13 +238,13 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _agree(a: str, b: str) -> Column:
-    """Whether structs ``a`` and ``b`` (n, twice, keys, marks, odd) can be near copies: their odd
-    sketches differ in few enough bits, and, unless a k-mer recurs, they share enough sketches."""
+    """Whether structs ``a`` and ``b`` (n, twice, keys, loose, marks, odd) can be near copies:
+    their odd sketches differ in few enough bits, and they share enough sketches."""
     shared = lambda field: F.size(F.array_intersect(f"{a}.{field}", f"{b}.{field}"))
     turned = sum((F.bit_count(F.get(f"{a}.odd", F.lit(i)).bitwiseXOR(F.get(f"{b}.odd", F.lit(i)))) for i in range(PARITY // 64)), F.lit(0))
     least = F.when(F.least(f"{a}.n", f"{b}.n") < SHORT, SHORT_AGREE).otherwise(MARKS_AGREE)
     recurs = F.col(f"{a}.twice") | F.col(f"{b}.twice")
-    return (turned * 9 <= F.col(f"{a}.n") + F.col(f"{b}.n")) & (recurs | (shared("keys") >= AGREE) & (shared("marks") >= least))
+    return (turned * 9 <= F.col(f"{a}.n") + F.col(f"{b}.n")) & F.when(recurs, shared("loose") >= LOOSE_AGREE).otherwise((shared("keys") >= AGREE) & (shared("marks") >= least))
 
 
 def _near_in_length(a: str, b: str) -> Column:
@@ -256,63 +264,108 @@ def links(pairs: DataFrame, rows: DataFrame, reps: DataFrame) -> DataFrame:
     return both.select("a", "b", "wa", "wb").mapInArrow(verify, "a long, b long")
 
 
-def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id and h of every row, with its class: class_id, class_size, and whether its text
-    leads the class."""
+def _pairs_in(rows: DataFrame, side: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different classes that can be near copies, within buckets (key, cid,
+    class)."""
+    rows = saved(rows.join(side, "cid").select("key", "cid", "class", "of"), "omh-open")
+    left = rows.select("key", F.col("cid").alias("a"), F.col("class").alias("ca"), F.col("of").alias("of_a"))
+    right = rows.select("key", F.col("cid").alias("b"), F.col("class").alias("cb"), F.col("of").alias("of_b"))
+    near = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _near_in_length("of_a.n", "of_b.n") & _agree("of_a", "of_b")
+    return left.join(right, (left["key"] == right["key"]) & near).select("a", "b").distinct()
+
+
+def _dealt(placed: DataFrame) -> DataFrame:
+    """Buckets (key, cid, class) out of ``placed`` (loose, key, cid, class) that hold several
+    classes, hot ones dealt by as many of their keys as near copies share at least."""
+    out, anchors, rows = None, None, placed.withColumn("last", F.col("key"))
+    for level in range(1, AGREE + 1):
+        held = rows.groupBy("loose", "key").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count(F.lit(1)).alias("size"))
+        held = saved(held.where("low < high").select("loose", "key", "size"), "omh-mixed")
+        rows = saved(rows.join(held, ["loose", "key"]), "omh-dealt")
+        hot = (F.col("size") > HOT) & (F.lit(level) < F.when(F.col("loose"), LOOSE_AGREE).otherwise(AGREE))
+        done = rows.where(~hot).select("key", "cid", "class")
+        out = done if out is None else out.union(done)
+        rows = rows.where(hot).drop("size")
+        if level == AGREE or rows.isEmpty():
+            break
+        anchors = rows.select("loose", "cid", F.col("key").alias("more")) if anchors is None else anchors
+        rows = rows.join(anchors, ["loose", "cid"]).where("more > last").select("loose", F.xxhash64("key", "more").alias("key"), "cid", "class", F.col("more").alias("last"))
+    return out
+
+
+def _linked(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """doc_id and h of every row; the different texts (cid, h, rep, copies); the links (a, b) of
+    cids that were verified, which join all near copies; (node, component) of linked cids."""
     rows = _rows(docs, id_col, text_col)
     sketched = saved(rows.mapInArrow(sketch, "doc_id long, h binary, n long, twice boolean, keys array<long>, loose array<long>, marks array<int>, odd array<long>"), "omh-sketches")
     reps = sketched.groupBy("h").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), *(F.first(c).alias(c) for c in ("n", "twice", "keys", "loose", "marks", "odd")))
     reps = saved(reps.withColumn("cid", F.monotonically_increasing_id()), "omh-classes")
 
-    dealt = reps.select("cid", "n", F.explode(F.concat("keys", "loose")).alias("key"))
-    shared = saved(dealt.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "omh-shared")
-    members = saved(dealt.join(shared, "key"), "omh-members")
+    ordered = reps.where("not twice").select("cid", "n", "twice", F.lit(False).alias("loose"), F.explode("keys").alias("key"))
+    dealt = ordered.union(reps.select("cid", "n", "twice", F.lit(True).alias("loose"), F.explode("loose").alias("key")))
+    shared = dealt.groupBy("loose", "key").agg(F.count(F.lit(1)).alias("size"), F.bool_or("twice").alias("recurs")).where("size > 1 and (recurs or not loose)")
+    members = saved(dealt.drop("twice").join(saved(shared.drop("recurs"), "omh-shared"), ["loose", "key"]), "omh-members")
     scores = members.groupBy("cid").agg(F.sum("size").alias("score"))
     members = saved(members.drop("size").join(scores, "cid"), "omh-members")
-    leads = saved(members.groupBy("key").agg(F.max_by(F.struct("cid", "n"), F.struct("score", -F.col("cid"))).alias("lead")), "omh-leads")
+    leads = saved(members.groupBy("loose", "key").agg(F.max_by(F.struct("cid", "n"), F.struct("score", -F.col("cid"))).alias("lead")), "omh-leads")
 
-    star = members.join(leads, "key").where("cid <> lead.cid").where(_near_in_length("n", "lead.n"))
+    star = members.join(leads, ["loose", "key"]).where("cid <> lead.cid").where(_near_in_length("n", "lead.n"))
     star = star.select(F.col("lead.cid").alias("a"), F.col("cid").alias("b")).distinct()
     star = saved(star, "omh-star")
-    side = reps.select("cid", F.struct("n", "twice", "keys", "marks", "odd").alias("of"))
+    side = reps.select("cid", F.struct("n", "twice", "keys", "loose", "marks", "odd").alias("of"))
     star = star.join(side.select(F.col("cid").alias("a"), F.col("of").alias("of_a")), "a").join(side.select(F.col("cid").alias("b"), F.col("of").alias("of_b")), "b")
     star = saved(star.where(_agree("of_a", "of_b")).select("a", "b"), "omh-star")
     found = saved(links(star, rows, reps), "omh-links")
     merged = connected_components(found, "omh-components")
 
-    placed = members.join(merged, F.col("cid") == F.col("node"), "left").select("key", "cid", F.coalesce("component", "cid").alias("class"))
-    mixed = saved(placed.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("key"), "omh-mixed")
-    open_rows = saved(placed.join(mixed, "key", "left_semi").join(side, "cid").select("key", "cid", "class", "of"), "omh-open")
-    left = open_rows.select("key", F.col("cid").alias("a"), F.col("class").alias("ca"), F.col("of").alias("of_a"))
-    right = open_rows.select("key", F.col("cid").alias("b"), F.col("class").alias("cb"), F.col("of").alias("of_b"))
-    near = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _near_in_length("of_a.n", "of_b.n") & _agree("of_a", "of_b")
-    cross = left.join(right, (left["key"] == right["key"]) & near).select("a", "b").distinct()
+    placed = members.join(merged, F.col("cid") == F.col("node"), "left").select("loose", "key", "cid", F.coalesce("component", "cid").alias("class"))
+    cross = _pairs_in(_dealt(saved(placed, "omh-placed")), side)
     cross = saved(cross.join(star, ["a", "b"], "left_anti"), "omh-cross")
     more = saved(links(cross, rows, reps), "omh-links")
     if not more.isEmpty():
-        merged = connected_components(found.union(more), "omh-components")
+        found = found.union(more)
+        merged = connected_components(found, "omh-components")
+    return sketched.select("doc_id", "h"), reps.select("cid", "h", "rep", "copies"), found, merged
+
 
-    grouped = saved(reps.join(merged, F.col("cid") == F.col("node"), "left").select("h", "rep", "copies", F.coalesce("component", "cid").alias("class")), "omh-grouped")
+def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id and h of every row, with its class: class_id, class_size, whether its text leads
+    the class, and the number of its text's verified links."""
+    listed, reps, found, merged = _linked(docs, id_col, text_col)
+    ends = found.select(F.col("a").alias("end")).union(found.select("b")).groupBy("end").agg(F.count(F.lit(1)).alias("links"))
+    reps = reps.join(merged, F.col("cid") == F.col("node"), "left").join(ends, F.col("cid") == F.col("end"), "left")
+    grouped = saved(reps.select("h", "rep", "copies", F.coalesce("component", "cid").alias("class"), F.coalesce("links", F.lit(0)).alias("n_links")), "omh-grouped")
     lead = F.min(F.struct(F.col("rep").isNull(), F.col("rep"), F.col("h"))).alias("lead")
     named = grouped.groupBy("class").agg(F.min("rep").alias("class_id"), F.sum("copies").alias("class_size"), lead)
-    by_text = saved(grouped.join(named, "class").select("h", "class_id", "class_size", (F.col("h") == F.col("lead.h")).alias("leads")), "omh-named")
-    return sketched.select("doc_id", "h").join(by_text, "h", "left")
+    by_text = saved(grouped.join(named, "class").select("h", "class_id", "class_size", "n_links", (F.col("h") == F.col("lead.h")).alias("leads")), "omh-named")
+    return listed.join(by_text, "h", "left")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, class_id (the smallest id of its class), class_size and kept of every row."""
-    return _classes(docs, id_col, text_col).select("doc_id", "class_id", "class_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+    """doc_id, class_id (the smallest id of its class), class_size, kept, and n_links (verified
+    links of its text to different texts, see ``pairs``) of every row."""
+    return _classes(docs, id_col, text_col).select("doc_id", "class_id", "class_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"), "n_links")
+
+
+def pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_a, doc_b): the links between different texts that were verified, each text named by
+    the smallest id that has it. They join all near copies; a link between two texts that
+    others join already need not be among them."""
+    _, reps, found, _ = _linked(docs, id_col, text_col)
+    name = lambda c: reps.select(F.col("cid").alias(c), F.col("rep").alias("doc_" + c))
+    return found.join(name("a"), "a").join(name("b"), "b").select("doc_a", "doc_b")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row for each class of near copies: the one with the smallest id. Of
     rows that tie in id the one with the smallest text hash stays, of equal rows any. Columns
     and their order stay."""
+    own_id, own_h, doc, text, kept = free_names(docs, "id", "h", "doc", "text", "kept")
     found = _classes(docs, id_col, text_col).where("class_size > 1")
     wins = F.col("leads") & F.col("doc_id").eqNullSafe(F.col("class_id"))
-    marks = saved(found.select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), wins.alias("__kept")).distinct(), "omh-marks")
+    marks = saved(found.select(F.col("doc_id").alias(own_id), F.col("h").alias(own_h), wins.alias(kept)).distinct(), "omh-marks")
     marks = F.broadcast(marks) if marks.count() <= BROADCAST_CLASSES else marks
-    keyed = docs.select("*", F.col(id_col).cast("long").alias("__doc"), F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")))).alias("__text"))
-    joined = keyed.join(marks, (F.col("__text") == F.col("__h")) & F.col("__doc").eqNullSafe(F.col("__id")), "left")
-    winners = joined.where("__kept").dropDuplicates(["__doc", "__text"])
-    return joined.where("__kept is null").union(winners).select(*docs.columns)
+    keyed = docs.select("*", F.col(id_col).cast("long").alias(doc), F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")))).alias(text))
+    joined = keyed.join(marks, (F.col(text) == F.col(own_h)) & F.col(doc).eqNullSafe(F.col(own_id)), "left")
+    winners = joined.where(F.col(kept)).dropDuplicates([doc, text])
+    return joined.where(F.col(kept).isNull()).union(winners).select(*docs.columns)

@@ -1,7 +1,7 @@
 """URL verdicts from a table of host and path rules, by hash prefixes.
 
-Each distinct (host, path) is expanded into the suffixes of its host at dots and the
-prefixes of its path at the lengths that rules have. The expressions are equi-joined with the
+Each distinct (host, path) is expanded into the suffixes of its host with as many labels as
+rules have, and the prefixes of its path at the lengths that rules have. The expressions are equi-joined with the
 rules on the first bytes of a digest, confirmed by the whole digest, and the longest rule
 wins. DataFrame functions only.
 
@@ -56,10 +56,11 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(_after_scheme(url), r"(?s)^[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def expressions(places: DataFrame, lengths: list[int]) -> DataFrame:
-    """(host, path) with every (suffix, prefix) of theirs. ``lengths``: those of rule paths."""
+def expressions(places: DataFrame, counts: list[int], lengths: list[int]) -> DataFrame:
+    """(host, path) with every (suffix, prefix) of theirs. ``counts``: the numbers of labels of
+    rule hosts; ``lengths``: those of rule paths."""
     labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size("labels")), lambda i: F.concat_ws(".", F.slice("labels", i, F.size("labels"))))
+    suffixes = F.transform(F.filter(F.array(*[F.lit(n) for n in counts]), lambda n: n <= F.size("labels")), lambda n: F.concat_ws(".", F.slice("labels", F.size("labels") - n + 1, n)))
     cuts = F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.length("path"))
     return (
         places.withColumn("labels", labels)
@@ -75,17 +76,17 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
         rules.where("rule_host is not null and rule_path is not null and verdict is not null")
         .groupBy("rule_host", "rule_path")
         .agg(F.max("verdict").alias("rule_verdict"))
-        .select(F.concat("rule_host", "rule_path").alias("rule"), F.length("rule_host").alias("rule_host_length"), F.length("rule_path").alias("n"), "rule_verdict")
+        .select(F.concat("rule_host", "rule_path").alias("rule"), F.length("rule_host").alias("rule_host_length"), F.length("rule_path").alias("n"), F.size(F.split("rule_host", r"\.")).alias("labels"), "rule_verdict")
         .withColumn("digest", F.sha2(F.concat_ws("\n", "rule_host_length", "rule"), 256))
     )
-    shape = rules.agg(F.count(F.lit(1)).alias("rules"), F.collect_set("n").alias("lengths")).first()
+    shape = rules.agg(F.count(F.lit(1)).alias("rules"), F.collect_set("n").alias("lengths"), F.collect_set("labels").alias("counts")).first()
     split = pages.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     if not shape["rules"]:
         return split.select("*", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
     keyed = rules.select(F.left("digest", F.lit(PREFIX_DIGITS)).alias("short"), F.col("digest").alias("rule_digest"), "rule_verdict")
     if shape["rules"] <= BROADCAST_RULES:
         keyed = F.broadcast(keyed)
-    tried = expressions(split.select("host", "path").distinct(), sorted(shape["lengths"]))
+    tried = expressions(split.select("host", "path").distinct(), sorted(shape["counts"]), sorted(shape["lengths"]))
     tried = tried.withColumn("digest", F.sha2(F.concat_ws("\n", "host_length", "rule"), 256)).withColumn("short", F.left("digest", F.lit(PREFIX_DIGITS)))
     order = F.struct(F.length("rule"), F.col("host_length"), F.col("rule_verdict"))
     best = (
