@@ -1,12 +1,12 @@
 """Near-duplicate vectors: spherical k-means cells and blocked cosine products within them.
 
-Equal vectors of a label are one class, compared once. Labels with many classes get k-means
-centroids from a bounded sample. A vector belongs to the cell of its nearest centroid and
-visits every other cell that could hold a partner: with |x - y| <= r, a partner y of x in
-cell j has y.(c_j - c_i) >= 0, so x.(c_i - c_j) <= r |c_i - c_j|. Every pair at the threshold
-or above therefore meets in the home cell of each of its two vectors, and none is lost. Cells
-are compared in blocks of bounded size, in double precision; a block returns link counts and
-a spanning forest of its links, never the pairs.
+Equal vectors of a label are one class, compared once. Each label with ``LEAST_CELLED`` classes
+gets k-means centroids, trained on a bounded sample by distributed sums. A vector belongs to
+the cell of its nearest centroid and visits every other cell that could hold a partner: with
+|x - y| <= r, a partner y of x in cell j has y.(c_j - c_i) >= 0, so x.(c_i - c_j) <= r |c_i - c_j|.
+Every pair at the threshold or above therefore meets in the home cell of each of its two
+vectors, and none is lost. Cells are compared in blocks of bounded size, in double precision; a
+block returns link counts and a spanning forest of its links, never the pairs.
 
 Cases: vectors that are null, empty, zero, or hold null or non-finite components, and vectors
 without a label, link with nothing and are kept; vectors of different lengths don't link;
@@ -20,18 +20,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from basaltic.llm.common import connected_components, saved
 
 THRESHOLD = 0.98
-#: Classes of a label for each of its cells, and rows on each side of a block.
-CELL_TARGET, BLOCK = 2_000, 2_000
-#: Centroids of all labels together, which every executor holds.
-MOST_CELLS = 16_384
+#: Classes of a label for each of its cells (two cells at least), and rows on each side of a
+#: block. Labels with fewer classes are one cell.
+CELL_TARGET, LEAST_CELLED, BLOCK = 2_000, 32, 2_000
+#: Bytes of the centroids of all labels together, which the driver and every executor hold.
+CENTROID_BYTES = 48 << 20
 #: Sampled vectors for each centroid, and rounds of k-means.
-SAMPLE_A_CELL, ROUNDS = 64, 8
+SAMPLE_A_CELL, ROUNDS = 64, 4
+#: Products of vectors with centroids that are held at once.
+PRODUCTS = 2_000_000
+#: Largest number of cells whose numbers of blocks are broadcast (about 40 bytes each).
+BROADCAST_CELLS = 200_000
 
 
 def unit(vectors) -> np.ndarray:
@@ -40,23 +45,55 @@ def unit(vectors) -> np.ndarray:
     return rows / np.sqrt((rows * rows).sum(1, keepdims=True))
 
 
-def spherical_k_means(x: np.ndarray, k: int, rounds: int = ROUNDS, seed: int = 7) -> np.ndarray:
-    """Up to ``k`` unit centroids of unit vectors."""
-    rng = np.random.default_rng(seed)
-    centroids = x[rng.choice(len(x), min(k, len(x)), replace=False)]
-    for _ in range(rounds):
-        nearest = np.argmax(x @ centroids.T, 1)
-        sums = np.zeros_like(centroids)
-        np.add.at(sums, nearest, x)
-        norms = np.sqrt((sums * sums).sum(1, keepdims=True))
-        centroids = np.where(norms > 1e-9, sums / np.maximum(norms, 1e-9), centroids)
-    return centroids
+def sums(centroids: dict):
+    """For each cell the sum of the sampled unit vectors that are nearest to its centroid."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            for key, part in rows.groupby(["label", "dim"], sort=False):
+                c = centroids.value.get((int(key[0]), int(key[1])))
+                if c is None:
+                    continue
+                step = max(1, PRODUCTS // len(c))
+                for at in range(0, len(part), step):
+                    x = unit(part["v"].iloc[at : at + step])
+                    nearest = np.argmax(x @ c.T, 1)
+                    cells, which = np.unique(nearest, return_inverse=True)
+                    total = np.zeros((len(cells), x.shape[1]))
+                    np.add.at(total, which, x)
+                    yield pd.DataFrame({"label": key[0], "dim": key[1], "cell": cells, "total": list(total)})
+
+    return run
 
 
-def train(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values("cid")
-    centroids = spherical_k_means(unit(rows["v"]), int(rows["k"].iloc[0]))
-    return pd.DataFrame({"label": rows["label"].iloc[0], "dim": rows["dim"].iloc[0], "cell": range(len(centroids)), "centroid": list(centroids)})
+def add_up(rows: pd.DataFrame) -> pd.DataFrame:
+    """One cell's new centroid; none where its vectors cancel out."""
+    total = np.sum([np.asarray(t) for t in rows["total"]], 0)
+    norm = np.sqrt(total @ total)
+    return rows[["label", "dim", "cell"]].iloc[:1].assign(total=[total / norm]) if norm > 1e-9 else rows.iloc[:0]
+
+
+def spherical_k_means(spark, sample: DataFrame, rounds: int):
+    """Unit centroids by (label, dim), on every executor. sample: label, dim, k, n, cid, v of
+    the drawn classes. Each round sends a sum for each cell of each batch, which are added up
+    by cell; only centroids reach the driver."""
+    start = F.xxhash64("cid", F.lit("start"))
+    near = sample.where(F.pmod(start, F.lit(1 << 20)) < F.lit(8.0 * (1 << 20)) * F.col("k") / F.least("n", F.col("k") * SAMPLE_A_CELL))
+    place = F.row_number().over(Window.partitionBy("label", "dim").orderBy(start, "cid"))
+    seeds = near.select("label", "dim", "k", "cid").withColumn("cell", place - 1).where("cell < k").select("cid", "cell")
+    centroids: dict = {}
+    for r in sample.join(seeds, "cid").select("label", "dim", "cell", "v").orderBy("label", "dim", "cell").toLocalIterator():
+        centroids.setdefault((r["label"], r["dim"]), []).append(unit([r["v"]])[0])
+    centroids = {key: np.array(found) for key, found in centroids.items()}
+    for _ in range(rounds if centroids else 0):
+        held = spark.sparkContext.broadcast(centroids)
+        parts = sample.select("label", "dim", "v").mapInPandas(sums(held), "label long, dim int, cell int, total array<double>")
+        moved = parts.groupBy("label", "dim", "cell").applyInPandas(add_up, "label long, dim int, cell int, total array<double>")
+        centroids = {key: c.copy() for key, c in centroids.items()}
+        for r in moved.toLocalIterator():
+            centroids[r["label"], r["dim"]][r["cell"]] = r["total"]
+        held.unpersist()
+    return spark.sparkContext.broadcast(centroids)
 
 
 def assign(centroids: dict, radius: float):
@@ -69,13 +106,15 @@ def assign(centroids: dict, radius: float):
                 if c is None:
                     yield part.assign(home=0, cells=[[0]] * len(part))
                     continue
-                gaps = np.sqrt(np.maximum(0, 2 - 2 * (c @ c.T)))
-                for at in range(0, len(part), 1_000):
-                    some = part.iloc[at : at + 1_000]
+                step = max(1, PRODUCTS // len(c))
+                for at in range(0, len(part), step):
+                    some = part.iloc[at : at + step]
                     scores = unit(some["v"]) @ c.T
                     home = np.argmax(scores, 1)
+                    homes, which = np.unique(home, return_inverse=True)
+                    gaps = np.sqrt(np.maximum(0, 2 - 2 * (c[homes] @ c.T)))
                     behind = scores[np.arange(len(some)), home][:, None] - scores
-                    meets = behind <= radius * gaps[home] + 1e-9
+                    meets = behind <= radius * gaps[which] + 1e-9
                     yield some.assign(home=home, cells=[np.flatnonzero(m) for m in meets])
 
     return run
@@ -123,16 +162,12 @@ def link(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id
         good.groupBy("label", "dim", "v").agg(F.count(F.lit(1)).alias("weight"), F.min("vec_id").alias("least")).withColumn("cid", F.monotonically_increasing_id()),
         "vector-classes",
     )
-    sizes = classes.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CELL_TARGET)
-    total = sizes.agg(F.sum("n")).first()[0] or 0
-    k = F.least(F.ceil(F.col("n") / CELL_TARGET), F.floor(F.lit(MOST_CELLS) * F.col("n") / F.lit(max(total, 1)))).cast("int")
-    sizes = sizes.withColumn("k", k).where("k > 1")
+    sizes = classes.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_CELLED)
+    asked = F.greatest(F.ceil(F.col("n") / CELL_TARGET), F.lit(2))
+    need = sizes.agg(F.sum(asked * F.col("dim") * 8)).first()[0] or 0
+    sizes = sizes.withColumn("k", F.floor(asked * min(1.0, CENTROID_BYTES / max(need, 1))).cast("int")).where("k > 1")
     drawn = classes.join(sizes, ["label", "dim"]).where(F.pmod(F.xxhash64("cid"), F.lit(1 << 20)) < F.col("k") * SAMPLE_A_CELL / F.col("n") * (1 << 20))
-    trained = drawn.select("label", "dim", "k", "cid", "v").groupBy("label", "dim").applyInPandas(train, "label long, dim int, cell int, centroid array<double>")
-    cells: dict = {}
-    for r in trained.collect():  # MOST_CELLS rows at most
-        cells.setdefault((r["label"], r["dim"]), []).append((r["cell"], r["centroid"]))
-    held = spark.sparkContext.broadcast({key: np.array([c for _, c in sorted(found)]) for key, found in cells.items()})
+    held = spherical_k_means(spark, saved(drawn.select("label", "dim", "k", "n", "cid", "v"), "vector-sample"), ROUNDS)
     radius = float(np.sqrt(2 - 2 * threshold))
     kind = classes.schema["v"].dataType.simpleString()
     placed = classes.select("label", "dim", "cid", "weight", "v").mapInPandas(assign(held, radius), f"label long, dim int, cid long, weight long, v {kind}, home int, cells array<int>")
@@ -141,7 +176,7 @@ def link(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id
     visits = placed.select("label", "dim", F.explode("cells").alias("cell")).groupBy("label", "dim", "cell").agg(F.count(F.lit(1)).alias("n_all"))
     parts = homes.join(visits, ["label", "dim", "cell"]).select("label", "dim", "cell", F.ceil(F.col("n_own") / BLOCK).cast("int").alias("own_parts"), F.ceil(F.col("n_all") / BLOCK).cast("int").alias("all_parts"))
     parts = saved(parts.where("own_parts > 1 or all_parts > 1"), "vector-parts")  # only cells with centroids
-    parts = F.broadcast(parts) if parts.count() <= MOST_CELLS else parts
+    parts = F.broadcast(parts) if parts.count() <= BROADCAST_CELLS else parts
 
     # A cell of one block goes there once; of others, the vectors at home go to every block of
     # their part, and so do all that the cell meets.

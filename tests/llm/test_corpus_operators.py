@@ -532,7 +532,7 @@ def test_embedding_links(spark, monkeypatch, small):
         base = rng.normal(size=8)
         for _ in range(rng.integers(1, 8)):
             rows.append((len(rows), int(k % 3), np.float32(base + rng.normal(size=8) * rng.choice([0.02, 0.1, 0.3])).tolist()))
-    rows += [(800 + i, 1, rows[5][2]) for i in range(30)] + [(900, None, rows[0][2]), (901, 1, None), (902, 1, []), (903, 1, [0.0] * 8), (904, 1, [float("nan")] * 8), (905, 1, [1.0, None] + [0.0] * 6), (906, 1, [float("inf")] * 8), (None, 1, rows[5][2]), (907, 1, [1.0, 2.0]), (908, 1, [2.0, 4.0]), (0, 0, rows[0][2])]
+    rows += [(800 + i, 1, rows[5][2]) for i in range(30)] + [(910, 2, [1.0, *[0.0] * 99_999]), (911, 2, [1.0, *[0.0] * 99_998, 0.1])] + [(900, None, rows[0][2]), (901, 1, None), (902, 1, []), (903, 1, [0.0] * 8), (904, 1, [float("nan")] * 8), (905, 1, [1.0, None] + [0.0] * 6), (906, 1, [float("inf")] * 8), (None, 1, rows[5][2]), (907, 1, [1.0, 2.0]), (908, 1, [2.0, 4.0]), (0, 0, rows[0][2])]
     table = spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").withColumn("cid", F.lit(1))
     got = embed_dedup.link(table)
     assert Counter(map(tuple, got.collect())) == brute_links(rows)
