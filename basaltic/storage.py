@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the cluster names no shared folder (tests on one machine).
+#: Used only where driver and executors are one process and no shared folder is named.
 LOCAL_SCRATCH = "file:///tmp/checkpoints"
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names in ``spark.checkpoint.dir``."""
+    """The shared folder the cluster names in ``spark.checkpoint.dir``; it has to name one."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return (named or LOCAL_SCRATCH).rstrip("/")
 
 
