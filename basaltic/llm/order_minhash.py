@@ -19,11 +19,11 @@ document in which a k-mer recurs are dropped.
 Equal texts are one class from the start. First each bucket's members are compared with its
 most central one, whose buckets hold the most; linked classes are merged; then every pair of a
 bucket whose classes still differ and that can be near copies by these tests is compared as
-well. Of a bucket with more than ``HOT`` members only pairs that share further hot buckets
-are looked at, as near copies that share no smaller bucket must: its members are dealt by
-pairs and then triples of their hot keys. A group of many near copies costs one comparison for
-each member and bucket; pairs that aren't near copies cost sketch comparisons inside the join,
-and hardly any leave it; nothing is capped.
+well. There a document leaves its ``AGREE`` - 1 largest buckets (``LOOSE_AGREE`` - 1 loose
+ones): of the buckets that a pair shares the smallest has at least as many larger ones on
+either side, so no pair is lost, and the buckets of common passages shrink. A group of many near
+copies costs one comparison for each member and bucket; pairs that aren't near copies cost
+sketch comparisons inside the join, and hardly any leave it; nothing is capped.
 
 Cases: a null text counts as empty; texts without words are near copies of equal texts only;
 rows with a null id take part, and a class's id is its smallest id that is not null; repeated
@@ -37,7 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from basaltic.llm.common import connected_components, free_names, saved
@@ -49,8 +49,6 @@ SKETCHES, L, AGREE = 20, 3, 3
 #: The first of them that make buckets without the order of their k-mers, too, and how many of
 #: those a pair must share in which a k-mer recurs.
 LOOSE, LOOSE_AGREE = 16, 2
-#: Members from which a bucket is dealt by several keys.
-HOT = 200
 #: All sketches, of which a pair must share so many; the second number is for fewer than
 #: ``SHORT`` k-mers. Both stand three and a half deviations below what 0.8 lets expect.
 MARKS, MARKS_AGREE, SHORT, SHORT_AGREE = 128, 44, 50, 32
@@ -239,12 +237,14 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _agree(a: str, b: str) -> Column:
     """Whether structs ``a`` and ``b`` (n, twice, keys, loose, marks, odd) can be near copies:
-    their odd sketches differ in few enough bits, and they share enough sketches."""
+    their odd sketches differ in few enough bits (half of them are looked at first), and they
+    share enough sketches."""
     shared = lambda field: F.size(F.array_intersect(f"{a}.{field}", f"{b}.{field}"))
-    turned = sum((F.bit_count(F.get(f"{a}.odd", F.lit(i)).bitwiseXOR(F.get(f"{b}.odd", F.lit(i)))) for i in range(PARITY // 64)), F.lit(0))
+    turned = lambda upto: sum((F.bit_count(F.get(f"{a}.odd", F.lit(i)).bitwiseXOR(F.get(f"{b}.odd", F.lit(i)))) for i in range(upto)), F.lit(0))
     least = F.when(F.least(f"{a}.n", f"{b}.n") < SHORT, SHORT_AGREE).otherwise(MARKS_AGREE)
-    recurs = F.col(f"{a}.twice") | F.col(f"{b}.twice")
-    return (turned * 9 <= F.col(f"{a}.n") + F.col(f"{b}.n")) & F.when(recurs, shared("loose") >= LOOSE_AGREE).otherwise((shared("keys") >= AGREE) & (shared("marks") >= least))
+    recurs, most, whole = F.col(f"{a}.twice") | F.col(f"{b}.twice"), F.col(f"{a}.n") + F.col(f"{b}.n"), PARITY // 64
+    enough = F.when(recurs, shared("loose") >= LOOSE_AGREE).otherwise((shared("keys") >= AGREE) & (shared("marks") >= least))
+    return (turned(whole // 2) * 9 <= most) & (turned(whole) * 9 <= most) & enough
 
 
 def _near_in_length(a: str, b: str) -> Column:
@@ -264,33 +264,21 @@ def links(pairs: DataFrame, rows: DataFrame, reps: DataFrame) -> DataFrame:
     return both.select("a", "b", "wa", "wb").mapInArrow(verify, "a long, b long")
 
 
-def _pairs_in(rows: DataFrame, side: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different classes that can be near copies, within buckets (key, cid,
-    class)."""
-    rows = saved(rows.join(side, "cid").select("key", "cid", "class", "of"), "omh-open")
-    left = rows.select("key", F.col("cid").alias("a"), F.col("class").alias("ca"), F.col("of").alias("of_a"))
-    right = rows.select("key", F.col("cid").alias("b"), F.col("class").alias("cb"), F.col("of").alias("of_b"))
-    near = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _near_in_length("of_a.n", "of_b.n") & _agree("of_a", "of_b")
-    return left.join(right, (left["key"] == right["key"]) & near).select("a", "b").distinct()
-
-
-def _dealt(placed: DataFrame) -> DataFrame:
-    """Buckets (key, cid, class) out of ``placed`` (loose, key, cid, class) that hold several
-    classes, hot ones dealt by as many of their keys as near copies share at least."""
-    out, anchors, rows = None, None, placed.withColumn("last", F.col("key"))
-    for level in range(1, AGREE + 1):
-        held = rows.groupBy("loose", "key").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count(F.lit(1)).alias("size"))
-        held = saved(held.where("low < high").select("loose", "key", "size"), "omh-mixed")
-        rows = saved(rows.join(held, ["loose", "key"]), "omh-dealt")
-        hot = (F.col("size") > HOT) & (F.lit(level) < F.when(F.col("loose"), LOOSE_AGREE).otherwise(AGREE))
-        done = rows.where(~hot).select("key", "cid", "class")
-        out = done if out is None else out.union(done)
-        rows = rows.where(hot).drop("size")
-        if level == AGREE or rows.isEmpty():
-            break
-        anchors = rows.select("loose", "cid", F.col("key").alias("more")) if anchors is None else anchors
-        rows = rows.join(anchors, ["loose", "cid"]).where("more > last").select("loose", F.xxhash64("key", "more").alias("key"), "cid", "class", F.col("more").alias("last"))
-    return out
+def _pairs_left(placed: DataFrame, side: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different classes that can be near copies, within buckets out of
+    ``placed`` (loose, key, size, cid, class)."""
+    largest = F.row_number().over(Window.partitionBy("loose", "cid").orderBy(F.desc("size"), "key"))
+    placed = saved(placed.withColumn("place", largest).where(F.col("place") >= F.when(F.col("loose"), LOOSE_AGREE).otherwise(AGREE)), "omh-placed")
+    counted = placed.groupBy("loose", "key", "class").agg(F.count(F.lit(1)).alias("n"))
+    mixed = counted.groupBy("loose", "key").agg(F.count(F.lit(1)).alias("classes"), F.max_by("class", "n").alias("major")).where("classes > 1").drop("classes")
+    rows = placed.select("loose", "key", "cid", "class").join(saved(mixed, "omh-mixed"), ["loose", "key"]).join(side, "cid")
+    rows = saved(rows.select("loose", "key", "cid", "class", (F.col("class") != F.col("major")).alias("minor"), "of"), "omh-open")
+    ends = [rows.select("loose", "key", *[F.col(c).alias(f"{c}_{end}") for c in ("cid", "class", "minor", "of")]) for end in "ab"]
+    # one of a pair stands outside the bucket's largest class, so that a large class isn't joined with itself
+    once = ~F.col("minor_b") | (F.col("cid_a") < F.col("cid_b"))
+    open_ = once & (F.col("class_a") != F.col("class_b")) & (~F.col("loose") | F.col("of_a.twice") | F.col("of_b.twice"))
+    joined = ends[0].where("minor_a").join(ends[1], ["loose", "key"]).where(open_ & _near_in_length("of_a.n", "of_b.n") & _agree("of_a", "of_b"))
+    return joined.select(F.least("cid_a", "cid_b").alias("a"), F.greatest("cid_a", "cid_b").alias("b")).distinct()
 
 
 def _linked(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -306,7 +294,7 @@ def _linked(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Dat
     shared = dealt.groupBy("loose", "key").agg(F.count(F.lit(1)).alias("size"), F.bool_or("twice").alias("recurs")).where("size > 1 and (recurs or not loose)")
     members = saved(dealt.drop("twice").join(saved(shared.drop("recurs"), "omh-shared"), ["loose", "key"]), "omh-members")
     scores = members.groupBy("cid").agg(F.sum("size").alias("score"))
-    members = saved(members.drop("size").join(scores, "cid"), "omh-members")
+    members = saved(members.join(scores, "cid"), "omh-members")
     leads = saved(members.groupBy("loose", "key").agg(F.max_by(F.struct("cid", "n"), F.struct("score", -F.col("cid"))).alias("lead")), "omh-leads")
 
     star = members.join(leads, ["loose", "key"]).where("cid <> lead.cid").where(_near_in_length("n", "lead.n"))
@@ -318,8 +306,8 @@ def _linked(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Dat
     found = saved(links(star, rows, reps), "omh-links")
     merged = connected_components(found, "omh-components")
 
-    placed = members.join(merged, F.col("cid") == F.col("node"), "left").select("loose", "key", "cid", F.coalesce("component", "cid").alias("class"))
-    cross = _pairs_in(_dealt(saved(placed, "omh-placed")), side)
+    placed = members.join(merged, F.col("cid") == F.col("node"), "left").select("loose", "key", "size", "cid", F.coalesce("component", "cid").alias("class"))
+    cross = _pairs_left(placed, side)
     cross = saved(cross.join(star, ["a", "b"], "left_anti"), "omh-cross")
     more = saved(links(cross, rows, reps), "omh-links")
     if not more.isEmpty():
