@@ -6,16 +6,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def parse_numstat(lines: DataFrame) -> DataFrame:
-    """(commit_hash, ts, path, added, deleted) from ``lines(pos, line)`` of a log whose commits
-    begin with ``hash<tab>seconds`` and list ``added<tab>deleted<tab>path``; ``-`` counts 0."""
-    head = F.col("line").rlike(r"^[0-9a-f]{7,64}\t\d+$")
-    order = Window.orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    carried = lines.withColumn("head", F.last(F.when(head, F.col("line")), ignorenulls=True).over(order))
-    parts = F.split("line", "\t", 3)
-    rows = carried.where(~head & F.col("head").isNotNull() & F.col("line").rlike(r"^(\d+|-)\t(\d+|-)\t."))
-    number = lambda i: F.when(parts[i] == "-", 0).otherwise(F.try_to_number(parts[i], F.lit("9" * 18)).cast("long"))
-    return rows.select(F.split_part("head", F.lit("\t"), F.lit(1)).alias("commit_hash"), F.split_part("head", F.lit("\t"), F.lit(2)).cast("long").alias("ts"), parts[2].alias("path"), number(0).alias("added"), number(1).alias("deleted"))
+def parse_numstat(blocks: DataFrame) -> DataFrame:
+    """(commit_hash, ts, path, added, deleted) from ``blocks(block)``, a commit each: a line
+    ``hash<tab>seconds``, then ``added<tab>deleted<tab>path`` for each file, where ``-`` counts
+    0. Other blocks and lines are passed over; no shuffle."""
+    lines = F.split("block", "\n")
+    head = F.regexp_extract(F.trim(F.get(lines, F.lit(0))), r"^([0-9a-f]{7,64}\t\d+)$", 1)
+    rows = blocks.select(F.split(head, "\t").alias("head"), F.explode(lines).alias("line")).where((F.size("head") == 2) & F.col("line").rlike(r"^(\d+|-)\t(\d+|-)\t."))
+    added, deleted, path = (F.get(F.split("line", "\t", 3), F.lit(i)) for i in range(3))
+    number = lambda text: F.when(text == "-", 0).otherwise(F.try_to_number(text, F.lit("9" * 18)).cast("long"))
+    return rows.select(F.col("head")[0].alias("commit_hash"), F.col("head")[1].cast("long").alias("ts"), path.alias("path"), number(added).alias("added"), number(deleted).alias("deleted"))
 
 
 def churn(log: DataFrame) -> DataFrame:

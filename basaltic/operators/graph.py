@@ -157,7 +157,7 @@ def reverse_walk(edges: DataFrame, starts: DataFrame, max_depth: int = 10) -> tu
     and line), and is itself certain if any edge into the walk from it is, together with what
     that edge's target passes on.
     """
-    seen = saved(starts.select("id").distinct().select("id", F.lit(0).alias("hops"), F.row_number().over(_order("id")).cast("long").alias("pos"), F.lit(True).alias("passes")), "walk")
+    seen = saved(_queued(starts.select("id").distinct(), "id").select("id", F.lit(0).alias("hops"), "pos", F.lit(True).alias("passes")), "walk")
     frontier, hits = seen, None
     for hop in range(1, max_depth + 1):
         found = frontier.join(edges.withColumnRenamed("dst", "id"), "id").select(
@@ -171,7 +171,7 @@ def reverse_walk(edges: DataFrame, starts: DataFrame, max_depth: int = 10) -> tu
         one = saved(one.withColumn("hops", F.lit(hop)), "walk")
         hits = one if hits is None else hits.union(one)
         fresh = one.join(seen.select(F.col("id").alias("src")), "src", "left_anti")
-        frontier = saved(fresh.select(F.col("src").alias("id"), F.lit(hop).alias("hops"), F.row_number().over(_order("at")).cast("long").alias("pos"), "passes"), "walk")
+        frontier = saved(_queued(fresh, "at").select(F.col("src").alias("id"), F.lit(hop).alias("hops"), "pos", "passes"), "walk")
         seen = seen.union(frontier)
     truncated = False
     if frontier is not None:
@@ -184,11 +184,10 @@ def reverse_walk(edges: DataFrame, starts: DataFrame, max_depth: int = 10) -> tu
     return reached, edges.sparkSession.range(1).select(F.lit(truncated).alias("truncated"))
 
 
-def _order(column: str):
-    """The walk's queue; it holds one frontier, whose nodes need a total order."""
-    from pyspark.sql import Window
-
-    return Window.orderBy(column)
+def _queued(rows: DataFrame, column: str) -> DataFrame:
+    """``rows`` with ``pos``, which rises with ``column``: after a distributed sort the numbers
+    of partitions and of rows in them do."""
+    return rows.orderBy(column).withColumn("pos", F.monotonically_increasing_id())
 
 
 def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -311,13 +310,14 @@ def network_metrics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return joined.select("id", *[F.round(c, 6).alias(c) for c in ("pagerank", "betweenness", "closeness", "degree_centrality")])
 
 
-def ancestors(links: DataFrame, most_rounds: int = 100) -> DataFrame:
-    """(name, ancestor): the transitive closure of ``links(name, base)``, each name included."""
+def ancestors(links: DataFrame) -> DataFrame:
+    """(name, ancestor): the transitive closure of ``links(name, base)``, each name included,
+    however deep; it ends as each round adds pairs or is the last."""
     links = saved(links.select("name", "base").distinct(), "ancestor-links")
     names = links.select("name").union(links.select("base")).distinct()
     found = saved(names.select("name", F.col("name").alias("ancestor")), "ancestors")
     frontier = found
-    for _ in range(most_rounds):
+    while True:
         step = frontier.join(links.select(F.col("name").alias("ancestor"), "base"), "ancestor").select("name", F.col("base").alias("ancestor")).distinct()
         frontier = saved(step.join(found, ["name", "ancestor"], "left_anti"), "ancestors")
         if frontier.isEmpty():

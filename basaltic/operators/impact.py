@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -142,9 +140,6 @@ def merge_ranges(ranges: DataFrame, keys: list[str]) -> DataFrame:
     return islands.groupBy(*keys, "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
 
 
-HUNK = re.compile(r"^@@ -\d+(?:,\d+)? \+(\d+)(?:,(\d+))? @@")
-
-
 def analyze_diff(tables: dict[str, DataFrame], hunks: list[dict], max_depth: int = MAX_DEPTH) -> dict:
     """The impact of all analysed ``hunks(file, start, end, status, reason)``, merged."""
     affected = bounds = None

@@ -7,16 +7,22 @@ commits, documents for sources, orders for snapshots and spans, page urls for pa
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basaltic.functions import text
 from basaltic.operators import churn, compare, graph, impact, metrics, resolve
-from basaltic.plans.tables import LOG_SQL, SUCCESSOR_SQL, TRADE_SQL, change_log, successor_graph, table, text_files, trade_graph
+from basaltic.plans import generated
+from basaltic.plans.project import sized
+from basaltic.plans.tables import LOG_SQL, SUCCESSOR_SQL, TRADE_SQL, change_log, log_blocks, successor_graph, table, text_files, trade_graph
+from basaltic.sources import sinks
+from basaltic.sources.extract import fact_table
+from basaltic.storage import saved
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-RANK_ROUNDS = 12
+#: Rounds that the SQL twins write out; both converge or reach their end sooner.
+RANK_ROUNDS, LABEL_ROUNDS = 40, 10
 
 
 def query(sql: str | None = None):
@@ -61,26 +67,27 @@ def degree_centrality(spark, sf_dir):
     return graph.degrees(*successor_graph(spark, sf_dir))
 
 
-_REACH = f"""WITH RECURSIVE {TRADE_SQL},
-u AS (SELECT src AS a, dst AS b FROM te UNION SELECT dst, src FROM te),
-w(a, b) AS (SELECT id, id FROM tn UNION SELECT w.a, u.b FROM w JOIN u ON w.b = u.a),
-wc AS (SELECT a AS id, min(b) AS component FROM w GROUP BY a)"""
+_LABELS = (
+    f"WITH {SUCCESSOR_SQL}, ue AS MATERIALIZED (SELECT src AS a, dst AS b FROM se WHERE src IN (SELECT id FROM sn) AND dst IN (SELECT id FROM sn) UNION SELECT dst, src FROM se WHERE src IN (SELECT id FROM sn) AND dst IN (SELECT id FROM sn)), c0 AS (SELECT id, id AS component FROM sn)"
+    + "".join(f", c{i + 1} AS MATERIALIZED (SELECT c.id, least(c.component, min(o.component)) AS component FROM c{i} c LEFT JOIN ue ON ue.a = c.id LEFT JOIN c{i} o ON o.id = ue.b GROUP BY c.id, c.component)" for i in range(LABEL_ROUNDS))
+    + f", wc AS (SELECT id, component FROM c{LABEL_ROUNDS}), pe AS (SELECT count(*) // 2 AS m FROM ue)"
+)
 
 
-@query(_REACH + " SELECT id, component FROM wc")
+@query(_LABELS + " SELECT id, component FROM wc")
 def weak_components(spark, sf_dir):
-    return graph.weak_components(*trade_graph(spark, sf_dir))
+    return graph.weak_components(*successor_graph(spark, sf_dir))
 
 
 @query(
-    _REACH
-    + """ SELECT (SELECT count(*) FROM tn) AS nodes, (SELECT count(*) FROM te) AS edges,
-  round((SELECT count(*) FROM te) / ((SELECT count(*) FROM tn) * ((SELECT count(*) FROM tn) - 1))::DOUBLE, 6) AS density,
-  round((SELECT count(*) FROM te) / (SELECT count(*) FROM tn)::DOUBLE, 6) AS avg_degree,
+    _LABELS
+    + """, ie AS (SELECT count(*) AS m FROM se WHERE src IN (SELECT id FROM sn) AND dst IN (SELECT id FROM sn)) SELECT (SELECT count(*) FROM sn) AS nodes, (SELECT m FROM ie) AS edges,
+  round((SELECT m FROM ie) / ((SELECT count(*) FROM sn) * ((SELECT count(*) FROM sn) - 1))::DOUBLE, 6) AS density,
+  round((SELECT m FROM ie) / (SELECT count(*) FROM sn)::DOUBLE, 6) AS avg_degree,
   (SELECT count(DISTINCT component) FROM wc) AS wcc_count, (SELECT max(n) FROM (SELECT count(*) AS n FROM wc GROUP BY component)) AS wcc_largest"""
 )
 def network_summary(spark, sf_dir):
-    return graph.network_summary(*trade_graph(spark, sf_dir))
+    return graph.network_summary(*successor_graph(spark, sf_dir))
 
 
 _STRONG = f"""WITH RECURSIVE {TRADE_SQL},
@@ -100,11 +107,11 @@ def cycles(spark, sf_dir):
 
 
 @query(f"""WITH RECURSIVE {SUCCESSOR_SQL},
-b(id, hops) AS (SELECT id, 0 FROM sn WHERE id = 1 UNION SELECT se.src, b.hops + 1 FROM b JOIN se ON se.dst = b.id WHERE b.hops < 2)
+b(id, hops) AS (SELECT min(dst), 0 FROM se UNION SELECT se.src, b.hops + 1 FROM b JOIN se ON se.dst = b.id WHERE b.hops < 10)
 SELECT id, min(hops) AS hops FROM b GROUP BY id""")
 def reverse_reach(spark, sf_dir):
-    nodes, edges = successor_graph(spark, sf_dir)
-    return graph.reverse_bfs(edges, nodes.where("id = 1"), max_hops=2)
+    _, edges = successor_graph(spark, sf_dir)
+    return graph.reverse_bfs(edges, edges.agg(F.min("dst").alias("id")))
 
 
 @query(f"""WITH RECURSIVE {TRADE_SQL},
@@ -116,18 +123,18 @@ def ancestor_closure(spark, sf_dir):
 
 
 def _rank_sql(rounds: int) -> str:
-    steps = [f"WITH {TRADE_SQL}, live AS (SELECT src AS id FROM te UNION SELECT dst FROM te), n AS (SELECT count(*) AS n FROM live), outs AS (SELECT src AS id, count(*) AS k FROM te GROUP BY 1), r0 AS (SELECT live.id, k, 1.0::DOUBLE / n AS rank FROM live CROSS JOIN n LEFT JOIN outs USING (id))"]
+    steps = [f"WITH {SUCCESSOR_SQL}, te AS MATERIALIZED (SELECT src, dst FROM se WHERE src IN (SELECT id FROM sn) AND dst IN (SELECT id FROM sn)), live AS (SELECT src AS id FROM te UNION SELECT dst FROM te), n AS (SELECT count(*) AS n FROM live), outs AS (SELECT src AS id, count(*) AS k FROM te GROUP BY 1), r0 AS (SELECT live.id, k, 1.0::DOUBLE / n AS rank FROM live CROSS JOIN n LEFT JOIN outs USING (id))"]
     for i in range(rounds):
         steps.append(
             f"d{i} AS (SELECT coalesce(sum(rank) FILTER (k IS NULL), 0) AS d FROM r{i}), g{i} AS (SELECT dst AS id, sum(rank / k) AS got FROM te JOIN r{i} ON r{i}.id = te.src GROUP BY 1), "
             f"r{i + 1} AS MATERIALIZED (SELECT id, k, 0.15::DOUBLE / n + 0.85::DOUBLE * (coalesce(got, 0) + d / n) AS rank FROM r{i} LEFT JOIN g{i} USING (id) CROSS JOIN d{i} CROSS JOIN n)"
         )
-    return ", ".join(steps) + f" SELECT id, round(coalesce(rank, 0), 6) AS pagerank FROM tn LEFT JOIN r{rounds} USING (id)"
+    return ", ".join(steps) + f" SELECT id, round(coalesce(rank, 0), 6) AS pagerank FROM sn LEFT JOIN r{rounds} USING (id)"
 
 
 @query(_rank_sql(RANK_ROUNDS))
 def page_rank(spark, sf_dir):
-    ranks = graph.page_rank(*trade_graph(spark, sf_dir), tolerance=0.0, most_rounds=RANK_ROUNDS)
+    ranks = graph.page_rank(*successor_graph(spark, sf_dir))
     return ranks.select("id", F.round("pagerank", 6).alias("pagerank"))
 
 
@@ -167,27 +174,28 @@ def betweenness(spark, sf_dir):
     return found.select("id", F.round("betweenness", 6).alias("betweenness"))
 
 
-@query(f"WITH {TRADE_SQL} SELECT DISTINCT src AS id FROM te WHERE dst IN (SELECT min(dst) FROM te)")
+@query(f"WITH {SUCCESSOR_SQL} SELECT DISTINCT src AS id FROM se WHERE dst IN (SELECT min(dst) FROM se)")
 def predecessors(spark, sf_dir):
-    _, edges = trade_graph(spark, sf_dir)
+    _, edges = successor_graph(spark, sf_dir)
     return graph.neighbours(edges, edges.agg(F.min("dst")).first()[0], incoming=True)
 
 
 @query()
 def impact_walk(spark, sf_dir):
-    """Who depends on part 1, with lines and certainty; tested against a queue by hand."""
-    nodes, edges = successor_graph(spark, sf_dir)
+    """Who depends on the first part that follows another, with lines and certainty; tested
+    against a queue by hand."""
+    _, edges = successor_graph(spark, sf_dir)
     marked = edges.select("src", "dst", (F.col("src") % 7 + 1).cast("int").alias("line"), ((F.col("src") + F.col("dst")) % 3 != 0).alias("certain"))
-    return graph.reverse_walk(marked, nodes.where("id = 1"), 2)[0]
+    return graph.reverse_walk(marked, edges.agg(F.min("dst").alias("id")))[0]
 
 
 # change history
 
 
-@query(f"""WITH {LOG_SQL}
-SELECT path AS file_id, count(*) AS churn_commits, sum(added)::BIGINT AS churn_added, 0::BIGINT AS churn_deleted, strftime(make_timestamp(max(ts) * 1000000), '%Y-%m-%d') AS last_commit FROM log GROUP BY 1""")
+@query("""SELECT 'u' || user_id || '/' || event_type AS file_id, count(*) AS churn_commits, sum(coalesce(floor(value), 0))::BIGINT AS churn_added, sum(coalesce(floor(value)::BIGINT % 7, 0))::BIGINT AS churn_deleted,
+  strftime(make_timestamp(max(floor(epoch(ts))::BIGINT) * 1000000), '%Y-%m-%d') AS last_commit FROM events GROUP BY 1""")
 def churn_by_file(spark, sf_dir):
-    return churn.churn(change_log(spark, sf_dir))
+    return churn.churn(churn.parse_numstat(log_blocks(spark, sf_dir)))
 
 
 _HOT = f"""WITH {LOG_SQL}, c AS (SELECT path AS file_id, count(*) AS churn_commits, sum(added)::BIGINT % 50 AS cc_total FROM log GROUP BY 1),
@@ -263,11 +271,45 @@ def compare_edges(spark, sf_dir):
     return compare.import_edges(_half_edges(spark, sf_dir, True), _half_edges(spark, sf_dir, False))
 
 
+def _cycles_of(spark, sf_dir, early: bool):
+    """For each customer the priorities of its orders of a half-year, in no order."""
+    orders = table(spark, sf_dir, "orders").where((F.month("o_orderdate") <= 6) == early)
+    return orders.groupBy("o_custkey").agg(F.array_distinct(F.collect_list("o_orderpriority")).alias("cycle")).select("cycle")
+
+
+@query(
+    """WITH c AS (SELECT DISTINCT early, cycle FROM (SELECT month(o_orderdate) <= 6 AS early, array_to_string(list_sort(list(DISTINCT o_orderpriority)), ',') AS cycle FROM orders GROUP BY 1, o_custkey)),
+a AS (SELECT cycle FROM c WHERE early), b AS (SELECT cycle FROM c WHERE NOT early)
+SELECT cycle, 'added' AS status FROM (SELECT * FROM b EXCEPT SELECT * FROM a) UNION ALL SELECT cycle, 'removed' FROM (SELECT * FROM a EXCEPT SELECT * FROM b)"""
+)
+def compare_cycles(spark, sf_dir):
+    found = compare.cycle_changes(_cycles_of(spark, sf_dir, True), _cycles_of(spark, sf_dir, False))
+    return found.select(F.array_join("cycle", ",").alias("cycle"), "status")
+
+
+def _hot_of(spark, sf_dir, odd: bool):
+    log = change_log(spark, sf_dir).where((F.minute(F.timestamp_seconds("ts")) % 2 == 1) == odd)
+    changes = churn.churn(log)
+    return churn.top_hotspots(churn.with_hotspots(changes.select("file_id", (F.col("churn_added") % 50).alias("cc_total")), changes)).select("file_id")
+
+
+@query(
+    f"""WITH {LOG_SQL}, c AS (SELECT minute(make_timestamp(ts * 1000000)) % 2 = 1 AS odd, path AS file_id, count(*) AS n, sum(added)::BIGINT % 50 AS cc FROM log GROUP BY 1, 2),
+h AS (SELECT odd, file_id, CASE WHEN cc = 0 THEN 0.0::DOUBLE ELSE round(cume_dist() OVER (PARTITION BY odd ORDER BY n) * cume_dist() OVER (PARTITION BY odd ORDER BY cc), 4) END AS hotspot FROM c),
+t AS (SELECT * FROM h WHERE hotspot > 0 QUALIFY row_number() OVER (PARTITION BY odd ORDER BY hotspot DESC, file_id) <= 20),
+a AS (SELECT file_id FROM t WHERE odd), b AS (SELECT file_id FROM t WHERE NOT odd)
+SELECT file_id, 'new' AS status FROM (SELECT * FROM b EXCEPT SELECT * FROM a) UNION ALL SELECT file_id, 'resolved' FROM (SELECT * FROM a EXCEPT SELECT * FROM b)"""
+)
+def compare_hotspots(spark, sf_dir):
+    """The top hotspots of even minutes against those of odd ones."""
+    return compare.hotspot_changes(_hot_of(spark, sf_dir, True), _hot_of(spark, sf_dir, False))
+
+
 # names to definitions: lineitems call parts, which suppliers define
 
 
-_CALLS = """WITH c AS (SELECT l_orderkey * 10 + l_linenumber AS call_id, min(l_suppkey) AS own, min(s_nationkey) AS bound, min('T' || l_partkey % 50) AS name FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1),
-d AS (SELECT DISTINCT p_partkey % 40 + 1 AS home, p_partkey % 25 AS nation, 'T' || p_partkey % 57 AS name, 'D' || p_partkey % 301 AS dst FROM part WHERE p_partkey % 3 = 0),
+_CALLS = """WITH c AS (SELECT l_orderkey * 10 + l_linenumber AS call_id, min(l_suppkey) AS own, min(s_nationkey) AS bound, min('T' || l_partkey % 60) AS name FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1),
+d AS (SELECT DISTINCT p_partkey % 40 + 1 AS home, p_partkey % 25 AS nation, 'T' || p_partkey % 57 AS name, 'D' || p_partkey % 301 AS dst FROM part),
 h AS (SELECT DISTINCT call_id, dst, 1 AS tier FROM c JOIN d ON c.own = d.home AND c.name = d.name
   UNION ALL SELECT DISTINCT call_id, dst, 2 FROM c JOIN d ON c.bound = d.nation AND c.name = d.name UNION ALL SELECT DISTINCT call_id, dst, 3 FROM c JOIN d ON c.name = d.name),
 b AS (SELECT * FROM h QUALIFY tier = min(tier) OVER (PARTITION BY call_id)),
@@ -278,10 +320,10 @@ v AS (SELECT call_id, dst, CASE WHEN tier = 4 THEN 'unresolved' WHEN n = 1 AND t
 def _called(spark, sf_dir):
     supplier = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("target_file"))
     lines = table(spark, sf_dir, "lineitem").join(supplier, "l_suppkey")
-    name = F.concat(F.lit("T"), (F.col("l_partkey") % 50).cast("string"))
+    name = F.concat(F.lit("T"), (F.col("l_partkey") % 60).cast("string"))
     calls = lines.groupBy((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("call_id")).agg(F.min("l_suppkey").alias("file_id"), F.min("target_file").alias("target_file"), F.min(name).alias("name"))
     p = F.col("p_partkey")
-    named = table(spark, sf_dir, "part").where(p % 3 == 0).select((p % 40 + 1).alias("file_id"), (p % 25).cast("int").alias("target_file"), F.concat(F.lit("T"), (p % 57).cast("string")).alias("name"), F.concat(F.lit("D"), (p % 301).cast("string")).alias("dst")).distinct()
+    named = table(spark, sf_dir, "part").select((p % 40 + 1).alias("file_id"), (p % 25).cast("int").alias("target_file"), F.concat(F.lit("T"), (p % 57).cast("string")).alias("name"), F.concat(F.lit("D"), (p % 301).cast("string")).alias("dst")).distinct()
     steps = [
         lambda c: resolve._tier(c, named.select("file_id", "name", "dst"), ["file_id", "name"], "file"),
         lambda c: resolve._tier(c, named.select("target_file", "name", "dst"), ["target_file", "name"], "import"),
@@ -313,12 +355,6 @@ def import_counts(spark, sf_dir):
     return metrics.import_counts(table(spark, sf_dir, "lineitem").select(F.lit("import").alias("kind"), F.concat(prefix, F.col("l_partkey").cast("string")).alias("dst"), (F.col("l_returnflag") == "R").alias("conditional")))
 
 
-@query("SELECT l_partkey AS src, l_suppkey AS dst, min(l_orderkey * 10 + l_linenumber) AS first_seen FROM lineitem GROUP BY 1, 2")
-def first_wins(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"))
-    return lines.groupBy("src", "dst").agg(F.min("seq").alias("first_seen"))
-
-
 @query(
     """WITH h AS (SELECT DISTINCT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href FROM pages)
 SELECT page_id, href, CASE WHEN href IN (SELECT url FROM pages) THEN 'internal' WHEN contains(href, '://') THEN 'external' ELSE 'unresolved' END AS dst_class FROM h"""
@@ -400,17 +436,13 @@ def path_predicates(spark, sf_dir):
 
 
 @query(
-    """WITH d AS (SELECT doc_id, n_chars FROM documents WHERE n_chars <= 5000), r AS (SELECT *, sum(n_chars) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS running FROM d)
-SELECT doc_id, n_chars, running::BIGINT AS running FROM r WHERE running <= 300000"""
+    """WITH d AS (SELECT doc_id::VARCHAR AS id, length(text) AS size FROM documents WHERE length(text) <= 200000), r AS (SELECT *, sum(size) OVER (ORDER BY id ROWS UNBOUNDED PRECEDING) AS running FROM d)
+SELECT id, size FROM r WHERE running <= 20000000"""
 )
 def capped_sources(spark, sf_dir):
-    """Sources in order until their sizes pass a cap: the cap is the feature. The running sum
-    starts from totals of ranges of ids, so no task holds more than one range."""
-    docs = table(spark, sf_dir, "documents").where("n_chars <= 5000").select("doc_id", "n_chars", F.floor(F.col("doc_id") / 1000).alias("bucket"))
-    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    totals = docs.groupBy("bucket").agg(F.sum("n_chars").alias("total")).select("bucket", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base")).where("base <= 300000")
-    inner = Window.partitionBy("bucket").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    return docs.join(totals, "bucket").select("doc_id", "n_chars", (F.col("base") + F.sum("n_chars").over(inner)).alias("running")).where("running <= 300000")
+    """The documents that a report embeds; its caps on sizes are the feature."""
+    kept = sinks.kept_sources(text_files(spark, sf_dir).where("source is not null"))
+    return kept.select("id", F.length("source").cast("long").alias("size"))
 
 
 # ranges
@@ -450,10 +482,195 @@ def innermost_symbol(spark, sf_dir):
     """WITH e AS (SELECT l_partkey::VARCHAR AS src, CASE WHEN l_returnflag = 'A' THEN 'unresolved:' ELSE '' END || l_suppkey AS dst, l_linenumber AS line, l_returnflag = 'R' AS ambiguous FROM lineitem),
 n AS (SELECT src, line, count(DISTINCT dst) AS n FROM e WHERE ambiguous GROUP BY 1, 2)
 SELECT DISTINCT src AS symbol_id, CASE WHEN starts_with(dst, 'unresolved:') THEN 'unresolved callee ''' || substr(dst, 12) || '''' ELSE 'ambiguous resolution (' || n || ' candidates)' END AS reason, line
-FROM e LEFT JOIN n USING (src, line) WHERE (starts_with(dst, 'unresolved:') OR ambiguous) AND src IN (SELECT p_partkey::VARCHAR FROM part WHERE p_size > 25)"""
+FROM e LEFT JOIN n USING (src, line) WHERE (starts_with(dst, 'unresolved:') OR ambiguous) AND src IN (SELECT p_partkey::VARCHAR FROM part)"""
 )
 def impact_boundaries(spark, sf_dir):
     flag = F.col("l_returnflag")
     edges = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").cast("string").alias("src"), F.concat(F.when(flag == "A", "unresolved:").otherwise(""), F.col("l_suppkey").cast("string")).alias("dst"), F.lit("call").alias("kind"), F.lit("inferred").alias("confidence"), (flag == "R").alias("ambiguous"), F.col("l_linenumber").alias("line"))
-    visited = table(spark, sf_dir, "part").where("p_size > 25").select(F.col("p_partkey").cast("string").alias("id"))
+    visited = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("id"))
     return impact.boundaries(edges, visited)
+
+
+@query(
+    """WITH a AS (SELECT l_partkey::VARCHAR AS symbol_id, l_linenumber AS line, l_returnflag <> 'R' AS certain, CASE WHEN l_linestatus = 'F' THEN 'call' ELSE 'import' END AS via, l_orderkey * 10 + l_linenumber AS seq, (l_orderkey % 9)::INT AS hops, l_suppkey FROM lineitem)
+SELECT symbol_id, array_to_string(list_sort(list(DISTINCT line)), ',') AS lines, CASE WHEN bool_or(certain) THEN 'certain' ELSE 'inferred' END AS confidence, arg_min(via, seq * 1000 + l_suppkey) AS via, min(hops) AS hops FROM a GROUP BY 1"""
+)
+def affected_symbols(spark, sf_dir):
+    """Line items as single findings about their part, merged."""
+    parts = table(spark, sf_dir, "lineitem").select(
+        F.col("l_partkey").cast("string").alias("symbol_id"),
+        F.array("l_linenumber").alias("lines"),
+        F.when(F.col("l_returnflag") != "R", "certain").otherwise("inferred").alias("confidence"),
+        F.when(F.col("l_linestatus") == "F", "call").otherwise("import").alias("via"),
+        ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1000 + F.col("l_suppkey")).alias("seq"),
+        (F.col("l_orderkey") % 9).cast("int").alias("hops"),
+    )
+    return impact.merge_affected(parts).withColumn("lines", F.array_join("lines", ","))
+
+
+# source trees made from suppliers: what each file has to give, with {s} for the supplier's
+# number and {t} for half of it
+
+
+def _made_sql(fields: str, rows: list[tuple], select: str, where: str = "") -> str:
+    """Each of ``rows``, filled in, for each supplier."""
+    values = ", ".join("(" + ", ".join("NULL" if x is None else f"'{x}'" if isinstance(x, str) else str(x) for x in r) + ")" for r in rows)
+    filled = ", ".join(f"replace(replace({f}, '{{s}}', s::VARCHAR), '{{t}}', (s // 2)::VARCHAR) AS {f}" if isinstance(rows[0][i], str) else f for i, f in enumerate(fields.split(", ")))
+    return f"WITH v({fields}) AS (VALUES {values}), n AS (SELECT s_suppkey AS s FROM supplier), m AS (SELECT s, {filled} FROM n CROSS JOIN v {where}) {select}"
+
+
+_PY, _TS, _JS, _JAVA, _C, _CPP = (path for _, path, _ in generated.FILES)
+_SYMBOLS = [
+    (_PY, "::<module>", "module", 1, 20, "", 1, 0), (_PY, "::Store{s}", "class", 5, 13, "::<module>", 1, 0), (_PY, "::Store{s}::load", "method", 6, 10, "::Store{s}", 3, 2),
+    (_PY, "::Store{s}::pick", "method", 12, 13, "::Store{s}", 1, 2), (_PY, "::make_{s}", "function", 16, 20, "::<module>", 1, 1),
+    (_TS, "::<module>", "module", 1, 12, "", 1, 0), (_TS, "::Box{s}", "class", 2, 9, "::<module>", 1, 0), (_TS, "::Box{s}::load", "method", 3, 8, "::Box{s}", 3, 1), (_TS, "::make{s}", "function", 10, 12, "::<module>", 1, 1),
+    (_JS, "::<module>", "module", 1, 12, "", 1, 0), (_JS, "::Box{s}", "class", 2, 9, "::<module>", 1, 0), (_JS, "::Box{s}::load", "method", 3, 8, "::Box{s}", 2, 1), (_JS, "::make{s}", "function", 10, 12, "::<module>", 2, 1),
+    (_JAVA, "::<module>", "module", 1, 14, "", 1, 0), (_JAVA, "::Box{s}", "class", 4, 14, "::<module>", 1, 0), (_JAVA, "::Box{s}::load", "method", 5, 10, "::Box{s}", 2, 1), (_JAVA, "::Box{s}::step", "method", 11, 13, "::Box{s}", 1, 1),
+    (_C, "::<module>", "module", 1, 8, "", 1, 0), (_C, "::make{s}", "function", 3, 8, "::<module>", 3, 1),
+    (_CPP, "::<module>", "module", 1, 11, "", 1, 0), (_CPP, "::Box{s}", "class", 3, 11, "::<module>", 1, 0), (_CPP, "::Box{s}::load", "method", 5, 7, "::Box{s}", 2, 1), (_CPP, "::Box{s}::pick", "method", 8, 10, "::Box{s}", 1, 1),
+]
+
+
+def _made(spark, sf_dir, name: str):
+    return fact_table(generated.facts(spark, sf_dir), name)
+
+
+@query(_made_sql("file, own, kind, start_line, end_line, parent, cc, params", _SYMBOLS, "SELECT file || own AS id, kind, start_line, end_line, file || nullif(parent, '') AS parent_id, cc, params FROM m"))
+def made_symbols(spark, sf_dir):
+    return _made(spark, sf_dir, "symbols").select("id", "kind", "start_line", "end_line", "parent_id", "cc", "params")
+
+
+_IMPORTS = [
+    (_PY, "os", 1, "import", "os", False), (_PY, "store.m{t}", 2, "from", "make_{t},Store{t}", False), (_TS, "./m{t}", 1, "import", "make{t}", False), (_JS, "./m{t}.js", 1, "import", "make{t}", False),
+    (_JAVA, "p{s}", 1, "package", "", False), (_JAVA, "p{t}.Box{t}", 2, "java_import", "Box{t}", False), (_JAVA, "java.util.List", 3, "java_import", "List", False),
+    (_C, "stdio.h", 1, "include", "", True), (_C, "m{t}.c", 2, "include", "", False), (_CPP, "vector", 1, "include", "", True), (_CPP, "m{t}.cpp", 2, "include", "", False),
+]
+
+
+@query(_made_sql("file_id, raw, line, kind, locals, angle", _IMPORTS, "SELECT file_id, raw, line, kind, locals, angle FROM m"))
+def made_imports(spark, sf_dir):
+    return _made(spark, sf_dir, "imports").select("file_id", "raw", "line", "kind", F.array_join("names.local", ",").alias("locals"), "angle")
+
+
+_CALLED = [
+    (_PY, "::Store{s}::load", "pick", "self", 9), (_PY, "::Store{s}::pick", "make_{t}", "", 13), (_PY, "::make_{s}", "Store{s}", "", 17), (_PY, "::make_{s}", "load", "box", 18), (_PY, "::make_{s}", "missing_{s}", "", 19),
+    (_TS, "::Box{s}::load", "make{t}", "", 5), (_JS, "::Box{s}::load", "make{t}", "", 5), (_JAVA, "::Box{s}::load", "step", "", 7), (_C, "::make{s}", "make{t}", "", 5), (_CPP, "::Box{s}::load", "pick", "", 6),
+]
+
+
+@query(_made_sql("file, own, callee, receiver, line", _CALLED, "SELECT file || own AS caller, callee, receiver, line FROM m"))
+def made_calls(spark, sf_dir):
+    return _made(spark, sf_dir, "calls").select("caller", "callee", F.coalesce("receiver", F.lit("")).alias("receiver"), "line")
+
+
+_BASES = [(_PY, "::Store{s}", "Store{t}", 5), (_TS, "::Box{s}", "Box{t}", 2), (_JS, "::Box{s}", "Box{t}", 2), (_JAVA, "::Box{s}", "Box{t}", 4), (_CPP, "::Box{s}", "Box{t}", 3)]
+
+
+@query(_made_sql("file, own, base, line", _BASES, "SELECT file || own AS class_id, base, line FROM m"))
+def made_bases(spark, sf_dir):
+    return _made(spark, sf_dir, "inherits").select("class_id", "base", "line")
+
+
+_DEFUSES = [
+    (_PY, "::Store{s}::load", "self", "6", "9", "9", 0), (_PY, "::Store{s}::load", "k", "6", "7,8", "", 1), (_PY, "::Store{s}::load", "total", "7", "8,9,10", "9,10", -1),
+    (_PY, "::Store{s}::pick", "self", "12", "", "", 0), (_PY, "::Store{s}::pick", "x", "12", "13", "13", 1), (_PY, "::Store{s}::pick", "make_{t}", "", "13", "13", -1),
+    (_PY, "::make_{s}", "y", "16", "18,19", "", 0), (_PY, "::make_{s}", "box", "17", "18,20", "20", -1), (_PY, "::make_{s}", "Store{s}", "", "17", "", -1), (_PY, "::make_{s}", "missing_{s}", "", "19", "", -1),
+    (_TS, "::Box{s}::load", "k", "3", "4,5,7", "5,7", 0), (_TS, "::Box{s}::load", "make{t}", "", "5", "5", -1), (_TS, "::make{s}", "y", "10", "11", "11", 0),
+    (_JS, "::Box{s}::load", "k", "3", "7", "7", 0), (_JS, "::Box{s}::load", "i", "4", "4,5", "", -1), (_JS, "::Box{s}::load", "make{t}", "", "5", "", -1), (_JS, "::make{s}", "y", "10", "11", "11", 0),
+    (_JAVA, "::Box{s}::load", "k", "5,7", "6,7,9", "9", 0), (_JAVA, "::Box{s}::load", "step", "", "7", "", -1), (_JAVA, "::Box{s}::step", "k", "11", "12", "12", 0),
+    (_C, "::make{s}", "k", "3", "4,5,7", "5,7", 0), (_C, "::make{s}", "make{t}", "", "5", "5", -1),
+    (_CPP, "::Box{s}::load", "k", "5", "6", "6", 0), (_CPP, "::Box{s}::load", "pick", "", "6", "6", -1), (_CPP, "::Box{s}::pick", "k", "8", "9", "9", 0),
+]
+
+
+@query(_made_sql("file, own, var, def_lines, use_lines, return_lines, param_index", _DEFUSES, "SELECT file || own AS symbol_id, var, def_lines, use_lines, return_lines, param_index, param_index >= 0 AS is_param FROM m"))
+def made_defuses(spark, sf_dir):
+    lines = [F.array_join(c, ",").alias(c) for c in ("def_lines", "use_lines", "return_lines")]
+    return _made(spark, sf_dir, "defuses").select("symbol_id", "var", *lines, "param_index", "is_param")
+
+
+_HINTS = [("::Store{s}::load", "k", "int", "", False), ("::Store{s}::load", "total", "", "", True), ("::make_{s}", "box", "", "Store{s}", False)]
+
+
+@query(_made_sql("own, name, annos, ctors, other", _HINTS, "SELECT 'store/m' || s || '.py' || own AS scope, 'var' AS slot, name, annos, ctors, other FROM m"))
+def made_hints(spark, sf_dir):
+    return _made(spark, sf_dir, "hints").select("scope", "slot", "name", *[F.array_join(c, ",").alias(c) for c in ("annos", "ctors")], "other")
+
+
+_MODULES = [
+    (_PY, "external:os", 1), (_PY, "store/m{t}.py", 2), (_TS, "ts/m{t}.ts", 1), (_JS, "js/m{t}.js", 1), (_JAVA, "java/p{t}/Box{t}.java", 2), (_JAVA, "external:java", 3),
+    (_C, "external:stdio.h", 1), (_C, "c/m{t}.c", 2), (_CPP, "external:vector", 1), (_CPP, "cpp/m{t}.cpp", 2),
+]
+#: zero: for supplier 0, whose own half it is; other: for all others; any: for all.
+_EDGE_ROWS = [
+    (_PY, "::Store{s}", "store/m{t}.py::Store{t}", "inherit", "certain", False, 5, "any"),
+    *[(p, "::Box{s}", f"{q}::Box{{t}}", "inherit", "certain" if z else "inferred", not z, line, "zero" if z else "other")
+      for p, line in ((_TS, 2), (_JS, 2), (_CPP, 3)) for z in (True, False) for q in ([p] if z else ["ts/m{t}.ts", "js/m{t}.js", "java/p{t}/Box{t}.java", "cpp/m{t}.cpp"])],
+    (_JAVA, "::Box{s}", "java/p{t}/Box{t}.java::Box{t}", "inherit", "certain", False, 4, "any"),
+    (_PY, "::Store{s}::load", "store/m{s}.py::Store{s}::pick", "call", "certain", False, 9, "any"), (_PY, "::Store{s}::pick", "store/m{t}.py::make_{t}", "call", "certain", False, 13, "any"),
+    (_PY, "::make_{s}", "store/m{s}.py::Store{s}", "call", "certain", False, 17, "any"), (_PY, "::make_{s}", "store/m{s}.py::Store{s}::load", "call", "certain", False, 18, "any"),
+    (_PY, "::make_{s}", "unresolved:missing_{s}", "call", "unresolved", False, 19, "any"),
+    (_TS, "::Box{s}::load", "ts/m{t}.ts::make{t}", "call", "certain", False, 5, "any"), (_JS, "::Box{s}::load", "js/m{t}.js::make{t}", "call", "certain", False, 5, "any"),
+    (_JAVA, "::Box{s}::load", "java/p{s}/Box{s}.java::Box{s}::step", "call", "certain", False, 7, "any"), (_CPP, "::Box{s}::load", "cpp/m{s}.cpp::Box{s}::pick", "call", "certain", False, 6, "any"),
+    (_C, "::make{s}", "c/m{t}.c::make{t}", "call", "certain", False, 5, "zero"), *[(_C, "::make{s}", f"{q}::make{{t}}", "call", "inferred", True, 5, "other") for q in ("c/m{t}.c", "ts/m{t}.ts", "js/m{t}.js")],
+]
+
+
+def _made_edges(spark, sf_dir):
+    facts = generated.facts(spark, sf_dir)
+    files = saved(generated.source_tree(spark, sf_dir), "made-files")
+    symbols = fact_table(facts, "symbols")
+    imports, bindings, _ = resolve.resolve_modules(files, fact_table(facts, "imports"), symbols)
+    calls = resolve.resolve_symbols(fact_table(facts, "calls"), fact_table(facts, "inherits"), symbols, saved(bindings, "made-bindings"), fact_table(facts, "hints"))
+    return files, facts, symbols, imports, calls
+
+
+@query(_made_sql("src, dst, line", _MODULES, "SELECT src, dst, line, 'import' AS kind, 'certain' AS confidence FROM m"))
+def module_edges(spark, sf_dir):
+    return _made_edges(spark, sf_dir)[3].select("src", "dst", "line", "kind", "confidence")
+
+
+_EDGE_FIELDS, _EDGE_WHERE = "file, own, dst, kind, confidence, ambiguous, line, which", "WHERE which = 'any' OR (s = 0) = (which = 'zero')"
+
+
+@query(_made_sql(_EDGE_FIELDS, _EDGE_ROWS, "SELECT file || own AS src, dst, kind, confidence, ambiguous, line FROM m", _EDGE_WHERE))
+def symbol_edges(spark, sf_dir):
+    return _made_edges(spark, sf_dir)[4].select("src", "dst", "kind", "confidence", "ambiguous", "line")
+
+
+@query(
+    _made_sql(_EDGE_FIELDS, _EDGE_ROWS, "", _EDGE_WHERE)
+    + f""", l AS (SELECT *, unnest(['calls', CASE WHEN s % 5 <> 0 THEN 'non_test' END, 'language:' || CASE split_part(file, '/', 1) WHEN 'store' THEN 'python' WHEN 'ts' THEN 'typescript' WHEN 'js' THEN 'javascript' ELSE split_part(file, '/', 1) END]) AS scope FROM m)
+SELECT scope, {_COUNTS} FROM l WHERE scope IS NOT NULL GROUP BY scope"""
+)
+def resolution_scopes(spark, sf_dir):
+    files, _, _, imports, calls = _made_edges(spark, sf_dir)
+    return metrics.resolution_by_scope(files, imports.unionByName(calls))
+
+
+_SIZES = [(_PY, 20, 15, 1, 4, 3, 1, 5, 3, 1), (_TS, 12, 12, 0, 0, 2, 1, 4, 3, 0), (_JS, 12, 12, 0, 0, 2, 1, 4, 2, 0), (_JAVA, 14, 14, 0, 0, 2, 1, 3, 2, 1), (_C, 8, 8, 0, 0, 1, 0, 3, 3, 1), (_CPP, 11, 11, 0, 0, 2, 1, 3, 2, 1)]
+_SIZE_FIELDS = "file_id, loc_total, loc_code, loc_comment, loc_blank, functions, classes, cc_total, cc_max, fan_out_external"
+
+
+def _measured(spark, sf_dir):
+    files, facts, symbols, imports, calls = _made_edges(spark, sf_dir)
+    tokens = fact_table(facts.select(F.transform("tokens", lambda t: F.struct(F.col("file_id").alias("id"), t["token"].alias("token"), t["n"].alias("n"))).alias("tokens")), "tokens")
+    return files, *sized(files, files, symbols, saved(imports.unionByName(calls), "made-edges"), tokens)
+
+
+@query(_made_sql(_SIZE_FIELDS, _SIZES, f"SELECT {_SIZE_FIELDS}, 1 AS fan_out, (SELECT count(*) FROM n x WHERE x.s // 2 = m.s) AS fan_in FROM m"))
+def made_file_metrics(spark, sf_dir):
+    return _measured(spark, sf_dir)[3].select(*_SIZE_FIELDS.split(", "), "fan_out", "fan_in")
+
+
+@query(
+    _made_sql(
+        _SIZE_FIELDS,
+        _SIZES,
+        """SELECT count(*) AS files, sum(loc_total)::BIGINT AS loc_total, sum(loc_code)::BIGINT AS loc_code, sum(loc_comment)::BIGINT AS loc_comment, sum(loc_blank)::BIGINT AS loc_blank, sum(functions)::BIGINT AS functions,
+  sum(classes)::BIGINT AS classes, sum(cc_total) / sum(functions)::DOUBLE AS cc_avg, max(cc_max)::BIGINT AS cc_max, 0::BIGINT AS cycles_count, count(*) FILTER (s % 5 = 0) AS test_files, (sum(loc_code) FILTER (s % 5 = 0))::BIGINT AS test_loc_code FROM m""",
+    )
+)
+def made_project(spark, sf_dir):
+    files, imports, _, by_file = _measured(spark, sf_dir)
+    return metrics.project_metrics(files, by_file, graph.cycles(files.select("id"), imports).count()).drop("mi_avg")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -26,24 +26,19 @@ se AS (
 
 
 def trade_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Nations, each linked to the three whose suppliers its customers buy most from."""
+    """Nations, each linked to every other one whose suppliers its customers buy from."""
     customer = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("src"))
     supplier = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("dst"))
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", F.round(F.col("l_extendedprice") * 100).cast("long").alias("cents"))
-    sold = lines.join(orders, "l_orderkey").join(customer, "o_custkey").join(supplier, "l_suppkey").where("src <> dst").groupBy("src", "dst").agg(F.sum("cents").alias("cents"))
-    best = Window.partitionBy("src").orderBy(F.desc("cents"), "dst")
-    edges = sold.withColumn("place", F.row_number().over(best)).where("place <= 3").select("src", "dst")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")
+    edges = lines.join(orders, "l_orderkey").join(customer, "o_custkey").join(supplier, "l_suppkey").where("src <> dst").select("src", "dst").distinct()
     return table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id")), edges
 
 
 TRADE_SQL = """
 te AS (
-  SELECT src, dst FROM (
-    SELECT c_nationkey AS src, s_nationkey AS dst, row_number() OVER (PARTITION BY c_nationkey ORDER BY sum(round(l_extendedprice * 100)::BIGINT) DESC, s_nationkey) AS place
-    FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
-    WHERE c_nationkey <> s_nationkey GROUP BY 1, 2
-  ) WHERE place <= 3
+  SELECT DISTINCT c_nationkey AS src, s_nationkey AS dst
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE c_nationkey <> s_nationkey
 ), tn AS (SELECT n_nationkey AS id FROM nation)"""
 
 
@@ -60,10 +55,20 @@ def change_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LOG_SQL = """
 log AS (
-  SELECT event_id, epoch(ts)::BIGINT AS ts, 'u' || user_id || '/' || event_type AS path, floor(coalesce(value, 0))::BIGINT AS added FROM events
+  SELECT event_id, floor(epoch(ts))::BIGINT AS ts, 'u' || user_id || '/' || event_type AS path, floor(coalesce(value, 0))::BIGINT AS added FROM events
 )"""
 
 
 def text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as Python sources: (id, language, source)."""
     return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), F.lit("python").alias("language"), F.col("text").alias("source"))
+
+
+def log_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as the commits of a version log: (block). Each is a commit of one file; an event
+    without a value is a binary change."""
+    value = F.floor("value").cast("long")
+    head = F.concat(F.lower(F.lpad(F.hex("event_id"), 8, "0")), F.lit("\t"), F.unix_timestamp("ts").cast("string"))
+    path = F.concat_ws("/", F.concat(F.lit("u"), F.col("user_id").cast("string")), "event_type")
+    row = F.concat(F.coalesce(value.cast("string"), F.lit("-")), F.lit("\t"), F.coalesce((value % 7).cast("string"), F.lit("-")), F.lit("\t"), path)
+    return table(spark, sf_dir, "events").select(F.concat(head, F.lit("\n\n"), row, F.lit("\n")).alias("block"))

@@ -20,7 +20,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from basaltic.storage import drop_scratch
+from basaltic.storage import drop_scratch, saved
 
 SCHEMA_VERSION = "1.3"
 METRIC_COLUMNS = (
@@ -216,11 +216,15 @@ def render_table(rows: list[dict[str, Any]]) -> str:
 
 def kept_sources(sources: DataFrame) -> DataFrame:
     """(id, source) of the sources that a report embeds: in order of id, none over the limit
-    for a file, and none from the first at which the total passes its limit."""
-    sized = sources.select("id", "source", F.length("source").alias("size")).where(F.col("size") <= MOST_SOURCE_CHARS)
-    running = F.sum("size").over(Window.orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ids = sized.select("id", "size").withColumn("running", running).where(F.col("running") <= MOST_TOTAL_CHARS).select("id")
-    return sized.join(ids, "id").select("id", "source")
+    for a file, and none from the first at which the total passes its limit. The running total
+    starts from those of ranges of ids, so that no task holds more than a range."""
+    sized = sources.select("id", F.length("source").alias("size")).where(F.col("size") <= MOST_SOURCE_CHARS)
+    placed = saved(sized.repartitionByRange("id").select("id", "size", F.spark_partition_id().alias("range")), "source-sizes")
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = placed.groupBy("range").agg(F.sum("size").alias("total")).select("range", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base")).where(F.col("base") <= MOST_TOTAL_CHARS)
+    upto = Window.partitionBy("range").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ids = placed.join(totals, "range").withColumn("running", F.col("base") + F.sum("size").over(upto)).where(F.col("running") <= MOST_TOTAL_CHARS).select("id")
+    return sources.select("id", "source").join(ids, "id")
 
 
 # impact

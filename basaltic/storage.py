@@ -32,6 +32,12 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     return path
 
 
+def put_file(spark: SparkSession, local: str, path: str) -> None:
+    """Copies a file of the driver's machine to shared storage."""
+    store, place = _hadoop(spark, path)
+    store.copyFromLocalFile(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"file://{local}"), place)
+
+
 def drop_scratch(spark: SparkSession, path: str) -> None:
     store, place = _hadoop(spark, path)
     store.delete(place, True)

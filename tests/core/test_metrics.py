@@ -1,5 +1,7 @@
 """Line counts, complexity, history and comparison."""
 
+import re
+
 import pytest
 
 from basaltic.operators import churn, compare, impact, metrics
@@ -71,7 +73,8 @@ def test_confidence_scopes(spark):
 
 def test_hotspots(spark):
     log = "a1b2c3d\t100\n1\t1\ta.py\n2\t0\tb.py\n\nb2b2c3d\t90000\n3\t1\ta.py\n-\t-\timg.png\nc3b2c3d\t50\n1\t0\ta.py\n"
-    rows = churn.parse_numstat(git.lines_table(spark, log))
+    blocks = [(f"{x}\n",) for x in ("", "no commit\n1\t1\tx.py", *re.split(r"\n(?=\w{7}\t)", log))]
+    rows = churn.parse_numstat(spark.createDataFrame(blocks, "block string"))
     changes = {r.file_id: tuple(r)[1:] for r in churn.churn(rows).collect()}
     assert changes == {"a.py": (3, 5, 2, "1970-01-02"), "b.py": (1, 2, 0, "1970-01-01"), "img.png": (1, 0, 0, "1970-01-02")}
     measured = spark.createDataFrame([("a.py", 1), ("b.py", 9), ("c.py", 5)], "file_id string, cc_total long")
@@ -103,7 +106,9 @@ def test_ranges(spark):
 def test_diff():
     diff = "diff --git a/m.py b/m.py\n--- a/m.py\n+++ b/m.py\n@@ -2 +2 @@ def f\n-x\n+y\n@@ -9,2 +8,0 @@\n@@ -1 +10,3 @@\ndiff --git a/R.md b/R.md\n+++ b/R.md\n@@ -1 +1 @@\ndiff --git a/gone.py b/gone.py\n+++ /dev/null\n@@ -1,3 +0,0 @@\n"
     got = [(h["file"], h["start"], h["end"], h["status"], h["reason"]) for h in git.parse_diff(diff)]
-    assert got == [("R.md", 0, 0, "skipped", "unsupported language"), ("m.py", 2, 2, "analyzed", ""), ("m.py", 8, 8, "skipped", "deletion-only hunk"), ("m.py", 10, 12, "analyzed", "")]
+    assert got == [("R.md", 1, 1, "skipped", "unsupported language"), ("m.py", 2, 2, "analyzed", ""), ("m.py", 8, 8, "skipped", "deletion-only hunk"), ("m.py", 10, 12, "analyzed", "")]
+    touching = "diff --git a/m.py b/m.py\n--- a/m.py\n+++ b/m.py\n@@ -1 +1,2 @@\n+++ b/other.py\n@@ -2 +3 @@\n@@ -9 +7,2 @@\ndiff --git a/x.png b/x.png\nBinary files a/x.png and b/x.png differ\n"
+    assert [(h["file"], h["start"], h["end"]) for h in git.parse_diff(touching)] == [("m.py", 1, 3), ("m.py", 7, 8)] and git.parse_diff("") == []
     assert git.range_args("worktree") == ["HEAD"] and git.range_args("A..B") == ["A..B"] and git.range_args("HEAD~1") == ["HEAD~1..HEAD"]
 
 
