@@ -25,7 +25,7 @@ MEMO_WORDS = 400_000
 #: Texts longer than this are encoded in stretches that end at a safe boundary.
 STRETCH = 1 << 20
 #: Bytes of text that are taken apart at once.
-BATCH_BYTES = 2_000_000
+BATCH_BYTES = 4_000_000
 #: Words that are given to the library as one text.
 GROUP = 256
 
