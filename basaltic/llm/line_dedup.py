@@ -167,7 +167,7 @@ def deduplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     same = [F.first(c).alias(c) for c in ("digests", "words", "numbers", "fps", "places")]
     texts = saved(every.groupBy("h").agg(F.min(F.struct("doc_id")).alias("least"), *same).withColumn("doc_id", F.col("least.doc_id")).drop("least"), "line-texts")
     copies = every.select("h", "doc_id", "numbers").join(texts.select("h", F.col("doc_id").alias("least")), "h").where(~F.col("doc_id").eqNullSafe(F.col("least")))
-    gone = copies.select("doc_id", "h", "numbers").distinct().mapInArrow(whole_runs, "doc_id long, h binary, first int, last int")
+    gone = saved(copies.select("doc_id", "h", "numbers"), "line-copies").distinct().mapInArrow(whole_runs, "doc_id long, h binary, first int, last int")
 
     positions = texts.select("h", F.explode(F.arrays_zip("fps", "places")).alias("p")).select("h", F.col("p.fps").alias("fp"), F.col("p.places").alias("place"))
     repeated = saved(positions.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fp"), "line-fingerprints")
