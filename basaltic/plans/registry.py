@@ -272,13 +272,13 @@ def compare_edges(spark, sf_dir):
 
 
 def _cycles_of(spark, sf_dir, early: bool):
-    """For each customer the priorities of its orders of a half-year, in no order."""
+    """For each customer the priorities and states of its orders of a half-year, in no order."""
     orders = table(spark, sf_dir, "orders").where((F.month("o_orderdate") <= 6) == early)
-    return orders.groupBy("o_custkey").agg(F.array_distinct(F.collect_list("o_orderpriority")).alias("cycle")).select("cycle")
+    return orders.groupBy("o_custkey").agg(F.array_distinct(F.collect_list(F.concat("o_orderpriority", F.lit("/"), "o_orderstatus"))).alias("cycle")).select("cycle")
 
 
 @query(
-    """WITH c AS (SELECT DISTINCT early, cycle FROM (SELECT month(o_orderdate) <= 6 AS early, array_to_string(list_sort(list(DISTINCT o_orderpriority)), ',') AS cycle FROM orders GROUP BY 1, o_custkey)),
+    """WITH c AS (SELECT DISTINCT early, cycle FROM (SELECT month(o_orderdate) <= 6 AS early, array_to_string(list_sort(list(DISTINCT o_orderpriority || '/' || o_orderstatus)), ',') AS cycle FROM orders GROUP BY 1, o_custkey)),
 a AS (SELECT cycle FROM c WHERE early), b AS (SELECT cycle FROM c WHERE NOT early)
 SELECT cycle, 'added' AS status FROM (SELECT * FROM b EXCEPT SELECT * FROM a) UNION ALL SELECT cycle, 'removed' FROM (SELECT * FROM a EXCEPT SELECT * FROM b)"""
 )
