@@ -12,7 +12,8 @@ overlap along a repeated run and reach both its ends, so their union is the run
 goes, and a line goes exactly if it lies in some stretch of ``LEAST_WORDS`` words or more that
 stood earlier. Positions are matched through the digest and never in pairs, so a line that a
 third of all texts hold costs no more than its rows. Equal texts are taken apart once; the
-later ones go as a whole if they have so many words.
+later ones go as a whole if they have so many words. Texts are dealt to their places and their
+spans by shuffles at every size: a broadcast would suit small tables only.
 
 Lines are compared without white space at their ends; blank ones don't count, and go with the
 lines around them. Cases: a null text stays null and counts as without lines; rows with equal
@@ -172,12 +173,12 @@ def deduplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     positions = texts.select("h", F.explode(F.arrays_zip("fps", "places")).alias("p")).select("h", F.col("p.fps").alias("fp"), F.col("p.places").alias("place"))
     repeated = saved(positions.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fp"), "line-fingerprints")
     recurring = positions.join(repeated, "fp", "left_semi").groupBy("h").agg(F.collect_list("place").alias("recurring"))
-    joined = texts.join(recurring, "h").select("doc_id", "h", "digests", "words", "numbers", "recurring")
+    joined = texts.join(recurring.hint("merge"), "h").select("doc_id", "h", "digests", "words", "numbers", "recurring")
     found = saved(joined.mapInArrow(extend(least_words), RUNS), "line-windows")
     place = F.struct("doc_id", "h", "first")
     earliest = saved(found.groupBy("win").agg(F.min(place).alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select("win", "least"), "line-earliest")
     later = found.join(earliest, "win").where(place > F.col("least")).select("doc_id", "h", "first", "last").distinct()
     spans = later.union(gone).groupBy("doc_id", "h").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
     spans = saved(spans.select(F.col("doc_id").alias("s_id"), F.col("h").alias("s_h"), "spans"), "line-spans")
-    joined = rows.join(spans, (F.col("h") == F.col("s_h")) & F.col("doc_id").eqNullSafe(F.col("s_id")), "left")
+    joined = rows.join(spans.hint("merge"), (F.col("h") == F.col("s_h")) & F.col("doc_id").eqNullSafe(F.col("s_id")), "left")
     return joined.select("doc_id", "text", "spans").mapInArrow(apply_cuts, "doc_id long, n_lines long, n_deleted long, text string")
