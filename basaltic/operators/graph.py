@@ -148,7 +148,7 @@ def reverse_bfs(edges: DataFrame, starts: DataFrame, kinds: list[str] | None = N
     return seen
 
 
-def reverse_walk(edges: DataFrame, starts: DataFrame, max_depth: int = 10) -> tuple[DataFrame, DataFrame]:
+def reverse_walk(edges: DataFrame, starts: DataFrame, max_depth: int = 10, tags: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """Who depends on ``starts(id)`` through ``edges(src, dst, line, certain)``.
 
     Returns (id, hops, lines, certain) of the nodes with an edge into something reached, and
@@ -156,31 +156,33 @@ def reverse_walk(edges: DataFrame, starts: DataFrame, max_depth: int = 10) -> tu
     certainty of the edge that found it first (its finder's place in the queue, then source
     and line), and is itself certain if any edge into the walk from it is, together with what
     that edge's target passes on.
+
+    ``tags`` are columns of starts that tell walks apart: all walks take the same rounds, each
+    goes as if alone, and its tags stand before id. truncated says whether any was cut short.
     """
-    seen = saved(_queued(starts.select("id").distinct(), "id").select("id", F.lit(0).alias("hops"), "pos", F.lit(True).alias("passes")), "walk")
+    edges = edges.select("src", F.col("dst").alias("id"), "line", "certain")
+    seen = saved(_queued(starts.select(*tags, "id").distinct(), "id").select(*tags, "id", F.lit(0).alias("hops"), "pos", F.lit(True).alias("passes")), "walk")
     frontier, hits = seen, None
     for hop in range(1, max_depth + 1):
-        found = frontier.join(edges.withColumnRenamed("dst", "id"), "id").select(
-            F.col("src"), F.struct("pos", "src", "line").alias("at"), "line", (F.col("passes") & F.col("certain")).alias("sure")
-        )
+        found = frontier.join(edges, "id").select(*tags, "src", F.struct("pos", "src", "line").alias("at"), "line", (F.col("passes") & F.col("certain")).alias("sure"))
         found = saved(found, "walk")
         if found.isEmpty():
             frontier = None
             break
-        one = found.groupBy("src").agg(F.array_sort(F.collect_set("line")).alias("lines"), F.bool_or("sure").alias("certain"), F.min_by("sure", "at").alias("passes"), F.min("at").alias("at"))
+        one = found.groupBy(*tags, "src").agg(F.array_sort(F.collect_set("line")).alias("lines"), F.bool_or("sure").alias("certain"), F.min_by("sure", "at").alias("passes"), F.min("at").alias("at"))
         one = saved(one.withColumn("hops", F.lit(hop)), "walk")
         hits = one if hits is None else hits.union(one)
-        fresh = one.join(seen.select(F.col("id").alias("src")), "src", "left_anti")
-        frontier = saved(_queued(fresh, "at").select(F.col("src").alias("id"), F.lit(hop).alias("hops"), "pos", "passes"), "walk")
+        fresh = one.join(seen.select(*tags, F.col("id").alias("src")), [*tags, "src"], "left_anti")
+        frontier = saved(_queued(fresh, "at").select(*tags, F.col("src").alias("id"), F.lit(hop).alias("hops"), "pos", "passes"), "walk")
         seen = seen.union(frontier)
     truncated = False
     if frontier is not None:
-        beyond = edges.join(frontier.select(F.col("id").alias("dst")), "dst", "left_semi").join(seen.select(F.col("id").alias("src")), "src", "left_anti")
+        beyond = frontier.select(*tags, "id").join(edges.select("src", "id"), "id").join(seen.select(*tags, F.col("id").alias("src")), [*tags, "src"], "left_anti")
         truncated = not beyond.isEmpty()
     if hits is None:
-        reached = seen.limit(0).select("id", "hops", F.array().cast("array<int>").alias("lines"), F.lit(True).alias("certain"))
+        reached = seen.limit(0).select(*tags, "id", "hops", F.array().cast("array<int>").alias("lines"), F.lit(True).alias("certain"))
     else:
-        reached = hits.groupBy(F.col("src").alias("id")).agg(F.min("hops").alias("hops"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("lines")))).alias("lines"), F.bool_or("certain").alias("certain"))
+        reached = hits.groupBy(*tags, F.col("src").alias("id")).agg(F.min("hops").alias("hops"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("lines")))).alias("lines"), F.bool_or("certain").alias("certain"))
     return reached, edges.sparkSession.range(1).select(F.lit(truncated).alias("truncated"))
 
 

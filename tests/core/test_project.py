@@ -128,6 +128,29 @@ def test_diff_impact(tables, root):
     assert impact.analyze_diff(tables, [{"file": "R.md", "start": 0, "end": 0, "status": "skipped", "reason": "unsupported language"}])["error"] == "no analyzable hunks: unsupported language (1)"
 
 
+def test_diff_is_all_its_hunks(tables):
+    """One walk for many hunks gives what the impacts of each give, merged."""
+    spans = [("pkg/models.py", 22, 23), ("services.py", 1, 1), ("pkg/models.py", 21, 22), ("nope.py", 1, 1), ("pkg/models.py", 2, 2), ("pkg/models.py", 5, 18)]
+    hunks = [{"file": f, "start": a, "end": b, "status": "analyzed", "reason": ""} for f, a, b in spans]
+    found = impact.analyze_diff(tables, hunks, 3)
+    one = [impact.analyze(tables, f, a, b, 3) for f, a, b in spans]
+    assert [h["status"] == "skipped" for h in found["hunks"]] == ["error" in o for o in one] and "error" in one[3] and "error" not in one[1]
+    assert [h["reason"] for h in found["hunks"]] == [o.get("error", "") for o in one]
+    one = [o for o in one if "error" not in o]
+    want: dict = {}
+    for o in one:
+        for r in o["affected"].collect():
+            old = want.setdefault((r.file_id, r.symbol_id), [set(), False, r.via, r.hops])
+            want[r.file_id, r.symbol_id] = [old[0] | set(r.lines), old[1] or r.confidence == "certain", old[2], min(old[3], r.hops)]
+    got = {(r.file_id, r.symbol_id): [set(r.lines), r.confidence == "certain", r.via, r.hops] for r in found["affected"].collect()}
+    assert got == want and len(want) > 5
+    assert {tuple(r) for r in found["boundaries"].collect()} == {tuple(r) for o in one for r in o["boundaries"].collect()}
+    assert set(found["sliced_vars"]) == {v for o in one for v in o["sliced_vars"]} and found["max_hops_reached"] == any(o["max_hops_reached"] for o in one)
+    ids = [o["origin"]["symbol_id"] for o in one]
+    assert [o["symbol_id"] for o in found["origins"]] == list(dict.fromkeys(ids))
+    assert impact.normalize_files(tables["files"], ["x/pkg/models.py", "./pkg/models.py", "odels.py", "models.py"]) == dict.fromkeys(["x/pkg/models.py", "./pkg/models.py", "models.py"], "pkg/models.py")
+
+
 def test_reports(spark, tables, tmp_path):
     doc = sinks.to_document(tables, with_defuse=True)
     sinks.write_json(doc, str(tmp_path / "a.json"))
