@@ -3,17 +3,32 @@
 Loops keep their state in written tables, a new one each round, so that plans stay short and a
 lost executor costs a reread. Nothing is gathered per node but sums and minima, which Spark
 combines before it shuffles; joins read plain tables, so that adaptive execution can split a
-hub's rows.
+hub's rows. Ranks and strong components of a graph of at most ``ONE_TASK_EDGES`` counted edges
+are found in one task instead, since rounds of jobs would cost more than all their rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basaltic.storage import drop_scratch, materialize, saved
 
 DAMPING, TOLERANCE, MOST_ROUNDS = 0.85, 1e-10, 200
+#: Edges that one task may hold: about 200 bytes each.
+ONE_TASK_EDGES = 500_000
+
+
+def _gathered(batches: Iterator[pd.DataFrame]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, in order, and the edges as places in them."""
+    rows = pd.concat([pd.DataFrame({"src": [], "dst": []}, dtype=object), *batches])
+    codes, ids = pd.factorize(pd.concat([rows["src"], rows["dst"]]), sort=True)
+    edges = np.unique(np.stack([codes[len(rows) :], codes[: len(rows)]], 1), axis=0)
+    return np.asarray(ids), edges[:, 1], edges[:, 0]
 
 
 def simple_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -192,12 +207,49 @@ def _queued(rows: DataFrame, column: str) -> DataFrame:
     return rows.orderBy(column).withColumn("pos", F.monotonically_increasing_id())
 
 
-def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def _strong(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Strong components of two nodes or more, by one depth-first search."""
+    ids, src, dst = _gathered(batches)
+    order = np.argsort(src, kind="stable")
+    first, after = np.searchsorted(src[order], np.arange(len(ids) + 1)).tolist(), dst[order].tolist()
+    entered, low, open_at = [0] * len(ids), [0] * len(ids), [False] * len(ids)
+    clock, path, found = 0, [], []
+    for root in range(len(ids)):
+        todo = [] if entered[root] else [(root, first[root])]
+        while todo:
+            node, at = todo.pop()
+            if not entered[node]:
+                clock += 1
+                entered[node] = low[node] = clock
+                path.append(node)
+                open_at[node] = True
+            elif at > first[node]:  # back from a successor
+                low[node] = min(low[node], low[after[at - 1]]) if open_at[after[at - 1]] else low[node]
+            while at < first[node + 1] and entered[after[at]]:
+                if open_at[after[at]]:
+                    low[node] = min(low[node], entered[after[at]])
+                at += 1
+            if at < first[node + 1]:
+                todo += [(node, at + 1), (after[at], first[after[at]])]
+            elif low[node] == entered[node]:
+                members = []
+                while not members or members[-1] != node:
+                    members.append(path.pop())
+                    open_at[members[-1]] = False
+                if len(members) > 1:
+                    found += [(m, min(members)) for m in members]
+    yield pd.DataFrame({"id": ids[[m for m, _ in found]], "component": ids[[c for _, c in found]]})
+
+
+def strong_components(nodes: DataFrame, edges: DataFrame, one_task_edges: int = ONE_TASK_EDGES) -> DataFrame:
     """(id, component) of the nodes on a cycle of two nodes or more; component is the smallest
-    member. Nodes that no cycle can hold are trimmed; then every node takes the smallest node
-    that reaches it as its colour, and of each colour the nodes that reach that node are one
-    component. The rest goes another round."""
+    member. Beyond ``one_task_edges``, nodes that no cycle can hold are trimmed; then every node
+    takes the smallest node that reaches it as its colour, and of each colour the nodes that
+    reach that node are one component. The rest goes another round."""
     pairs = saved(simple_edges(nodes, edges), "scc-edges")
+    kind = pairs.schema["src"].dataType.simpleString()
+    if pairs.count() <= one_task_edges:
+        return saved(pairs.coalesce(1).mapInPandas(_strong, f"id {kind}, component {kind}"), "scc-found")
     done = None
     while True:
         while True:  # trim
@@ -234,11 +286,33 @@ def cycles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return strong_components(nodes, edges).groupBy("component").agg(F.array_sort(F.collect_list("id")).alias("cycle")).select("cycle")
 
 
-def page_rank(nodes: DataFrame, edges: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE, most_rounds: int = MOST_ROUNDS) -> DataFrame:
+def _ranked(damping: float, tolerance: float, most_rounds: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, src, dst = _gathered(batches)
+        n = len(ids)
+        out = np.bincount(src, minlength=n)
+        ranks = np.full(n, 1.0 / max(n, 1))
+        for _ in range(most_rounds if n else 0):
+            got = np.bincount(dst, (ranks / np.maximum(out, 1))[src], n)
+            new = (1 - damping) / n + damping * (got + ranks[out == 0].sum() / n)
+            change, ranks = np.abs(new - ranks).sum(), new
+            if change < tolerance:
+                break
+        yield pd.DataFrame({"id": ids, "rank": ranks})
+
+    return run
+
+
+def page_rank(nodes: DataFrame, edges: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE, most_rounds: int = MOST_ROUNDS, one_task_edges: int = ONE_TASK_EDGES) -> DataFrame:
     """(id, pagerank). Isolated nodes get 0 and stand outside the sum, unless all are isolated:
     then each has 1/n. What nodes without successors hold is spread evenly. The loop ends when
-    the ranks' absolute changes sum to less than ``tolerance``."""
+    the ranks' absolute changes sum to less than ``tolerance``. Beyond ``one_task_edges`` each
+    round is a distributed join."""
     pairs = saved(simple_edges(nodes, edges), "rank-edges")
+    if 0 < pairs.count() <= one_task_edges:
+        kind = pairs.schema["src"].dataType.simpleString()
+        ranks = saved(pairs.coalesce(1).mapInPandas(_ranked(damping, tolerance, most_rounds), f"id {kind}, rank double"), "rank")
+        return nodes.select("id").join(ranks, "id", "left").select("id", F.coalesce("rank", F.lit(0.0)).alias("pagerank"))
     out = pairs.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("out"))
     active = saved(pairs.select(F.col("src").alias("id")).union(pairs.select("dst")).distinct().join(out, "id", "left"), "rank-nodes")
     n, total = active.count(), nodes.count()

@@ -3,6 +3,7 @@
 import random
 from collections import deque
 
+import pandas as pd
 import pytest
 
 from basaltic.operators import graph
@@ -121,3 +122,30 @@ def test_ancestors(spark):
     links = spark.createDataFrame([("A", "B"), ("B", "C"), ("C", "A"), ("D", "E")], "name string, base string")
     got = {(r.name, r.ancestor) for r in graph.ancestors(links).collect()}
     assert got == {(a, b) for a in "ABC" for b in "ABC"} | {("D", "D"), ("D", "E"), ("E", "E")}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_one_task_and_many(spark, seed):
+    """Ranks and strong components are the same in one task and in distributed rounds."""
+    dice = random.Random(seed)
+    names = [f"n{i}" for i in range(40)] + ["ä", "z"]
+    nodes, edges = frames(spark, names, [(dice.choice(names), dice.choice(names)) for _ in range(48)] + [("n1", "external:x")])
+    one, many = (values(graph.page_rank(nodes, edges, most_rounds=12, one_task_edges=k), "pagerank") for k in (100, 0))
+    assert one == pytest.approx(many, abs=1e-12) and len(one) == 42
+    one, many = (values(graph.strong_components(nodes, edges, one_task_edges=k), "component") for k in (100, 0))
+    assert one == many and one
+
+
+def test_one_task_components(spark):
+    """Against reachability, on graphs of numbers, a long path back and forth among them."""
+    dice = random.Random(3)
+    graphs = [[(dice.randrange(12), dice.randrange(12)) for _ in range(dice.randrange(1, 30))] for _ in range(200)]
+    for edges in [*graphs, [(i, i + 1) for i in range(50)] + [(50, 20)], []]:
+        edges = [(a, b) for a, b in edges if a != b]
+        reach = {a: {a} for a in {n for e in edges for n in e}}
+        for _ in reach:
+            for a, b in edges:
+                reach[a] |= reach[b]
+        want = {a: min(b for b in reach[a] if a in reach[b]) for a in reach if any(a in reach[b] for b in reach[a] - {a})}
+        (got,) = graph._strong(iter([pd.DataFrame(edges, columns=["src", "dst"])]))
+        assert dict(zip(got["id"], got["component"])) == want
