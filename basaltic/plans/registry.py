@@ -318,23 +318,24 @@ v AS (SELECT call_id, dst, CASE WHEN tier = 4 THEN 'unresolved' WHEN n = 1 AND t
 
 
 def _called(spark, sf_dir):
+    """Calls and the steps that resolve them. The least name of a call is found by its bytes as
+    a number, in the same order, since Spark aggregates numbers by hashing but sorts for texts."""
     supplier = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("target_file"))
     lines = table(spark, sf_dir, "lineitem").join(supplier, "l_suppkey")
     name = F.concat(F.lit("T"), (F.col("l_partkey") % 60).cast("string"))
-    calls = lines.groupBy((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("call_id")).agg(F.min("l_suppkey").alias("file_id"), F.min("target_file").alias("target_file"), F.min(name).alias("name"))
+    code = F.conv(F.hex(F.rpad(name, 4, "\0")), 16, 10).cast("long")
+    least = lines.groupBy((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("call_id")).agg(F.min("l_suppkey").alias("file_id"), F.min("target_file").alias("target_file"), F.min(code).alias("code"))
+    calls = least.select("call_id", "file_id", "target_file", F.replace(F.unhex(F.hex("code")).cast("string"), F.lit("\0"), F.lit("")).alias("name"))
     p = F.col("p_partkey")
-    named = table(spark, sf_dir, "part").select((p % 40 + 1).alias("file_id"), (p % 25).cast("int").alias("target_file"), F.concat(F.lit("T"), (p % 57).cast("string")).alias("name"), F.concat(F.lit("D"), (p % 301).cast("string")).alias("dst")).distinct()
-    steps = [
-        lambda c: resolve._tier(c, named.select("file_id", "name", "dst"), ["file_id", "name"], "file"),
-        lambda c: resolve._tier(c, named.select("target_file", "name", "dst"), ["target_file", "name"], "import"),
-        lambda c: resolve._tier(c, named.select("name", "dst"), ["name"], "proj"),
-    ]
-    return resolve.judged(resolve._in_tiers(calls, steps))
+    named = table(spark, sf_dir, "part").select((p % 40 + 1).alias("file_id"), (p % 25).cast("int").alias("target_file"), F.concat(F.lit("T"), (p % 57).cast("string")).alias("name"), F.concat(F.lit("D"), (p % 301).cast("string")).alias("dst"))
+    steps = [resolve.Step("file", ["file_id", "name"], named), resolve.Step("import", ["target_file", "name"], named), resolve.Step("proj", ["name"], named)]
+    return resolve.placed(calls, steps), steps
 
 
 @query(_CALLS + " SELECT DISTINCT call_id, dst, confidence, ambiguous FROM v")
 def tiered_resolution(spark, sf_dir):
-    return _called(spark, sf_dir).select("call_id", "dst", "confidence", "ambiguous")
+    calls, steps = _called(spark, sf_dir)
+    return resolve.candidates(saved(resolve.judged(calls), "placed"), steps, "confidence", "ambiguous")
 
 
 _COUNTS = "count(*) AS total, count(*) FILTER (confidence = 'certain') AS certain, count(*) FILTER (confidence = 'inferred') AS inferred, count(*) FILTER (confidence = 'unresolved') AS unresolved, count(*) FILTER (ambiguous) AS ambiguous, round(count(*) FILTER (confidence = 'certain') * 100.0::DOUBLE / count(*), 1) AS certain_pct, round(count(*) FILTER (ambiguous) * 100.0::DOUBLE / count(*), 1) AS ambiguous_pct"
@@ -342,7 +343,9 @@ _COUNTS = "count(*) AS total, count(*) FILTER (confidence = 'certain') AS certai
 
 @query(_CALLS + f", w AS (SELECT DISTINCT call_id, dst, confidence, ambiguous, call_id % 3 AS kind FROM v) SELECT kind, {_COUNTS} FROM w GROUP BY kind")
 def confidence_counts(spark, sf_dir):
-    return metrics.confidence_counts(_called(spark, sf_dir).withColumn("kind", F.col("call_id") % 3), "kind")
+    """Each call counts as the edges that it has, which aren't made one by one."""
+    calls, _ = _called(spark, sf_dir)
+    return metrics.confidence_counts(resolve.judged(calls).withColumn("kind", F.col("call_id") % 3), "kind", weight="n")
 
 
 @query(
