@@ -318,14 +318,16 @@ v AS (SELECT call_id, dst, CASE WHEN tier = 4 THEN 'unresolved' WHEN n = 1 AND t
 
 
 def _called(spark, sf_dir):
-    """Calls and the steps that resolve them. The least name of a call is found by its bytes as
-    a number, in the same order, since Spark aggregates numbers by hashing but sorts for texts."""
+    """Calls and the steps that resolve them. The least name of a call is found by its rank among
+    all names, since Spark aggregates numbers by hashing but sorts for texts. Few lines share a
+    call, so they are dealt by it before they are aggregated, not merged in each task first."""
     supplier = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("target_file"))
-    lines = table(spark, sf_dir, "lineitem").join(supplier, "l_suppkey")
-    name = F.concat(F.lit("T"), (F.col("l_partkey") % 60).cast("string"))
-    code = F.conv(F.hex(F.rpad(name, 4, "\0")), 16, 10).cast("long")
-    least = lines.groupBy((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("call_id")).agg(F.min("l_suppkey").alias("file_id"), F.min("target_file").alias("target_file"), F.min(code).alias("code"))
-    calls = least.select("call_id", "file_id", "target_file", F.replace(F.unhex(F.hex("code")).cast("string"), F.lit("\0"), F.lit("")).alias("name"))
+    names = sorted(f"T{m}" for m in range(-59, 60))
+    rank = F.get(F.lit([names.index(f"T{m}") for m in range(-59, 60)]), (F.col("l_partkey") % 60 + 59).cast("int"))
+    call = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    lines = table(spark, sf_dir, "lineitem").join(supplier, "l_suppkey").select(call.alias("call_id"), "l_suppkey", "target_file", rank.alias("rank"))
+    least = lines.repartition("call_id").groupBy("call_id").agg(F.min("l_suppkey").alias("file_id"), F.min("target_file").alias("target_file"), F.min("rank").alias("rank"))
+    calls = least.select("call_id", "file_id", "target_file", F.get(F.lit(names), F.col("rank")).alias("name"))
     p = F.col("p_partkey")
     named = table(spark, sf_dir, "part").select((p % 40 + 1).alias("file_id"), (p % 25).cast("int").alias("target_file"), F.concat(F.lit("T"), (p % 57).cast("string")).alias("name"), F.concat(F.lit("D"), (p % 301).cast("string")).alias("dst"))
     steps = [resolve.Step("file", ["file_id", "name"], named), resolve.Step("import", ["target_file", "name"], named), resolve.Step("proj", ["name"], named)]
@@ -335,7 +337,7 @@ def _called(spark, sf_dir):
 @query(_CALLS + " SELECT DISTINCT call_id, dst, confidence, ambiguous FROM v")
 def tiered_resolution(spark, sf_dir):
     calls, steps = _called(spark, sf_dir)
-    return resolve.candidates(saved(resolve.judged(calls), "placed"), steps, "confidence", "ambiguous")
+    return resolve.candidates(resolve.spread(saved(resolve.judged(calls), "placed")), steps, "confidence", "ambiguous")
 
 
 _COUNTS = "count(*) AS total, count(*) FILTER (confidence = 'certain') AS certain, count(*) FILTER (confidence = 'inferred') AS inferred, count(*) FILTER (confidence = 'unresolved') AS unresolved, count(*) FILTER (ambiguous) AS ambiguous, round(count(*) FILTER (confidence = 'certain') * 100.0::DOUBLE / count(*), 1) AS certain_pct, round(count(*) FILTER (ambiguous) * 100.0::DOUBLE / count(*), 1) AS ambiguous_pct"

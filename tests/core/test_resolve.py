@@ -57,3 +57,13 @@ def test_blocks(spark, monkeypatch):
     want = [(1, d, "file", 50, "inferred", True) for d in fifty] + [(2, "e", "file", 1, "certain", False), (3, "d1", "proj", 1, "inferred", False)]
     want += [(4, d, "proj", 51, "inferred", True) for d in [*fifty, "e"]] + [(5, "unresolved:y", "none", 1, "unresolved", False)]
     assert rows == sorted(want)
+
+
+def test_many_edges_are_spread(spark, monkeypatch):
+    """Calls of one file are dealt out so that no task makes most of the edges; few are left."""
+    calls = spark.range(0, 1000, 1, 1).selectExpr("id AS call_id", "300L AS n")
+    assert resolve.spread(calls).rdd.getNumPartitions() == 1
+    monkeypatch.setattr(resolve, "TASK_EDGES", 10_000)
+    by_task = resolve.spread(calls).rdd.mapPartitions(lambda rows: [sum(r.n for r in rows)]).collect()
+    assert len(by_task) == 30 and sum(by_task) == 300_000
+    assert max(by_task) < 30_000
